@@ -43,7 +43,7 @@ def within_group_features(
     group: Sequence[str],
     price: str,
     deltas: Sequence[str],
-    hot: Sequence[int] | None = None,
+    oversized: DataFrame | None = None,
 ) -> DataFrame:
     """Price rank, log-price z-score and deltas to the group mean, with one aggregate join."""
     logged = F.log1p(F.col(price))
@@ -63,7 +63,7 @@ def within_group_features(
             **{f"{c}_delta": F.col(c) - F.col(f"_mean_{c}") for c in deltas},
         }
     ).drop("_mean", "_sd", *[f"_mean_{c}" for c in deltas])
-    return scale.rank_in_group(rows, group, price, f"{price}_rank", hot=hot)
+    return scale.rank_in_group(rows, group, price, f"{price}_rank", oversized=oversized)
 
 
 def _rates(sums: DataFrame, targets: Mapping[str, float], alpha: float) -> dict[str, Column]:

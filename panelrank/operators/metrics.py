@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrank.functions.stats import correlation
@@ -232,7 +232,10 @@ def threshold_sweep(
             for r in cells:
                 pair = tuple((v >= place[a]) + (v >= place[b]) for v in (r["truth"], r["pred"]))
                 counts[pair] = counts.get(pair, 0) + r["n"]
-            rows += [(a, b, value[a], value[b], t, p, n) for (t, p), n in counts.items()]
+            rows += [
+                (float(a), float(b), value[a], value[b], t, p, n)
+                for (t, p), n in counts.items()
+            ]
     table = df.sparkSession.createDataFrame(
         rows, "low double, high double, cut_low double, cut_high double, truth int, pred int, n long"
     )
@@ -286,6 +289,21 @@ def _ideal(k: int, grades: Sequence[int]) -> Column:
     return total
 
 
+def _gain(rel: str, k: int) -> Column:
+    gain = F.lit(0.0)
+    for position in range(1, k + 1):
+        gain = F.when(F.col("pos") == position, F.col(rel) * _discount(position)).otherwise(gain)
+    return gain
+
+
+def _grade_counts(rel: str, grades: Sequence[int]) -> list[Column]:
+    return [F.count_if(F.col(rel) == g).alias(f"_g{g}") for g in grades]
+
+
+def _normalised(k: int, grades: Sequence[int]) -> Column:
+    return F.coalesce(F.try_divide(F.col("_dcg"), _ideal(k, grades)), F.lit(0.0))
+
+
 def ndcg_per_group(
     df: DataFrame,
     group: Sequence[str],
@@ -301,20 +319,12 @@ def ndcg_per_group(
     the top ``k`` rows by score are ever sorted.
     """
     group = list(group)
-    gain = F.lit(0.0)
-    for position in range(1, k + 1):
-        gain = F.when(F.col("pos") == position, F.col(rel) * _discount(position)).otherwise(gain)
     top = scale.top_k_in_group(
         df.select(*group, rel, score, *tie), group, [F.desc(score), *tie], k
     )
-    reached = top.groupBy(*group).agg(F.sum(gain).alias("_dcg"))
-    counts = df.groupBy(*group).agg(
-        *[F.count_if(F.col(rel) == g).alias(f"_g{g}") for g in grades]
-    )
-    return counts.join(reached, group).select(
-        *group,
-        F.coalesce(F.try_divide(F.col("_dcg"), _ideal(k, grades)), F.lit(0.0)).alias("ndcg"),
-    )
+    reached = top.groupBy(*group).agg(F.sum(_gain(rel, k)).alias("_dcg"))
+    counts = df.groupBy(*group).agg(*_grade_counts(rel, grades))
+    return counts.join(reached, group).select(*group, _normalised(k, grades).alias("ndcg"))
 
 
 def ndcg(df: DataFrame, group: Sequence[str], rel: str, score: str, tie: Sequence[str], k: int = 5) -> DataFrame:
@@ -337,7 +347,7 @@ def group_first(df: DataFrame, group: Sequence[str], col: str, tie: Sequence[str
     return df.groupBy(*group).agg(F.min_by(col, F.struct(*tie)).alias(col))
 
 
-def segment_rows(
+def segment_cells(
     df: DataFrame,
     group: Sequence[str],
     rel: str,
@@ -345,23 +355,33 @@ def segment_rows(
     segment: str,
     tie: Sequence[str],
     k: int = 5,
+    grades: Sequence[int] = GRADES,
 ) -> DataFrame:
-    """Per (group, segment) holding a positive: positives, share of top slots, group NDCG."""
+    """Per (group, segment): positives, share of the top slots, and the group's NDCG.
+
+    Rows are shuffled once for the top ``k`` and once as counts; a group has at most one cell
+    per segment, and segments are a handful of labels.
+    """
     group = list(group)
-    positives = (
-        df.filter(F.col(rel) > 0)
-        .groupBy(*group, segment)
-        .agg(F.count(F.lit(1)).alias("_pos"))
-    )
     top = scale.top_k_in_group(
-        df.select(*group, segment, score, *tie), group, [F.desc(score), *tie], k
+        df.select(*group, segment, rel, score, *tie), group, [F.desc(score), *tie], k
+    )
+    shown = top.groupBy(*group, segment).agg(
+        (F.count(F.lit(1)) / F.lit(float(k))).alias("share"), F.sum(_gain(rel, k)).alias("_dcg")
     )
-    shown = top.groupBy(*group, segment).agg((F.count(F.lit(1)) / F.lit(float(k))).alias("_share"))
-    scores = ndcg_per_group(df, group, rel, score, tie, k)
+    counts = df.groupBy(*group, segment).agg(
+        F.count_if(F.col(rel) > 0).alias("positives"), *_grade_counts(rel, grades)
+    )
+    cells = counts.join(shown, [*group, segment], "left").withColumn(
+        "share", F.coalesce("share", F.lit(0.0))
+    )
+    whole = Window.partitionBy(*group)
+    order = whole.orderBy(segment)
+    sums = {c: F.sum(c).over(whole) for c in ("_dcg", *[f"_g{g}" for g in grades])}
     return (
-        positives.join(shown, [*group, segment], "left")
-        .join(scores, group)
-        .withColumn("_share", F.coalesce("_share", F.lit(0.0)))
+        cells.withColumns({**sums, "_cell": F.row_number().over(order)})
+        .withColumns({"ndcg": _normalised(k, grades), "first_cell": F.col("_cell") == 1})
+        .select(*group, segment, "positives", "share", "ndcg", "first_cell")
     )
 
 
@@ -373,19 +393,19 @@ def segment_metrics(
     segment: str,
     tie: Sequence[str],
     k: int = 5,
-    by: Sequence[str] = (),
     least_groups: int = 500,
     least_positives: int = 100,
 ) -> DataFrame:
-    """Conditional NDCG and exposure per segment; ``by`` columns must be part of ``group``."""
-    rows = segment_rows(df, group, rel, score, segment, tie, k)
+    """NDCG and exposure per segment over the groups that hold a positive of the segment."""
+    cells = segment_cells(df, group, rel, score, segment, tie, k)
     return (
-        rows.groupBy(*by, segment)
+        cells.filter(F.col("positives") > 0)
+        .groupBy(segment)
         .agg(
             F.count(F.lit(1)).alias("groups"),
-            F.sum("_pos").alias("positives"),
+            F.sum("positives").alias("positives"),
             F.avg("ndcg").alias("ndcg"),
-            F.avg("_share").alias("exposure"),
+            F.avg("share").alias("exposure"),
         )
         .withColumn(
             "supported",
@@ -433,32 +453,29 @@ def lambda_sweep(
     spread = df.withColumn(
         "lambda", F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
     ).withColumn("_s", F.col(score) + F.col("lambda") * boost_column(boosts, segment))
-    keys = ["lambda", *group]
-    overall = (
-        ndcg_per_group(spread, keys, rel, "_s", tie, k)
-        .groupBy("lambda")
-        .agg(F.avg("ndcg").alias("ndcg"))
-    )
-    shares = segment_metrics(spread, keys, rel, "_s", segment, tie, k, by=["lambda"])
-    wide = shares.groupBy("lambda").agg(
+    cells = segment_cells(spread, ["lambda", *group], rel, "_s", segment, tie, k)
+    rows = cells.groupBy("lambda").agg(
+        F.avg(F.when(F.col("first_cell"), F.col("ndcg"))).alias("ndcg"),
         *[
             F.coalesce(
-                F.max(F.when(F.col(segment) == name, F.col("exposure"))), F.lit(0.0)
+                F.avg(
+                    F.when((F.col(segment) == name) & (F.col("positives") > 0), F.col("share"))
+                ),
+                F.lit(0.0),
             ).alias(f"exposure_{name}")
             for name in ("low", "medium", "high")
-        ]
+        ],
     )
     # One row per strength from here on.
-    rows = overall.join(wide, "lambda", "left").collect()
-    table = [tuple(r[c] for c in ("lambda", "ndcg", "exposure_low", "exposure_medium", "exposure_high")) for r in rows]
+    table = [tuple(r) for r in rows.collect()]
     base = next((r for r in table if r[0] == 0.0), None)
     fit = [
         r[0]
         for r in table
         if base is not None
         and r[1] >= base[1] - tolerance
-        and (r[2] or 0.0) > (base[2] or 0.0)
-        and (r[3] or 0.0) > (base[3] or 0.0)
+        and r[2] > base[2]
+        and r[3] > base[3]
     ]
     best = max(fit, default=0.0)
     return df.sparkSession.createDataFrame(
@@ -484,13 +501,21 @@ def blend_sweep(
     k: int = 5,
 ) -> DataFrame:
     """Mean NDCG per blend weight."""
-    spread = df.withColumn(
+    group = list(group)
+    spread = df.select(*group, rel, *a, b, *tie).withColumn(
         "weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))
-    ).withColumn("_s", blend(a, b, F.col("weight")))
+    )
+    spread = spread.select(
+        "weight", *group, rel, *tie, blend(a, b, F.col("weight")).alias("_s")
+    )
+    top = scale.top_k_in_group(spread, ["weight", *group], [F.desc("_s"), *tie], k)
+    reached = top.groupBy("weight", *group).agg(F.sum(_gain(rel, k)).alias("_dcg"))
+    # The ideal order does not depend on the weight.
+    counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
     return (
-        ndcg_per_group(spread, ["weight", *group], rel, "_s", tie, k)
+        reached.join(counts, group)
         .groupBy("weight")
-        .agg(F.avg("ndcg").alias("ndcg"))
+        .agg(F.avg(_normalised(k, GRADES)).alias("ndcg"))
     )
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 SMALL_BYTES = 32 * 1024 * 1024
 
-# Frequent-items sketch size; its error is below 4 / SKETCH_ITEMS of the row count.
-SKETCH_ITEMS = 10_000
+# Rows of one group that a single window task may sort.
+LARGEST_GROUP = 5_000_000
 
 
 def fits_one_task(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
@@ -48,32 +48,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], share: float = 0.005, limit: int = SMALL_BYTES
-) -> list[int]:
-    """Hash codes of key values that hold more than ``share`` of the rows.
+def oversized_groups(
+    df: DataFrame, keys: Sequence[str], most: int = LARGEST_GROUP, limit: int = SMALL_BYTES
+) -> DataFrame | None:
+    """Keys of the groups with more than ``most`` rows, or None if there are none.
 
-    One pass with a mergeable frequent-items sketch and no shuffle of keys. Every group
-    above the share is found (the sketch error is far below it), and at most
-    ``2 / share`` codes come back.
+    Counts combine map-side and move only keys. There can be no more than rows / ``most``
+    such keys, which is what allows them to be broadcast.
     """
     if fits_one_task(df, limit):
-        return []
-    most = int(2 / share)
+        return None
     found = (
-        df.select(F.xxhash64(*keys).alias("code"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.expr(f"approx_top_k(code, {most}, {SKETCH_ITEMS})").alias("top"),
-        )
-        .first()
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > most)
+        .select(*keys)
     )
-    floor = (share - 4 / SKETCH_ITEMS) * found["n"]
-    return [item["item"] for item in found["top"] or [] if item["count"] >= floor]
-
-
-def is_hot(keys: Sequence[str], codes: Sequence[int]) -> Column:
-    return F.xxhash64(*keys).isin(list(codes))
+    return None if found.isEmpty() else cut_lineage(found)
 
 
 def running_total(
@@ -196,33 +187,30 @@ def rank_in_group(
     value: str,
     out: str,
     descending: bool = False,
-    hot: Sequence[int] | None = None,
+    oversized: DataFrame | None = None,
 ) -> DataFrame:
     """Rank with ties sharing the lowest place; a missing value has no rank.
 
-    Ordinary groups use one window. Groups holding a large share of the rows are ranked
-    over their distinct values in range slices and joined back.
+    Groups share one window. Those named by ``oversized`` (see ``oversized_groups``) are
+    ranked over their distinct values in range slices and joined back.
     """
     group = list(group)
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     plain = Window.partitionBy(*group).orderBy(order)
-    codes = hot_groups(df, group) if hot is None else list(hot)
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(plain)))
-
-    if not codes:
-        return by_window(df)
-    cold = df.filter(~is_hot(group, codes))
-    hot_rows = df.filter(is_hot(group, codes))
+    place = F.when(F.col(value).isNotNull(), F.rank().over(plain)).cast("long")
+    if oversized is None:
+        return df.withColumn(out, place)
+    large = F.broadcast(oversized)
+    rest = df.join(large, group, "left_anti").withColumn(out, place)
+    rows = df.join(large, group, "left_semi")
     counted = (
-        hot_rows.filter(F.col(value).isNotNull())
+        rows.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     ranked = running_total(counted, group, [order], F.col("_copies"), "_ahead", limit=0)
-    ranked = ranked.select(*group, value, (F.col("_ahead") + 1).cast("int").alias(out))
-    return by_window(cold).unionByName(hot_rows.join(ranked, [*group, value], "left"))
+    ranked = ranked.select(*group, value, (F.col("_ahead") + 1).cast("long").alias(out))
+    return rest.unionByName(rows.join(ranked, [*group, value], "left"))
 
 
 def with_group_stats(

@@ -113,11 +113,25 @@ def _(spark, sf):
 
 @query(
     "rank_in_group",
-    f"WITH {INTER} SELECT srch, line, item, supp, rank() OVER (PARTITION BY srch ORDER BY price)::INT AS price_rank FROM inter",
+    f"WITH {INTER} SELECT srch, line, item, supp, rank() OVER (PARTITION BY srch ORDER BY price) AS price_rank FROM inter",
 )
 def _(spark, sf):
     rows = interactions(spark, sf).select("srch", *TIE, "price")
-    return scale.rank_in_group(rows, GROUP, "price", "price_rank").drop("price")
+    large = scale.oversized_groups(rows, GROUP)
+    return scale.rank_in_group(rows, GROUP, "price", "price_rank", oversized=large).drop("price")
+
+
+@query(
+    "rank_in_oversized_group",
+    f"""WITH {INTER} SELECT is_random, srch, line, item, supp, rank() OVER (PARTITION BY is_random ORDER BY price DESC) AS price_rank FROM inter""",
+)
+def _(spark, sf):
+    # A flag with two values: a third of all rows shares one group, ranked in range slices.
+    rows = interactions(spark, sf).select("is_random", "srch", *TIE, "price")
+    large = scale.oversized_groups(rows, ["is_random"], most=1000, limit=0)
+    return scale.rank_in_group(
+        rows, ["is_random"], "price", "price_rank", descending=True, oversized=large
+    ).drop("price")
 
 
 @query(
@@ -150,13 +164,16 @@ def _(spark, sf):
     f"""WITH {INTER}, j AS (SELECT inter.*, p_size::DOUBLE AS stars, ln(1 + price) AS lp FROM inter JOIN part ON p_partkey = item),
     s AS (SELECT srch, avg(lp) AS m, stddev_samp(lp) AS sd, avg(stars) AS ms, avg(score2) AS m2 FROM j GROUP BY srch)
     SELECT srch, line, item, supp, {rd("(lp - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END", "price_z")}, {rd("stars - ms", "stars_delta")},
-    {rd("score2 - m2", "score2_delta")}, rank() OVER (PARTITION BY srch ORDER BY price)::INT AS price_rank FROM j JOIN s USING (srch)""",
+    {rd("score2 - m2", "score2_delta")}, rank() OVER (PARTITION BY srch ORDER BY price) AS price_rank FROM j JOIN s USING (srch)""",
 )
 def _(spark, sf):
     base = interactions(spark, sf).select("srch", *TIE, "price", "score2")
-    hot = scale.hot_groups(base, GROUP)
     rows = groups.within_group_features(
-        with_stars(base, spark, sf), GROUP, "price", ["stars", "score2"], hot=hot
+        with_stars(base, spark, sf),
+        GROUP,
+        "price",
+        ["stars", "score2"],
+        oversized=scale.oversized_groups(base, GROUP),
     )
     return rounded(rows.drop("price", "stars", "score2"))
 
