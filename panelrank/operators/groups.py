@@ -66,33 +66,40 @@ def within_group_features(
     return scale.rank_in_group(rows, group, price, f"{price}_rank", oversized=oversized)
 
 
-def _rates(sums: DataFrame, targets: Mapping[str, float], alpha: float) -> dict[str, Column]:
-    """Overall rate per target, divided by the target's ``scale`` as given."""
-    return {
-        t: sums.agg(F.sum(f"_sum_{t}") / F.sum("_n") / F.lit(float(divisor))).scalar()
-        for t, divisor in targets.items()
-    }
+def overall_rates(train: DataFrame, targets: Mapping[str, float]) -> dict[str, float]:
+    """Mean of each target over the training rows, divided by the target's divisor."""
+    row = train.agg(*[F.avg(t).alias(t) for t in targets]).first()
+    return {t: (row[t] or 0.0) / divisor for t, divisor in targets.items()}
+
+
+def _sums(targets: Mapping[str, float]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_n"), *[F.sum(t).alias(f"_sum_{t}") for t in targets]]
 
 
 def smoothed_priors(
-    train: DataFrame, keys: Sequence[str], targets: Mapping[str, float], alpha: float = ALPHA
+    train: DataFrame,
+    keys: Sequence[str],
+    targets: Mapping[str, float],
+    alpha: float = ALPHA,
+    rates: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Per key: log1p of the row count and (sum + alpha * rate) / (n + alpha) per target.
 
     ``targets`` maps a column to the divisor of its overall rate: a 0..5 grade is given
     divisor 5 although its sum is not rescaled.
     """
-    sums = train.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(t).alias(f"_sum_{t}") for t in targets]
-    )
-    rate = _rates(sums, targets, alpha)
-    return sums.select(
-        *keys,
-        F.log1p("_n").alias("impressions_log1p"),
-        *[
-            ((F.col(f"_sum_{t}") + alpha * rate[t]) / (F.col("_n") + alpha)).alias(f"{t}_rate")
-            for t in targets
-        ],
+    rate = rates or overall_rates(train, targets)
+    return (
+        train.groupBy(*keys)
+        .agg(*_sums(targets))
+        .select(
+            *keys,
+            F.log1p("_n").alias("impressions_log1p"),
+            *[
+                ((F.col(f"_sum_{t}") + alpha * rate[t]) / (F.col("_n") + alpha)).alias(f"{t}_rate")
+                for t in targets
+            ],
+        )
     )
 
 
@@ -102,38 +109,45 @@ def oof_priors(
     fold: str,
     targets: Mapping[str, float],
     alpha: float = ALPHA,
+    rates: Mapping[str, float] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Attach smoothed priors that never see the row's own fold.
 
     ``fold`` is the training fold of a row, missing for rows outside the training part; those
     see all folds. Sums per (key, fold) are taken once, and a fold's prior is the key's total
-    minus the fold's own sum. A key seen nowhere else gets the overall rate.
+    minus the fold's own sum. A key seen nowhere else gets the overall rate. ``source`` may
+    name a narrower table with the same rows to take the sums from.
     """
     keys = list(keys)
     measures = ["_n", *[f"_sum_{t}" for t in targets]]
-    per_fold = (
-        df.filter(F.col(fold).isNotNull())
-        .groupBy(*keys, fold)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(t).alias(f"_sum_{t}") for t in targets])
-    )
-    rate = _rates(per_fold, targets, alpha)
+    train = (df if source is None else source).filter(F.col(fold).isNotNull())
+    rate = rates or overall_rates(train, targets)
+    per_fold = train.groupBy(*keys, fold).agg(*_sums(targets))
     # At most one row per fold and key.
     whole = Window.partitionBy(*keys)
     totals = per_fold.withColumns({f"_all{m}": F.sum(m).over(whole) for m in measures})
-    others = totals.select(
+    totals = totals.withColumn("_first", F.row_number().over(whole.orderBy(fold)) == 1)
+    # Each fold's row gives the prior of that fold; the first also gives the full prior (-1).
+    fold_type = df.schema[fold].dataType
+    none = F.lit(-1).cast(fold_type)
+    folds = F.when(F.col("_first"), F.array(F.col(fold), none)).otherwise(F.array(F.col(fold)))
+    seen = totals.withColumn("_fold", F.explode(folds)).select(
         *keys,
-        F.col(fold).alias("_fold"),
-        *[(F.col(f"_all{m}") - F.col(m)).alias(m) for m in measures],
+        "_fold",
+        *[
+            (F.col(f"_all{m}") - F.when(F.col("_fold") == F.col(fold), F.col(m)).otherwise(0)).alias(m)
+            for m in measures
+        ],
     )
-    everything = per_fold.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    seen = others.unionByName(everything.withColumn("_fold", F.lit(-1).cast(df.schema[fold].dataType)))
     n = F.coalesce(F.col("_n"), F.lit(0))
     features = {"impressions_log1p": F.log1p(n)}
     for t in targets:
-        own = F.coalesce(F.col(f"_sum_{t}"), F.lit(0))
-        features[f"{t}_rate"] = (own + alpha * rate[t]) / (n + alpha)
+        others = F.coalesce(F.col(f"_sum_{t}"), F.lit(0))
+        features[f"{t}_rate"] = (others + alpha * rate[t]) / (n + alpha)
+    # A training row whose key has no sums outside its fold still finds that fold's row.
     return (
-        df.withColumn("_fold", F.coalesce(F.col(fold), F.lit(-1)))
+        df.withColumn("_fold", F.coalesce(F.col(fold), none))
         .join(seen, [*keys, "_fold"], "left")
         .withColumns(features)
         .drop("_fold", *measures)

@@ -156,13 +156,17 @@ def _dot(values: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
-def ema_weighted_mean(panel: DataFrame, cols: Sequence[str], rows: int = 7) -> DataFrame:
-    """Exponentially weighted mean (span = rows) of the preceding ``rows`` rows."""
+def ema_weighted_columns(cols: Sequence[str], rows: int = 7) -> dict[str, Column]:
     new = {}
     for c in cols:
         values, weights = _weighted(c, rows, rows)
         new[f"{c}_ewmean"] = F.try_divide(_dot(values, weights), _weight_sum(values, weights))
-    return panel.withColumns(new)
+    return new
+
+
+def ema_weighted_mean(panel: DataFrame, cols: Sequence[str], rows: int = 7) -> DataFrame:
+    """Exponentially weighted mean (span = rows) of the preceding ``rows`` rows."""
+    return panel.withColumns(ema_weighted_columns(cols, rows))
 
 
 def ewm_std(panel: DataFrame, cols: Sequence[str], span: int = 7, rows: int = 7) -> DataFrame:
@@ -184,22 +188,22 @@ def ewm_std(panel: DataFrame, cols: Sequence[str], span: int = 7, rows: int = 7)
     return panel.withColumns(lagged).withColumns(new).drop(*lagged)
 
 
-def volatility(panel: DataFrame, col: str, rows: int = 7) -> DataFrame:
-    """Range, relative spread and direction of the last change."""
+def volatility_columns(col: str, rows: int = 7) -> dict[str, Column]:
     frame = before(rows)
     x = F.col(col)
     mean = F.avg(x).over(frame)
-    return panel.withColumns(
-        {
-            f"{col}_range": F.max(x).over(frame) - F.min(x).over(frame),
-            f"{col}_cv": F.when(
-                mean > 0, F.try_divide(F.stddev_samp(x).over(frame), mean)
-            ).otherwise(0.0),
-            f"{col}_direction": F.signum(
-                F.lag(col, 1).over(by_id()) - F.lag(col, 2).over(by_id())
-            ),
-        }
-    )
+    return {
+        f"{col}_range": F.max(x).over(frame) - F.min(x).over(frame),
+        f"{col}_cv": F.when(mean > 0, F.try_divide(F.stddev_samp(x).over(frame), mean)).otherwise(
+            0.0
+        ),
+        f"{col}_direction": F.signum(F.lag(col, 1).over(by_id()) - F.lag(col, 2).over(by_id())),
+    }
+
+
+def volatility(panel: DataFrame, col: str, rows: int = 7) -> DataFrame:
+    """Range, relative spread and direction of the last change."""
+    return panel.withColumns(volatility_columns(col, rows))
 
 
 def momentum(panel: DataFrame, col: str, rows: int = 7, exact: bool = True) -> DataFrame:
@@ -277,14 +281,18 @@ def mean_reversion(panel: DataFrame, col: str, rows: int = 7) -> DataFrame:
     )
 
 
+def day_change_columns(cols: Sequence[str]) -> dict[str, Column]:
+    return {
+        f"{c}_change": F.coalesce(
+            F.lag(c, 1).over(by_id()) - F.lag(c, 2).over(by_id()), F.lit(0.0)
+        )
+        for c in cols
+    }
+
+
 def day_change(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Yesterday minus the day before, 0 if either is missing."""
-    return panel.withColumns(
-        {
-            f"{c}_change": F.coalesce(F.lag(c, 1).over(by_id()) - F.lag(c, 2).over(by_id()), F.lit(0.0))
-            for c in cols
-        }
-    )
+    return panel.withColumns(day_change_columns(cols))
 
 
 def rolling_autocorr(panel: DataFrame, col: str, rows: int = 7, orders: Sequence[int] = (1, 2)) -> DataFrame:
@@ -322,10 +330,12 @@ def rmssd(panel: DataFrame, col: str, rows: int = 7) -> DataFrame:
     )
 
 
+def short_std_columns(cols: Sequence[str], rows: int = 3) -> dict[str, Column]:
+    return {f"{c}_std{rows}": F.stddev_samp(c).over(before(rows)) for c in cols}
+
+
 def short_std(panel: DataFrame, cols: Sequence[str], rows: int = 3) -> DataFrame:
-    return panel.withColumns(
-        {f"{c}_std{rows}": F.stddev_samp(c).over(before(rows)) for c in cols}
-    )
+    return panel.withColumns(short_std_columns(cols, rows))
 
 
 def adaptive_direction(panel: DataFrame, col: str) -> DataFrame:
@@ -344,26 +354,34 @@ def adaptive_direction(panel: DataFrame, col: str) -> DataFrame:
     )
 
 
+def study_day_columns() -> dict[str, Column]:
+    return {"study_day": F.datediff("date", F.min("date").over(whole_id()))}
+
+
 def study_day(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("study_day", F.datediff("date", F.min("date").over(whole_id())))
+    return panel.withColumns(study_day_columns())
+
+
+def same_day_columns(cols: Sequence[str]) -> dict[str, Column]:
+    has_next = F.lead("date").over(by_id()).isNotNull()
+    return {f"{c}_same_day": F.when(has_next, F.col(c)) for c in cols}
 
 
 def same_day(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Copies of non-target columns of the target row; missing on an id's last row."""
-    has_next = F.lead("date").over(by_id()).isNotNull()
-    return panel.withColumns({f"{c}_same_day": F.when(has_next, F.col(c)) for c in cols})
+    return panel.withColumns(same_day_columns(cols))
 
 
-def missing_share(panel: DataFrame, cols: Sequence[str], rows: int = 7) -> DataFrame:
-    """Share of missing cells in the preceding rows."""
+def missing_share_columns(cols: Sequence[str], rows: int = 7) -> dict[str, Column]:
     gone = F.lit(0.0)
     for c in cols:
         gone = gone + F.col(c).isNull().cast("double")
-    return (
-        panel.withColumn("_gone", gone / len(cols))
-        .withColumn(f"missing_share_{rows}", F.avg("_gone").over(before(rows)))
-        .drop("_gone")
-    )
+    return {f"missing_share_{rows}": F.avg(gone / len(cols)).over(before(rows))}
+
+
+def missing_share(panel: DataFrame, cols: Sequence[str], rows: int = 7) -> DataFrame:
+    """Share of missing cells in the preceding rows."""
+    return panel.withColumns(missing_share_columns(cols, rows))
 
 
 def zscore_per_id(panel: DataFrame, cols: Sequence[str]) -> DataFrame:

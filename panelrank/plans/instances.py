@@ -62,35 +62,35 @@ def build_instances(panel: DataFrame, o: FeatureOptions) -> DataFrame:
         made.extend(c for c in rows.columns if c not in before)
         return rows
 
-    steps = []
-    if o.lags:
-        steps.append(lambda d: windows.lags(d, t, o.lags))
+    # Families that read only the panel's own columns share one projection.
+    flat = dict(windows.lag_columns(t, o.lags))
     for c, n in o.extra_lags.items():
-        steps.append(lambda d, c=c, n=n: windows.lags(d, c, n))
+        flat |= windows.lag_columns(c, n)
     if o.volatility:
-        steps.append(lambda d: windows.volatility(d, t, biggest))
+        flat |= windows.volatility_columns(t, biggest)
+    flat |= windows.day_change_columns(o.change_cols)
+    flat |= windows.short_std_columns(o.short_cols)
+    if o.study_day:
+        flat |= windows.study_day_columns()
+    if o.same_day_cols:
+        flat |= windows.same_day_columns(o.same_day_cols)
+    if o.missing_share:
+        flat |= windows.missing_share_columns(o.cols)
+    if o.ema_weighted:
+        flat |= windows.ema_weighted_columns(o.cols, biggest)
+    if flat:
+        df = added(df.withColumns(flat), df.columns)
+    steps = []
     if o.momentum:
         steps.append(lambda d: windows.momentum(d, t, biggest))
     if o.ema_cols:
         steps.append(lambda d: windows.ema(d, o.ema_cols, o.ema_spans))
-    if o.change_cols:
-        steps.append(lambda d: windows.day_change(d, o.change_cols))
     if o.autocorr:
         steps.append(lambda d: windows.rolling_autocorr(d, t, biggest))
     if o.rmssd:
         steps.append(lambda d: windows.rmssd(d, t, biggest))
-    if o.short_cols:
-        steps.append(lambda d: windows.short_std(d, o.short_cols))
     if o.adaptive:
         steps.append(lambda d: windows.adaptive_direction(d, t))
-    if o.study_day:
-        steps.append(windows.study_day)
-    if o.same_day_cols:
-        steps.append(lambda d: windows.same_day(d, o.same_day_cols))
-    if o.missing_share:
-        steps.append(lambda d: windows.missing_share(d, o.cols))
-    if o.ema_weighted:
-        steps.append(lambda d: windows.ema_weighted_mean(d, o.cols, biggest))
     for step in steps:
         df = added(step(df), df.columns)
     if o.apps:

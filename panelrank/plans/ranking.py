@@ -25,21 +25,26 @@ class RankingColumns:
     seed: int = 42
 
 
-def ranking_features(df: DataFrame, c: RankingColumns) -> DataFrame:
+def ranking_features(
+    df: DataFrame, c: RankingColumns, pages: DataFrame | None = None
+) -> DataFrame:
     """Split, within-group features and out-of-fold priors per key set.
 
-    Prior columns carry the key set's names as a prefix.
+    Prior columns carry the key set's names as a prefix. Priors are summed from the narrow
+    input, not from the feature table. ``pages`` may name a cheaper table with the same
+    group sizes to look for oversized groups in.
     """
-    large = scale.oversized_groups(df.select(c.group), [c.group])
-    rows = splits.split_groups(df, c.group, seed=c.seed)
-    rows = groups.within_group_features(rows, [c.group], c.price, c.deltas, oversized=large)
     fold = F.when(
         F.col("part") == "train", splits.hash_bucket(c.folds, c.group, seed=c.seed + 1)
     )
-    rows = rows.withColumn("fold", fold)
+    base = splits.split_groups(df, c.group, seed=c.seed).withColumn("fold", fold)
+    large = scale.oversized_groups(df if pages is None else pages, [c.group])
+    rows = groups.within_group_features(base, [c.group], c.price, c.deltas, oversized=large)
+    rates = groups.overall_rates(base.filter(F.col("fold").isNotNull()), c.targets)
     for keys in c.prior_keys:
         prefix = "_".join(keys)
-        rows = groups.oof_priors(rows, keys, "fold", c.targets)
+        source = base.select(*keys, "fold", *c.targets)
+        rows = groups.oof_priors(rows, keys, "fold", c.targets, rates=rates, source=source)
         renamed = ["impressions_log1p", *[f"{t}_rate" for t in c.targets]]
         rows = rows.withColumnsRenamed({n: f"{prefix}_{n}" for n in renamed})
     return rows
@@ -53,12 +58,14 @@ def feature_columns(rows: DataFrame, c: RankingColumns) -> list[str]:
     return [name for name in made if name in rows.columns]
 
 
-def fit_and_rank(df: DataFrame, c: RankingColumns) -> tuple[DataFrame, DataFrame]:
+def fit_and_rank(
+    df: DataFrame, c: RankingColumns, pages: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Linear ranker learnt on the training part: (submission, NDCG per part).
 
     The feature table is written once; fitting and scoring both read it.
     """
-    rows = scale.cut_lineage(ranking_features(df, c))
+    rows = scale.cut_lineage(ranking_features(df, c, pages))
     cols = feature_columns(rows, c)
     ready = rows.fillna(0.0, cols)
     train = ready.filter(F.col("part") == "train")

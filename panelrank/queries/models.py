@@ -64,8 +64,7 @@ def _(spark, sf):
     f"""WITH {CLEAN}, q AS (SELECT quantile_cont(spend, 0.05) AS a, quantile_cont(spend, 0.95) AS b FROM clean),
     w AS (SELECT id, date, mood, strain, CASE WHEN spend < a THEN a WHEN spend > b THEN b ELSE spend END AS spend,
       CASE WHEN clicks > 2 THEN 2 ELSE clicks END AS clicks, CASE WHEN signups > 2 THEN 2 ELSE signups END AS signups FROM clean, q),
-    c AS (SELECT id, date, mood, strain, CASE WHEN spend > 2 AND FALSE THEN 2 ELSE spend END AS spend, clicks, signups FROM w),
-    r AS (SELECT *, count(mood) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c),
+    r AS (SELECT *, count(mood) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM w),
     g AS (SELECT id, run, count(*) AS len FROM r WHERE mood IS NULL GROUP BY id, run),
     k AS (SELECT r.* FROM r LEFT JOIN g ON r.id = g.id AND r.run = g.run WHERE NOT (mood IS NULL AND coalesce(len, 0) > 3)),
     n AS (SELECT *, (row_number() OVER {BY})::DOUBLE AS rn FROM k),
@@ -492,19 +491,22 @@ RANKING = RankingColumns(
 
 def _pages(spark, sf):
     rows = interactions(spark, sf).select("srch", *TIE, "price", "score2", "rel", "clicked", "booked")
-    return with_destination(with_stars(rows, spark, sf), spark, sf)
+    return with_destination(with_stars(rows, spark, sf), spark, sf), rows.select("srch")
 
 
 @query("ranking_features")
 def _(spark, sf):
-    return rounded(ranking_features(_pages(spark, sf), RANKING))
+    rows, pages = _pages(spark, sf)
+    return rounded(ranking_features(rows, RANKING, pages))
 
 
 @query("ranker_quality")
 def _(spark, sf):
-    return rounded(fit_and_rank(_pages(spark, sf), RANKING)[1], 3)
+    rows, pages = _pages(spark, sf)
+    return rounded(fit_and_rank(rows, RANKING, pages)[1], 3)
 
 
 @query("ranker_submission")
 def _(spark, sf):
-    return fit_and_rank(_pages(spark, sf), RANKING)[0]
+    rows, pages = _pages(spark, sf)
+    return fit_and_rank(rows, RANKING, pages)[0]
