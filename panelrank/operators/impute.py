@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, GroupedData, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,6 +130,13 @@ def median_fill(panel: DataFrame, cols: Sequence[str], zero: Sequence[str] = ())
     return replace_columns(panel, new)
 
 
+def _per_id(panel: DataFrame) -> GroupedData:
+    """Groups by id with a fixed number of partitions: the work per byte is high here, so
+    partitions must not be merged by size."""
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.repartition(n, "id").groupBy("id")
+
+
 def _nearest_fill(values: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     """Fill holes with the mean of the k nearest rows that hold the column."""
     seen = ~np.isnan(values)
@@ -193,7 +200,7 @@ def impute_knn(panel: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
         rows[cols] = values
         return rows
 
-    return panel.groupBy("id").applyInPandas(fill, schema)
+    return _per_id(panel).applyInPandas(fill, schema)
 
 
 def impute_regression(
@@ -236,7 +243,7 @@ def impute_regression(
             rows = rows.assign(**{c: full[:, i] for i, c in enumerate(cols)})
         return rows
 
-    return panel.groupBy("id").applyInPandas(fill, schema)
+    return _per_id(panel).applyInPandas(fill, schema)
 
 
 def imputation_report(methods: dict[str, DataFrame], col: str) -> DataFrame:

@@ -355,31 +355,46 @@ def segment_cells(
     segment: str,
     tie: Sequence[str],
     k: int = 5,
+    ordinary: bool = False,
     grades: Sequence[int] = GRADES,
 ) -> DataFrame:
     """Per (group, segment): positives, share of the top slots, and the group's NDCG.
 
-    Rows are shuffled once for the top ``k`` and once as counts; a group has at most one cell
-    per segment, and segments are a handful of labels.
+    With ``ordinary`` (no group is larger than one task can sort, see ``oversized_groups``)
+    one window and one aggregate follow a single shuffle by group. Without it the top ``k``
+    is limited before the shuffle and joined to counts, which holds for groups of any size.
+    A group has at most one cell per segment, and segments are a handful of labels.
     """
     group = list(group)
-    top = scale.top_k_in_group(
-        df.select(*group, segment, rel, score, *tie), group, [F.desc(score), *tie], k
-    )
-    shown = top.groupBy(*group, segment).agg(
-        (F.count(F.lit(1)) / F.lit(float(k))).alias("share"), F.sum(_gain(rel, k)).alias("_dcg")
-    )
-    counts = df.groupBy(*group, segment).agg(
-        F.count_if(F.col(rel) > 0).alias("positives"), *_grade_counts(rel, grades)
-    )
-    cells = counts.join(shown, [*group, segment], "left").withColumn(
-        "share", F.coalesce("share", F.lit(0.0))
-    )
+    share = F.col("_shown") / F.lit(float(k))
+    counts = [
+        F.count_if(F.col(rel) > 0).alias("positives"),
+        *_grade_counts(rel, grades),
+    ]
+    shown = [
+        F.count_if(F.col("pos") <= k).alias("_shown"),
+        F.sum(F.when(F.col("pos") <= k, _gain(rel, k)).otherwise(0.0)).alias("_dcg"),
+    ]
+    order = [F.desc(score), *tie]
+    rows = df.select(*group, segment, rel, score, *tie)
+    if ordinary:
+        placed = rows.withColumn(
+            "pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        )
+        cells = placed.groupBy(*group, segment).agg(*counts, *shown)
+    else:
+        top = scale.top_k_in_group(rows, group, order, k)
+        cells = (
+            df.groupBy(*group, segment)
+            .agg(*counts)
+            .join(top.groupBy(*group, segment).agg(*shown), [*group, segment], "left")
+            .fillna(0, ["_shown", "_dcg"])
+        )
     whole = Window.partitionBy(*group)
-    order = whole.orderBy(segment)
     sums = {c: F.sum(c).over(whole) for c in ("_dcg", *[f"_g{g}" for g in grades])}
     return (
-        cells.withColumns({**sums, "_cell": F.row_number().over(order)})
+        cells.withColumn("share", share)
+        .withColumns({**sums, "_cell": F.row_number().over(whole.orderBy(segment))})
         .withColumns({"ndcg": _normalised(k, grades), "first_cell": F.col("_cell") == 1})
         .select(*group, segment, "positives", "share", "ndcg", "first_cell")
     )
@@ -395,9 +410,10 @@ def segment_metrics(
     k: int = 5,
     least_groups: int = 500,
     least_positives: int = 100,
+    ordinary: bool = False,
 ) -> DataFrame:
     """NDCG and exposure per segment over the groups that hold a positive of the segment."""
-    cells = segment_cells(df, group, rel, score, segment, tie, k)
+    cells = segment_cells(df, group, rel, score, segment, tie, k, ordinary)
     return (
         cells.filter(F.col("positives") > 0)
         .groupBy(segment)
@@ -445,15 +461,20 @@ def lambda_sweep(
     lambdas: Sequence[float] = LAMBDAS,
     tolerance: float = 0.005,
     k: int = 5,
+    ordinary: bool = False,
 ) -> DataFrame:
     """NDCG and exposure per boost strength, with the strongest admissible one marked.
 
     Admissible: NDCG falls by at most ``tolerance`` and the exposure of low and medium rises.
+    With ``ordinary`` groups (see ``segment_cells``) rows are shuffled once, before they are
+    multiplied by the strengths.
     """
-    spread = df.withColumn(
+    rows = df.select(*group, segment, rel, score, *tie)
+    rows = rows.repartition(*group) if ordinary else rows
+    spread = rows.withColumn(
         "lambda", F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
     ).withColumn("_s", F.col(score) + F.col("lambda") * boost_column(boosts, segment))
-    cells = segment_cells(spread, ["lambda", *group], rel, "_s", segment, tie, k)
+    cells = segment_cells(spread, ["lambda", *group], rel, "_s", segment, tie, k, ordinary)
     rows = cells.groupBy("lambda").agg(
         F.avg(F.when(F.col("first_cell"), F.col("ndcg"))).alias("ndcg"),
         *[
@@ -499,24 +520,35 @@ def blend_sweep(
     tie: Sequence[str],
     weights: Sequence[float],
     k: int = 5,
+    ordinary: bool = False,
 ) -> DataFrame:
-    """Mean NDCG per blend weight."""
+    """Mean NDCG per blend weight.
+
+    With ``ordinary`` groups (see ``segment_cells``) rows are shuffled once, before they are
+    multiplied by the weights.
+    """
     group = list(group)
-    spread = df.select(*group, rel, *a, b, *tie).withColumn(
+    rows = df.select(*group, rel, *a, b, *tie)
+    rows = rows.repartition(*group) if ordinary else rows
+    spread = rows.withColumn(
         "weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))
     )
     spread = spread.select(
         "weight", *group, rel, *tie, blend(a, b, F.col("weight")).alias("_s")
     )
-    top = scale.top_k_in_group(spread, ["weight", *group], [F.desc("_s"), *tie], k)
-    reached = top.groupBy("weight", *group).agg(F.sum(_gain(rel, k)).alias("_dcg"))
-    # The ideal order does not depend on the weight.
-    counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
-    return (
-        reached.join(counts, group)
-        .groupBy("weight")
-        .agg(F.avg(_normalised(k, GRADES)).alias("ndcg"))
-    )
+    keys, order = ["weight", *group], [F.desc("_s"), *tie]
+    gain = F.sum(F.when(F.col("pos") <= k, _gain(rel, k)).otherwise(0.0)).alias("_dcg")
+    if ordinary:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        scored = spread.withColumn("pos", place).groupBy(*keys).agg(
+            gain, *_grade_counts(rel, GRADES)
+        )
+    else:
+        # The ideal order does not depend on the weight.
+        counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
+        top = scale.top_k_in_group(spread, keys, order, k)
+        scored = top.groupBy(*keys).agg(gain).join(counts, group)
+    return scored.groupBy("weight").agg(F.avg(_normalised(k, GRADES)).alias("ndcg"))
 
 
 def worst_groups(

@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrank.operators import scale
+
 
 def encode_taxonomy(baskets: DataFrame, taxonomy: DataFrame, basket: str, item: str) -> DataFrame:
     """Each basket's distinct items plus all their ancestors, as an array.
@@ -27,11 +29,15 @@ def encode_taxonomy(baskets: DataFrame, taxonomy: DataFrame, basket: str, item:
 def frequent_itemsets(
     encoded: DataFrame, min_support: float, min_confidence: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Itemsets with support, and single-consequent rules with confidence, lift and support."""
+    """Itemsets with support, and single-consequent rules with confidence, lift and support.
+
+    Mining reads the baskets several times, so they are written once to the checkpoint folder.
+    """
+    encoded = scale.cut_lineage(encoded)
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(encoded)
-    total = encoded.agg(F.count(F.lit(1))).scalar()
+    total = F.lit(encoded.count())
     itemsets = model.freqItemsets.select(
         F.array_sort("items").alias("items"), "freq", (F.col("freq") / total).alias("support")
     )

@@ -34,6 +34,16 @@ def fits_one_task(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that one task could hold to all cores before its rows are multiplied.
+
+    Such a table usually arrives as one file split; larger ones are left as they are.
+    """
+    if not fits_one_task(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names."""
     spark = df.sparkSession

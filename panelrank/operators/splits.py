@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def uniform(*cols: str, seed: int = 42) -> Column:
     return F.conv(F.substring(hash_key(*cols, seed=seed), 1, 8), 16, 10).cast("double") / 2**32
 
 
+def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with a costly ``value`` computed once however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _dates(df: DataFrame) -> list:
     """The distinct days of a table: as many as the calendar has."""
     return [r["date"] for r in df.select("date").distinct().orderBy("date").collect()]
@@ -59,12 +64,12 @@ def split_groups(
     df: DataFrame, group: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42
 ) -> DataFrame:
     """Whole groups to train / val / holdout by hash threshold: no shuffle, any number of groups."""
-    place = uniform(group, seed=seed)
     train, val = shares
-    return df.withColumn(
-        "part",
-        F.when(place < train, "train").when(place < train + val, "val").otherwise("holdout"),
-    )
+
+    def part(u: Column) -> Column:
+        return F.when(u < train, "train").when(u < train + val, "val").otherwise("holdout")
+
+    return df.withColumn("part", evaluated_once(uniform(group, seed=seed), part))
 
 
 def check_split(parts: DataFrame, group: str) -> DataFrame:
@@ -175,10 +180,14 @@ POISSON_1 = (
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) draw from a uniform number."""
-    out = F.lit(0)
-    for p in POISSON_1:
-        out = out + (u >= p).cast("int")
-    return out
+
+    def draw(v: Column) -> Column:
+        out = F.lit(0)
+        for p in POISSON_1:
+            out = out + (v >= p).cast("int")
+        return out
+
+    return evaluated_once(u, draw)
 
 
 def bootstrap_weights(
@@ -189,7 +198,7 @@ def bootstrap_weights(
     Weights are Poisson(1) draws by hash, so no row needs to know the table's size and a
     lost task redraws the same weights. Metrics follow from one weighted aggregate.
     """
-    spread = df.withColumn(
+    spread = scale.spread(df).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     return spread.withColumn("weight", poisson_weight(uniform(*key, "replicate", seed=seed)))

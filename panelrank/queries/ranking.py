@@ -58,6 +58,11 @@ def with_stars(df, spark, sf):
     return df.join(part, "item")
 
 
+def pages_are_ordinary(spark, sf):
+    """No page is larger than one task can sort."""
+    return scale.oversized_groups(interactions(spark, sf).select("srch"), GROUP) is None
+
+
 def segmented(spark, sf, part):
     """Rows of one part with the popularity label learnt on the training part."""
     rows = with_parts(spark, sf)
@@ -376,7 +381,14 @@ def _(spark, sf):
     rows = segmented(spark, sf, "holdout")
     return rounded(
         metrics.segment_metrics(
-            rows, GROUP, "rel", "score_b", "popularity", TIE, least_groups=200
+            rows,
+            GROUP,
+            "rel",
+            "score_b",
+            "popularity",
+            TIE,
+            least_groups=200,
+            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 
@@ -388,7 +400,9 @@ boosted AS (SELECT seg.*, coalesce(boost, 0) AS boost FROM seg LEFT JOIN boosts
 
 def _boosts(spark, sf):
     rows = segmented(spark, sf, "val")
-    base = metrics.segment_metrics(rows, GROUP, "rel", "score_b", "popularity", TIE)
+    base = metrics.segment_metrics(
+        rows, GROUP, "rel", "score_b", "popularity", TIE, ordinary=pages_are_ordinary(spark, sf)
+    )
     return rows, metrics.exposure_boosts(base, "popularity")
 
 
@@ -455,7 +469,16 @@ def _(spark, sf):
     rows, boosts = _boosts(spark, sf)
     return rounded(
         metrics.lambda_sweep(
-            rows, GROUP, "rel", "score_b", "popularity", boosts, TIE, STRENGTHS, tolerance=0.02
+            rows,
+            GROUP,
+            "rel",
+            "score_b",
+            "popularity",
+            boosts,
+            TIE,
+            STRENGTHS,
+            tolerance=0.02,
+            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 
@@ -471,7 +494,14 @@ WEIGHTS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 def _(spark, sf):
     return rounded(
         metrics.blend_sweep(
-            interactions(spark, sf), GROUP, "rel", ["score_a", "score_c"], "score_b", TIE, WEIGHTS
+            interactions(spark, sf),
+            GROUP,
+            "rel",
+            ["score_a", "score_c"],
+            "score_b",
+            TIE,
+            WEIGHTS,
+            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 

@@ -11,6 +11,8 @@ def local_session(cpus: int | str = 8, name: str = "panelrank") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # Local tables are tiny: merging their partitions would leave cores idle.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

@@ -172,3 +172,17 @@ def test_scan_reads_only_needed_columns(spark):
     text = plan(metrics.ndcg_per_group(interactions(spark, SMALL), ["srch"], "rel", "score_b", TIE))
     for unused in ("l_extendedprice", "l_tax", "l_shipdate"):
         assert unused not in text
+
+
+def test_sweeps_agree_on_ordinary_and_any_groups(spark):
+    rows = interactions(spark, SMALL).withColumn(
+        "seg", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("item") % 3 + 1).cast("int"))
+    )
+    args = (rows, ["srch"], "rel", "score_b", "seg")
+    same(metrics.segment_metrics(*args, TIE), metrics.segment_metrics(*args, TIE, ordinary=True))
+    boosts = {"low": 2.0, "medium": 1.0, "high": 0.1}
+    any_, ordinary = (metrics.lambda_sweep(*args, boosts, TIE, (0.0, 5.0, 50.0), ordinary=o) for o in (False, True))
+    same(any_, ordinary)
+    blends = [metrics.blend_sweep(rows, ["srch"], "rel", ["score_a"], "score_b", TIE, (0.0, 0.5), ordinary=o) for o in (False, True)]
+    same(*blends)
+    assert plan(blends[1]).count("Exchange hashpartitioning(srch") == 1
