@@ -71,7 +71,7 @@ def regression_report(
     w = F.lit(1) if weight is None else weight
     rows = df.select(
         *by, truth.cast("double").alias("_y"), pred.cast("double").alias("_p"), w.alias("_w")
-    ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull() & (F.col("_w") > 0))
+    ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     error = F.col("_y") - F.col("_p")
     y, w = F.col("_y"), F.col("_w")
     n = F.sum(w)

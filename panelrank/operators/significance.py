@@ -76,7 +76,7 @@ def bootstrap_reports(
 ) -> DataFrame:
     """Macro F1, accuracy and R2 of every resampled copy of the prediction table."""
     rows = df.select(*key, truth, pred, truth_class, pred_class)
-    drawn = bootstrap_weights(rows, key, replicates, seed).filter(F.col("weight") > 0)
+    drawn = bootstrap_weights(rows, key, replicates, seed)
     classes = metrics.classification_report(
         metrics.confusion_counts(
             drawn, truth_class, pred_class, by=["replicate"], weight=F.col("weight")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,16 +15,37 @@ def hash_key(*cols: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
 
 
+def hash_code(*cols: str, seed: int = 42) -> Column:
+    """First 32 bits of the md5 of key and seed as 8 hex digits, which sort like the number."""
+    return F.substring(hash_key(*cols, seed=seed), 1, 8)
+
+
+def hex_cut(share: float) -> str:
+    """Smallest code at or above a share of the code range."""
+    return f"{min(math.ceil(share * 2**32), 2**32 - 1):08x}"
+
+
 def hash_bucket(n: int, *cols: str, seed: int = 42) -> Column:
-    """Uniform bucket 0..n-1 from the first 32 bits of the md5 of the key and the seed."""
-    return (F.conv(F.substring(hash_key(*cols, seed=seed), 1, 8), 16, 10).cast("long") % n).cast(
-        "int"
-    )
+    """Bucket 0..n-1: equal ranges of the hash code, told apart by string comparison."""
+    if n > MOST_RANGES:
+        return F.floor(uniform(*cols, seed=seed) * n).cast("int")
+
+    def bucket(code: Column) -> Column:
+        out = F.lit(0)
+        for i in range(1, n):
+            out = out + (code >= hex_cut(i / n)).cast("int")
+        return out
+
+    return evaluated_once(hash_code(*cols, seed=seed), bucket)
+
+
+# Beyond this many ranges arithmetic on the number is cheaper than comparisons.
+MOST_RANGES = 16
 
 
 def uniform(*cols: str, seed: int = 42) -> Column:
     """Number in [0, 1) from the key's hash."""
-    return F.conv(F.substring(hash_key(*cols, seed=seed), 1, 8), 16, 10).cast("double") / 2**32
+    return F.conv(hash_code(*cols, seed=seed), 16, 10).cast("double") / 2**32
 
 
 def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,11 +87,13 @@ def split_groups(
 ) -> DataFrame:
     """Whole groups to train / val / holdout by hash threshold: no shuffle, any number of groups."""
     train, val = shares
-
-    def part(u: Column) -> Column:
-        return F.when(u < train, "train").when(u < train + val, "val").otherwise("holdout")
-
-    return df.withColumn("part", evaluated_once(uniform(group, seed=seed), part))
+    code = hash_code(group, seed=seed)
+    return df.withColumn(
+        "part",
+        F.when(code < hex_cut(train), "train")
+        .when(code < hex_cut(train + val), "val")
+        .otherwise("holdout"),
+    )
 
 
 def check_split(parts: DataFrame, group: str) -> DataFrame:
@@ -178,16 +202,16 @@ POISSON_1 = (
 )
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number."""
+def poisson_weight(code: Column) -> Column:
+    """Poisson(1) draw from a hash code."""
 
-    def draw(v: Column) -> Column:
+    def draw(c: Column) -> Column:
         out = F.lit(0)
         for p in POISSON_1:
-            out = out + (v >= p).cast("int")
+            out = out + (c >= hex_cut(p)).cast("int")
         return out
 
-    return evaluated_once(u, draw)
+    return evaluated_once(code, draw)
 
 
 def bootstrap_weights(
@@ -201,7 +225,7 @@ def bootstrap_weights(
     spread = scale.spread(df).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
-    return spread.withColumn("weight", poisson_weight(uniform(*key, "replicate", seed=seed)))
+    return spread.withColumn("weight", poisson_weight(hash_code(*key, "replicate", seed=seed)))
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:

@@ -27,7 +27,7 @@ from panelrank.queries.ranking import (
     TARGETS,
     TIE,
     interactions,
-    sql_hash,
+    sql_bucket,
     sql_uniform,
     with_destination,
     with_stars,
@@ -266,7 +266,7 @@ def _(spark, sf):
     f"""WITH {_SPACE}, n AS (SELECT p_type, count(*) AS n FROM space GROUP BY p_type), big AS (SELECT max(n) AS top FROM n),
     c AS (SELECT space.*, (top - n) // n + ({sql_uniform("p_partkey")} < ((top - n) % n) / n)::INT AS copies FROM space JOIN n USING (p_type), big WHERE n < top),
     e AS (SELECT *, unnest(range(1, copies + 1))::INT AS copy FROM c WHERE copies > 0),
-    d AS (SELECT *, ({sql_hash("p_partkey", "copy")} % 5 + 1)::INT AS place, {sql_uniform("p_partkey", "copy", seed=43)} AS share FROM e),
+    d AS (SELECT *, {sql_bucket(5, "p_partkey", "copy")} + 1 AS place, {sql_uniform("p_partkey", "copy", seed=43)} AS share FROM e),
     {_near_sql("TRUE", "TRUE", "a.p_type = b.p_type AND a.p_partkey <> b.p_partkey")}
     SELECT d.p_partkey, copy, p_type, {rd("x + share * (bx - x)", "x")}, {rd("z + share * (bz - z)", "z")} FROM d JOIN near ON near.p_partkey = d.p_partkey AND near.place = d.place""",
 )

@@ -83,6 +83,10 @@ def sql_hash(*cols, seed=42):
     return f"('0x' || substr(md5(concat_ws('-', {parts}, '{seed}')), 1, 8))::BIGINT"
 
 
+def sql_bucket(n, *cols, seed=42):
+    return f"floor({sql_hash(*cols, seed=seed)} * {n} / 4294967296.0::DOUBLE)::INT"
+
+
 def sql_uniform(*cols, seed=42):
     return f"({sql_hash(*cols, seed=seed)} / 4294967296.0::DOUBLE)"
 
@@ -205,7 +209,7 @@ def _(spark, sf):
 
 
 def _oof_sql(keys, source):
-    return f"""folded AS (SELECT *, CASE WHEN part = 'train' THEN ({sql_hash("srch", seed=7)} % 5)::INT ELSE -1 END AS fold FROM {source}),
+    return f"""folded AS (SELECT *, CASE WHEN part = 'train' THEN {sql_bucket(5, "srch", seed=7)} ELSE -1 END AS fold FROM {source}),
     {_RATE}, pf AS (SELECT {keys}, fold, count(*) AS n, sum(clicked) AS s1, sum(booked) AS s2, sum(rel) AS s3 FROM folded WHERE fold >= 0 GROUP BY {keys}, fold),
     pa AS (SELECT {keys}, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(s3) AS s3 FROM pf GROUP BY {keys}),
     x AS (SELECT f.srch, f.line, f.item, f.supp, f.fold, coalesce(pa.n, 0) - coalesce(pf.n, 0) AS n, coalesce(pa.s1, 0) - coalesce(pf.s1, 0) AS s_clicked,
@@ -575,7 +579,7 @@ def _(spark, sf):
 
 @query(
     "group_kfold",
-    f"WITH {INTER} SELECT srch, line, item, supp, ({sql_hash('srch')} % 5)::INT AS fold FROM inter",
+    f"WITH {INTER} SELECT srch, line, item, supp, {sql_bucket(5, 'srch')} AS fold FROM inter",
 )
 def _(spark, sf):
     return splits.group_kfold(interactions(spark, sf).select("srch", *TIE), "srch")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelrank.operators import groups, metrics, significance, splits
 from panelrank.queries.panel import CLEAN, cleaned
-from panelrank.queries.ranking import sql_hash, sql_uniform
+from panelrank.queries.ranking import sql_bucket, sql_uniform
 from panelrank.queries.registry import query, rd, rds, rounded
 from panelrank.sources.tables import table
 
@@ -297,7 +297,7 @@ def _(spark, sf):
 
 @query(
     "seed_summary",
-    f"""WITH {PRED}, f AS (SELECT *, {sql_hash("l_orderkey", seed=3)} % 5 AS fold FROM pred), r AS (SELECT fold, {_REG.format(y="y", p="(a + b) / 2")} FROM f GROUP BY fold)
+    f"""WITH {PRED}, f AS (SELECT *, {sql_bucket(5, "l_orderkey", seed=3)} AS fold FROM pred), r AS (SELECT fold, {_REG.format(y="y", p="(a + b) / 2")} FROM f GROUP BY fold)
     SELECT {rd("avg(mae)", "mae_mean")}, {rd("avg(r2)", "r2_mean")}, {rd("stddev_samp(mae)", "mae_std")}, {rd("stddev_samp(r2)", "r2_std")} FROM r""",
 )
 def _(spark, sf):
