@@ -34,14 +34,15 @@ def fits_one_task(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that one task could hold to all cores before its rows are multiplied.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that one task could hold to all cores, by key if one is named.
 
-    Such a table usually arrives as one file split; larger ones are left as they are.
+    Such a table usually arrives as one file split, which would leave all other cores idle;
+    a larger one comes in many splits and is left as it is.
     """
     if not fits_one_task(df):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelrank.functions import scalar
 from panelrank.functions.stats import keep_missing
-from panelrank.operators import clean, impute, rollup, windows
+from panelrank.operators import clean, impute, joins, rollup, windows
 from panelrank.queries.registry import query, rd, rds, rounded
 from panelrank.sources.tables import table
 
@@ -562,6 +562,25 @@ def _(spark, sf):
     return clean.trim_top_quantile_if_sparse(rows, "value", empty=0.05)
 
 
+@query("combine_parts", f"WITH {DAILY} SELECT id, date, {rds(ALL)} FROM daily")
+def _(spark, sf):
+    # Per-variable rollups joined in full give the same rows as one conditional aggregate.
+    rows = measurements(spark, sf)
+    parts = [rollup.daily_rollup(rows, {name: rule}) for name, rule in RULES.items()]
+    return rounded(joins.combine_parts(parts, ["id", "date"]))
+
+
+@query(
+    "pair_variables",
+    f"""WITH {M}, h AS (SELECT id, date, variable, sum(value) AS value FROM m GROUP BY ALL)
+    SELECT a.id, a.date, {rd("a.value", '"view"')}, {rd("b.value", "error")} FROM h a JOIN h b ON a.id = b.id AND a.date = b.date WHERE a.variable = 'view' AND b.variable = 'error'""",
+)
+def _(spark, sf):
+    rows = measurements(spark, sf).groupBy("id", "date", "variable")
+    rows = rows.agg(F.sum("value").alias("value"))
+    return rounded(joins.pair_variables(rows, "view", "error", ["id", "date"]))
+
+
 # --- filling and gaps ---------------------------------------------------------------------
 
 _SO_FAR = "(PARTITION BY id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, metrics, profile, rules, scale, splits
+from panelrank.operators import groups, joins, metrics, profile, rules, scale, splits
 from panelrank.queries.registry import query, rd, rds, rounded
 from panelrank.sources.tables import table
 
@@ -20,7 +20,7 @@ def interactions(spark, sf):
     li = table(spark, sf, "lineitem")
     booked = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     clicked = booked | (F.col("l_returnflag") == "A")
-    return li.select(
+    rows = li.select(
         F.col("l_orderkey").alias("srch"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("item"),
@@ -35,6 +35,7 @@ def interactions(spark, sf):
         (F.col("l_discount") * 1000 - F.col("l_quantity")).alias("score_b"),
         (-F.col("l_quantity")).alias("score_c"),
     ).withColumn("rel", groups.relevance_grade(F.col("booked"), F.col("clicked")))
+    return scale.spread(rows, "srch")
 
 
 def with_parts(spark, sf):
@@ -434,26 +435,12 @@ _REPORT = "SELECT popularity, avg(ndcg) AS ndcg, avg(share) AS exposure FROM {n}
 def _(spark, sf):
     _, boosts = _boosts(spark, sf)
     rows = segmented(spark, sf, "holdout")
-    parts = {}
-    for name, df in (
-        ("before", rows),
-        ("after", metrics.rerank(rows, "score_b", "popularity", boosts, 20.0)),
-    ):
-        found = metrics.segment_metrics(df, GROUP, "rel", "score_b", "popularity", TIE)
-        parts[name] = found.select(
-            "popularity",
-            F.col("ndcg").alias(f"ndcg_{name}"),
-            F.col("exposure").alias(f"exposure_{name}"),
-        )
-    both = parts["before"].join(parts["after"], "popularity")
-    return rounded(
-        both.withColumns(
-            {
-                "ndcg_delta": F.col("ndcg_after") - F.col("ndcg_before"),
-                "exposure_delta": F.col("exposure_after") - F.col("exposure_before"),
-            }
-        )
+    ordinary = pages_are_ordinary(spark, sf)
+    before, after = (
+        metrics.segment_metrics(df, GROUP, "rel", "score_b", "popularity", TIE, ordinary=ordinary)
+        for df in (rows, metrics.rerank(rows, "score_b", "popularity", boosts, 20.0))
     )
+    return rounded(joins.before_after(before, after, "popularity", ["ndcg", "exposure"]))
 
 
 STRENGTHS = (0.0, 1.0, 5.0, 20.0, 50.0, 100.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, metrics, significance, splits
+from panelrank.operators import groups, metrics, scale, significance, splits
 from panelrank.queries.panel import CLEAN, cleaned
 from panelrank.queries.ranking import sql_bucket, sql_uniform
 from panelrank.queries.registry import query, rd, rds, rounded
@@ -21,7 +21,7 @@ def predictions(spark, sf):
         (25 + 0.5 * (F.col("l_quantity") - 25) + 10 * (F.col("l_discount") - 0.05)).alias("a"),
         (25 + 0.3 * (F.col("l_quantity") - 25) + 100 * (F.col("l_tax") - 0.04)).alias("b"),
     )
-    return splits.split_groups(rows, "l_orderkey")
+    return splits.split_groups(scale.spread(rows, "l_orderkey"), "l_orderkey")
 
 
 def classified(spark, sf):
