@@ -242,7 +242,7 @@ def iqr_filter_long(df: DataFrame, mult: float = 3.0) -> DataFrame:
     )
     inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
     return (
-        df.join(fences, "variable", "left")
+        scale.join_lookup(df, fences, ["variable"])
         .withColumn("value", F.when(inside, F.col("value")))
         .drop("_lo", "_hi")
     )

@@ -122,11 +122,11 @@ def oof_priors(
     ``fold`` is the training fold of a row, missing for rows outside the training part; those
     see all folds. Sums per (key, fold) are taken once, and a fold's prior is the key's total
     minus the fold's own sum. A key seen nowhere else gets the overall rate. ``source`` may
-    name a narrower table with the same rows to take the sums from.
+    name a narrower table of the training rows to take the sums from.
     """
     keys = list(keys)
     measures = ["_n", *[f"_sum_{t}" for t in targets]]
-    train = (df if source is None else source).filter(F.col(fold).isNotNull())
+    train = df.filter(F.col(fold).isNotNull()) if source is None else source
     per_fold = train.groupBy(*keys, fold).agg(*_sums(targets))
     rate = rates or _rates(train, targets)
     # At most one row per fold and key.
@@ -151,19 +151,16 @@ def oof_priors(
         others = F.coalesce(F.col(f"_sum_{t}"), F.lit(0))
         features[f"{t}_rate"] = (others + F.lit(alpha) * rate[t]) / (n + alpha)
     # A training row whose key has no sums outside its fold still finds that fold's row.
-    return (
-        df.withColumn("_fold", F.coalesce(F.col(fold), none))
-        .join(seen, [*keys, "_fold"], "left")
-        .withColumns(features)
-        .drop("_fold", *measures)
-    )
+    rows = df.withColumn("_fold", F.coalesce(F.col(fold), none))
+    joined = scale.join_lookup(rows, seen, [*keys, "_fold"])
+    return joined.withColumns(features).drop("_fold", *measures)
 
 
 def apply_priors(
     df: DataFrame, priors: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column]
 ) -> DataFrame:
     """Left join of priors with defaults for unseen keys."""
-    joined = df.join(priors, list(keys), "left")
+    joined = scale.join_lookup(df, priors, keys)
     return joined.withColumns(
         {c: F.coalesce(F.col(c), default) for c, default in defaults.items()}
     )
@@ -183,7 +180,7 @@ def popularity_tertile(
 
 def label_popularity(df: DataFrame, tertiles: DataFrame, item: str) -> DataFrame:
     """Unseen items count as low."""
-    joined = df.join(tertiles.select(item, "popularity"), item, "left")
+    joined = scale.join_lookup(df, tertiles.select(item, "popularity"), [item])
     return joined.withColumn("popularity", F.coalesce("popularity", F.lit("low")))
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 SMALL_BYTES = 32 * 1024 * 1024
 
+# Rows of a counted lookup table that may be broadcast (a row is a few dozen bytes).
+BROADCAST_ROWS = 500_000
+
 # Rows of one group that a single window task may sort.
 LARGEST_GROUP = 5_000_000
 
@@ -75,7 +78,25 @@ def oversized_groups(
         .filter(F.col("_n") > most)
         .select(*keys)
     )
-    return None if found.isEmpty() else cut_lineage(found)
+    found = cut_lineage(found)
+    return None if found.isEmpty() else found
+
+
+def join_lookup(
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join a per-key table that may be tiny or huge.
+
+    Beyond the size where the planner's own estimate settles it, the lookup is written once
+    and counted: up to ``BROADCAST_ROWS`` rows go to every executor, so rows with few distinct
+    keys are not shuffled onto a few tasks; more rows join by shuffle, where adaptive
+    execution splits keys that are too frequent.
+    """
+    if not fits_one_task(lookup):
+        lookup = cut_lineage(lookup)
+        if lookup.count() <= BROADCAST_ROWS:
+            lookup = F.broadcast(lookup)
+    return df.join(lookup, list(keys), how)
 
 
 def running_total(
@@ -164,7 +185,7 @@ def quantiles(
     sizes = counted.groupBy(*keys).agg(F.sum("_copies").alias("n"))
     first = F.col("_below")
     last = F.col("_below") + F.col("_copies") - 1
-    wanted = ranked.join(sizes, keys)
+    wanted = join_lookup(ranked, sizes, keys, "inner")
     aggs = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("n") - 1)

@@ -38,12 +38,13 @@ def ranking_features(
         F.col("part") == "train", splits.hash_bucket(c.folds, c.group, seed=c.seed + 1)
     )
     base = splits.split_groups(df, c.group, seed=c.seed).withColumn("fold", fold)
+    train = base.filter(F.col("part") == "train")
     large = scale.oversized_groups(df if pages is None else pages, [c.group])
     rows = groups.within_group_features(base, [c.group], c.price, c.deltas, oversized=large)
-    rates = groups.overall_rates(base.filter(F.col("fold").isNotNull()), c.targets)
+    rates = groups.overall_rates(train, c.targets)
     for keys in c.prior_keys:
         prefix = "_".join(keys)
-        source = base.select(*keys, "fold", *c.targets)
+        source = train.select(*keys, "fold", *c.targets)
         rows = groups.oof_priors(rows, keys, "fold", c.targets, rates=rates, source=source)
         renamed = ["impressions_log1p", *[f"{t}_rate" for t in c.targets]]
         rows = rows.withColumnsRenamed({n: f"{prefix}_{n}" for n in renamed})

@@ -161,7 +161,8 @@ def test_rolling_features_need_one_exchange_by_id(spark):
     assert "CartesianProduct" not in built and "NestedLoop" not in built
 
 
-def test_top_k_is_limited_before_the_shuffle(spark):
+def test_top_k_is_limited_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
     rows = interactions(spark, SMALL)
     text = plan(metrics.ndcg_per_group(rows, ["srch"], "rel", "score_b", TIE))
     assert re.search(r"WindowGroupLimit .*Partial", text)
@@ -183,6 +184,33 @@ def test_sweeps_agree_on_ordinary_and_any_groups(spark):
     boosts = {"low": 2.0, "medium": 1.0, "high": 0.1}
     any_, ordinary = (metrics.lambda_sweep(*args, boosts, TIE, (0.0, 5.0, 50.0), ordinary=o) for o in (False, True))
     same(any_, ordinary)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(scale, "fits_one_task", lambda *_: False)
+        rows = interactions(spark, SMALL)
     blends = [metrics.blend_sweep(rows, ["srch"], "rel", ["score_a"], "score_b", TIE, (0.0, 0.5), ordinary=o) for o in (False, True)]
     same(*blends)
     assert plan(blends[1]).count("Exchange hashpartitioning(srch") == 1
+
+
+def test_lookup_join_counts_before_it_broadcasts(spark, skewed, monkeypatch):
+    lookup = skewed.groupBy("g").agg(F.avg("x").alias("m"))
+    small = scale.join_lookup(skewed, lookup, ["g"])
+    monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
+    counted = scale.join_lookup(skewed, lookup, ["g"])
+    assert "BroadcastHashJoin" in plan(counted)
+    same(small, counted)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    same(small, scale.join_lookup(skewed, lookup, ["g"]))
+
+
+@pytest.mark.parametrize("name", ["oof_priors", "iqr_filter_long", "segment_metrics", "ranking_features", "iqr_filter", "top_k_or_tail"])
+def test_queries_on_the_large_path(spark, duck, name, monkeypatch):
+    """Every size check answers "large": the results must not change."""
+    from check import differences
+
+    from panelrank.queries import oracles, spark_queries
+
+    want = spark_queries()[name](spark, SMALL).toPandas() if name not in oracles() else duck.execute(oracles()[name]).df()
+    monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
+    got = spark_queries()[name](spark, SMALL).toPandas()
+    assert differences(got, want) is None
