@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL on the same parquet files.
 
-usage: python tools/check.py FOLDER [name ...]
+usage: python tools/check.py FOLDER [-q] [-plain] [name ...]
+-q prints problems only; -plain uses a session with Spark's default settings.
 """
 
 from __future__ import annotations
@@ -64,8 +65,12 @@ def differences(
 def main() -> int:
     from panelrank.session import local_session
 
-    folder, names = sys.argv[1], [a for a in sys.argv[2:] if a != '-q']
-    spark, con = local_session(), connect(folder)
+    from pyspark.sql import SparkSession
+
+    folder, names = sys.argv[1], [a for a in sys.argv[2:] if not a.startswith("-")]
+    plain = "-plain" in sys.argv
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if plain else local_session()
+    con = connect(folder)
     queries, sql = spark_queries(), oracles()
     failed = []
     for name in names or queries:
