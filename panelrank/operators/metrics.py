@@ -430,12 +430,16 @@ def segment_metrics(
     )
 
 
+# Segments whose boosts may become literals of a plan.
+MOST_SEGMENTS = 1000
+
+
 def exposure_boosts(metrics: DataFrame, segment: str) -> dict:
-    """Segment -> -ln(exposure), floored at 1e-6. Segments are a handful of labels."""
-    return {
-        r[segment]: -math.log(max(r["exposure"], 1e-6))
-        for r in metrics.select(segment, "exposure").collect()
-    }
+    """Segment -> -ln(exposure), floored at 1e-6. Segments must be a short list of labels."""
+    rows = metrics.select(segment, "exposure").limit(MOST_SEGMENTS + 1).collect()
+    if len(rows) > MOST_SEGMENTS:
+        raise ValueError(f"more than {MOST_SEGMENTS} segments; label a tail first")
+    return {r[segment]: -math.log(max(r["exposure"], 1e-6)) for r in rows}
 
 
 def boost_column(boosts: Mapping, segment: str) -> Column:

@@ -213,9 +213,10 @@ _SPACE = f"""space AS (SELECT p_partkey, p_type, p_size / 10 AS x, p_retailprice
   CASE WHEN {sql_uniform("p_partkey")} < 0.8 THEN 'train' WHEN {sql_uniform("p_partkey")} < 0.9 THEN 'val' ELSE 'holdout' END AS part FROM part)"""
 
 
-def _near_sql(left, right, extra="TRUE", k=5, name="near"):
-    return f"""{name} AS (SELECT * FROM (SELECT a.p_partkey, b.p_partkey AS neighbour, b.p_type AS y, b.x AS bx, b.z AS bz, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 9) AS distance,
-    row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 9), b.p_partkey)::INT AS place
+def _near_sql(left, right, extra="TRUE", k=5, name="near", cols="xz"):
+    gap = "round(sqrt(" + " + ".join(f"(a.{c} - b.{c}) ** 2" for c in cols) + "), 9)"
+    return f"""{name} AS (SELECT * FROM (SELECT a.p_partkey, b.p_partkey AS neighbour, b.p_type AS y, b.x AS bx, b.z AS bz, {gap} AS distance,
+    row_number() OVER (PARTITION BY a.p_partkey ORDER BY {gap}, b.p_partkey)::INT AS place
     FROM space a JOIN space b ON {extra} WHERE {left} AND {right}) WHERE place <= {k})"""
 
 
@@ -247,16 +248,16 @@ def _(spark, sf):
 
 @query(
     "knn_regress",
-    f"""WITH {_SPACE}, {_near_sql("a.part = 'holdout'", "b.part = 'train'")},
-    w AS (SELECT near.*, s.p_partkey % 7 AS t, CASE WHEN min(distance) OVER (PARTITION BY near.p_partkey) = 0 THEN (distance = 0)::INT ELSE 1 / nullif(distance, 0) END AS w
+    f"""WITH {_SPACE}, {_near_sql("a.part = 'holdout'", "b.part = 'train'", cols="z")},
+    w AS (SELECT near.*, s.x AS t, CASE WHEN min(distance) OVER (PARTITION BY near.p_partkey) = 0 THEN (distance = 0)::INT ELSE 1 / nullif(distance, 0) END AS w
       FROM near JOIN space s ON s.p_partkey = neighbour)
     SELECT p_partkey, {rd("sum(w * t) / sum(w)", "prediction")} FROM w GROUP BY p_partkey""",
 )
 def _(spark, sf):
-    rows = parts_in_space(spark, sf).withColumn("t", (F.col("p_partkey") % 7).cast("double"))
+    rows = parts_in_space(spark, sf)
     return rounded(
         neighbours.knn_predict(
-            rows.filter("part = 'holdout'"), rows.filter("part = 'train'"), ["x", "z"], "t", "p_partkey", "regression"
+            rows.filter("part = 'holdout'"), rows.filter("part = 'train'"), ["z"], "x", "p_partkey", "regression"
         )
     )
 
@@ -494,7 +495,50 @@ def _pages(spark, sf):
     return with_destination(with_stars(rows, spark, sf), spark, sf), rows.select("srch")
 
 
-@query("ranking_features")
+_PRIOR_KEYS = {"item": "item", "dest": "dest", "item_dest": "item, dest"}
+
+
+def _prior_ctes(prefix, keys):
+    sums = ", ".join(f"sum({t}) AS s_{t}" for t in TARGETS)
+    again = ", ".join(f"sum(s_{t}) AS s_{t}" for t in TARGETS)
+    return f"""f_{prefix} AS (SELECT {keys}, fold, count(*) AS n, {sums} FROM folded WHERE fold IS NOT NULL GROUP BY {keys}, fold),
+    a_{prefix} AS (SELECT {keys}, sum(n) AS n, {again} FROM f_{prefix} GROUP BY {keys})"""
+
+
+def _prior_columns(prefix):
+    n = f"(coalesce(a_{prefix}.n, 0) - coalesce(f_{prefix}.n, 0))"
+    rates = [
+        rd(
+            f"(coalesce(a_{prefix}.s_{t}, 0) - coalesce(f_{prefix}.s_{t}, 0) + 20 * g_{t}) / ({n} + 20.0)",
+            f"{prefix}_{t}_rate",
+        )
+        for t in TARGETS
+    ]
+    return ", ".join([rd(f"ln(1 + {n})", f"{prefix}_impressions_log1p"), *rates])
+
+
+def _prior_joins(prefix, keys):
+    on = " AND ".join(f"a_{prefix}.{k} = folded.{k}" for k in keys.split(", "))
+    own = " AND ".join(f"f_{prefix}.{k} = folded.{k}" for k in keys.split(", "))
+    return f"LEFT JOIN a_{prefix} ON {on} LEFT JOIN f_{prefix} ON {own} AND f_{prefix}.fold = folded.fold"
+
+
+_RANKING_SQL = f"""WITH {INTER}, wide AS (SELECT srch, line, item, supp, price, score2, rel, clicked, booked, p_size::DOUBLE AS stars, c_nationkey AS dest,
+  CASE WHEN {sql_uniform("srch")} < 0.8 THEN 'train' WHEN {sql_uniform("srch")} < 0.9 THEN 'val' ELSE 'holdout' END AS part
+  FROM inter JOIN part ON p_partkey = item JOIN orders ON o_orderkey = srch JOIN customer ON c_custkey = o_custkey),
+folded AS (SELECT *, CASE WHEN part = 'train' THEN {sql_bucket(5, "srch", seed=43)} END AS fold FROM wide),
+g AS (SELECT avg(clicked) AS g_clicked, avg(booked) AS g_booked, avg(rel) / 5.0 AS g_rel FROM wide WHERE part = 'train'),
+s AS (SELECT srch, avg(ln(1 + price)) AS m, stddev_samp(ln(1 + price)) AS sd, avg(stars) AS ms, avg(score2) AS m2 FROM wide GROUP BY srch),
+k AS (SELECT srch, line, item, supp, rank() OVER (PARTITION BY srch ORDER BY price) AS price_rank FROM wide),
+{", ".join(_prior_ctes(p, keys) for p, keys in _PRIOR_KEYS.items())}
+SELECT folded.srch, folded.line, folded.item, folded.supp, folded.dest, rel, clicked, booked, part, folded.fold,
+{rd("price")}, {rd("score2")}, {rd("stars")}, {rd("(ln(1 + price) - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END", "price_z")},
+{rd("stars - ms", "stars_delta")}, {rd("score2 - m2", "score2_delta")}, price_rank, {", ".join(_prior_columns(p) for p in _PRIOR_KEYS)}
+FROM folded JOIN s USING (srch) JOIN k ON k.srch = folded.srch AND k.line = folded.line AND k.item = folded.item AND k.supp = folded.supp
+{" ".join(_prior_joins(p, keys) for p, keys in _PRIOR_KEYS.items())}, g"""
+
+
+@query("ranking_features", _RANKING_SQL)
 def _(spark, sf):
     rows, pages = _pages(spark, sf)
     return rounded(ranking_features(rows, RANKING, pages))
