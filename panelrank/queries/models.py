@@ -17,7 +17,12 @@ from panelrank.queries.panel import (
     F7,
     FILLED,
     RULES,
+    _EWSTD,
+    _F3,
+    _N5,
+    _autocorr,
     _ffill,
+    _roll,
     interpolated,
     measurements,
 )
@@ -115,7 +120,79 @@ FEATURES = FeatureOptions(
 )
 
 
-@query("build_instances")
+_SIGN = ", ".join(
+    f"coalesce(sign(lag(mood, {i}) OVER {BY} - lag(mood, {i + 1}) OVER {BY}), 0) AS s{i}"
+    for i in range(1, 8)
+)
+_RUN = (
+    "CASE WHEN s1 = 0 THEN 0 "
+    + " ".join(f"WHEN s{i + 1} <> s1 THEN {i}" for i in range(1, 7))
+    + " ELSE 7 END"
+)
+_NEXT = "CASE n " + " ".join(f"WHEN {i} THEN s{i + 1}" for i in range(1, 7)) + " ELSE 0 END"
+_ROLLED = [f"{c}_{a}" for c in COLS for a in ("mean", "std", "min", "max", "trend")]
+_FLAT = {
+    **{f"mood_lag{i}": f"lag(mood, {i}) OVER {BY}" for i in (1, 2, 3)},
+    **{f"{c}_lag{i}": f"lag({c}, {i}) OVER {BY}" for c in ("strain", "spend") for i in (1, 2)},
+    "mood_range": f"max(mood) OVER {F7} - min(mood) OVER {F7}",
+    "mood_cv": f"CASE WHEN avg(mood) OVER {F7} > 0 THEN stddev_samp(mood) OVER {F7} / avg(mood) OVER {F7} ELSE 0 END",
+    "mood_direction": f"sign(lag(mood, 1) OVER {BY} - lag(mood, 2) OVER {BY})",
+    **{f"{c}_change": f"coalesce(lag({c}, 1) OVER {BY} - lag({c}, 2) OVER {BY}, 0)" for c in COLS},
+    **{f"{c}_std3": f"stddev_samp({c}) OVER {_F3}" for c in ("mood", "strain")},
+    **{
+        f"{c}_same_day": f"CASE WHEN lead(date) OVER {BY} IS NOT NULL THEN {c} END"
+        for c in ("spend", "clicks")
+    },
+    "missing_share_7": f"avg((5 - ({_N5})) / 5.0) OVER {F7}",
+    **{f"{c}_{a}": _roll(c, a) for c in COLS for a in ("mean", "std", "min", "max", "trend")},
+}
+_EMAS = [f"{c}_ema{n}" for c in ("mood", "strain", "spend") for n in (3, 7)]
+
+
+def _ema_cell(c, span):
+    weight = f"power({1 - 2 / (span + 1)!r}, a.rn - 1 - b.rn)"
+    return f"sum({weight} * b.{c}) / nullif(sum(CASE WHEN b.{c} IS NOT NULL THEN {weight} END), 0) AS {c}_ema{span}"
+
+
+_TOTAL = "(coalesce(y_spend, 0) + coalesce(y_clicks, 0) + coalesce(y_signups, 0))"
+_ENTROPY = " + ".join(
+    f"CASE WHEN y_{c} > 0 THEN (y_{c} / {_TOTAL}) * ln(y_{c} / {_TOTAL}) ELSE 0 END"
+    for c in ("spend", "clicks", "signups")
+)
+_DOW = "(isodow(date) - 1)"
+_PLACE = """CASE WHEN abs(strain_mean) < 0.1 AND abs(mood_mean) < 0.1 THEN 0 WHEN mood_mean >= 0 AND strain_mean >= 0 THEN 1
+  WHEN mood_mean < 0 AND strain_mean >= 0 THEN 2 WHEN mood_mean < 0 AND strain_mean < 0 THEN 3 ELSE 4 END"""
+_INSTANCE_SQL = f"""WITH {FILLED}, rowed AS (SELECT *, row_number() OVER {BY} AS rn FROM filled),
+flat AS (SELECT id, date, rn, mood AS target, (date - min(date) OVER (PARTITION BY id))::INT AS study_day,
+  {", ".join(f"{sql} AS {name}" for name, sql in _FLAT.items())},
+  {", ".join(f"lag({c}) OVER {BY} AS y_{c}" for c in ("spend", "clicks", "signups"))}, {_SIGN} FROM rowed),
+moves AS (SELECT *, {_NEXT} AS after FROM (SELECT *, {_RUN} AS n FROM flat)),
+emas AS (SELECT a.id, a.date, {", ".join(_ema_cell(c, n) for c in ("mood", "strain", "spend") for n in (3, 7))}
+  FROM rowed a LEFT JOIN rowed b ON a.id = b.id AND b.rn < a.rn GROUP BY a.id, a.date),
+shifted AS (SELECT id, date, mood, lag(mood, 1) OVER {BY} AS l1, lag(mood, 2) OVER {BY} AS l2 FROM filled),
+auto AS (SELECT id, date, {_autocorr(1)}, {_autocorr(2)} FROM shifted),
+steps AS (SELECT a.id, a.date, b.mood, lag(b.mood) OVER (PARTITION BY a.id, a.date ORDER BY b.rn) AS prev FROM rowed a LEFT JOIN rowed b
+  ON a.id = b.id AND b.rn BETWEEN a.rn - 7 AND a.rn - 1 AND b.mood IS NOT NULL),
+jumps AS (SELECT id, date, CASE WHEN count(mood) >= 3 THEN sqrt(avg((mood - prev) ** 2)) ELSE 0 END AS mood_rmssd FROM steps GROUP BY id, date),
+{_EWSTD.replace("FROM clean", "FROM filled")}
+SELECT id, date, study_day, {", ".join(rd(c) for c in ["target", *_FLAT, *_EMAS, "mood_rmssd"])}, mood_autocorr1, mood_autocorr2,
+CASE WHEN s1 > 0 THEN n ELSE (after <> 0 AND s1 <> 0)::INT END AS up_days, CASE WHEN s1 < 0 THEN n ELSE (after <> 0 AND s1 <> 0)::INT END AS down_days,
+CASE WHEN s1 > 0 AND n >= 2 THEN -1 WHEN s1 < 0 AND n >= 2 THEN 1 ELSE 0 END AS reversal,
+CASE WHEN mood_lag1 - mood_lag2 > CASE WHEN mood_ewstd > 1e-9 THEN mood_ewstd * 0.5 ELSE 0.3 END THEN 1
+     WHEN mood_lag1 - mood_lag2 < -CASE WHEN mood_ewstd > 1e-9 THEN mood_ewstd * 0.5 ELSE 0.3 END THEN -1 ELSE 0 END AS mood_adaptive,
+((y_spend > 0 AND y_spend IS NOT NULL)::INT + (y_clicks > 0 AND y_clicks IS NOT NULL)::INT + (y_signups > 0 AND y_signups IS NOT NULL)::INT)::INT AS app_diversity,
+{rd(f"-({_ENTROPY})", "app_entropy")}, {rd(f"sin(2 * pi() * {_DOW} / 7)", "dow_sin")}, {rd(f"cos(2 * pi() * {_DOW} / 7)", "dow_cos")}, ({_DOW} >= 5)::INT AS is_weekend,
+(CASE WHEN {_DOW} >= 5 THEN 0 ELSE least((5 - {_DOW} + 7) % 7, ({_DOW} - 6 + 7) % 7) END)::INT AS weekend_distance,
+CASE WHEN mood_mean < 40 THEN 0 WHEN mood_mean > 60 THEN 2 ELSE 1 END AS level, {rd("mood_mean * strain_mean", "target_product")},
+{rd("CASE WHEN clicks_mean IS NOT NULL THEN spend_mean / greatest(clicks_mean, 0.001) END", "spend_per_clicks")},
+{rd("sqrt(strain_mean * strain_mean + mood_mean * mood_mean)", "intensity")}, {rd("atan2(strain_mean, mood_mean)", "angle")},
+{", ".join(f"({_PLACE} = {i})::INT AS quadrant_{i}" for i in (1, 2, 3, 4))},
+{rd("coalesce(spend_mean, 0) / (1 + coalesce(clicks_mean, 0) + coalesce(signups_mean, 0))", "productive_balance")},
+{", ".join(rd(f"CASE WHEN abs({c}_mean) > 0.001 THEN {c}_std / abs({c}_mean) ELSE 0 END", f"{c}_variation") for c in COLS)}
+FROM moves JOIN emas USING (id, date) JOIN auto USING (id, date) JOIN jumps USING (id, date) JOIN ew USING (id, date) WHERE rn > 7 AND target IS NOT NULL"""
+
+
+@query("build_instances", _INSTANCE_SQL)
 def _(spark, sf):
     return rounded(build_instances(interpolated(spark, sf), FEATURES))
 
