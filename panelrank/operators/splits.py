@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,43 +118,36 @@ def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("fold", F.col(group))
 
 
-def _windows(days: Sequence, starts: Sequence[int], length: int) -> list[tuple]:
-    return [
-        (n, days[i], days[min(i + length, len(days) - 1)]) for n, i in enumerate(starts)
-    ]
-
-
-def _count_windows(
-    df: DataFrame, windows: Sequence[tuple], least_train: int, least_test: int
+def _counted_windows(
+    df: DataFrame, share: float, length: int, step: int, last: int, least_train: int, least_test: int
 ) -> DataFrame:
-    """Row counts of each window from one count per day; too small windows are left out."""
-    spark = df.sparkSession
-    plan = spark.createDataFrame(list(windows), "split int, test_start date, test_end date")
-    per_day = df.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    # Both sides are bounded by the calendar: one row per day, one per window.
-    joined = per_day.join(F.broadcast(plan), per_day["date"] <= plan["test_end"])
-    before = F.col("date") < F.col("test_start")
-    counts = joined.groupBy("split", "test_start", "test_end").agg(
-        F.sum(F.when(before, F.col("_n")).otherwise(0)).alias("n_train"),
-        F.sum(F.when(~before, F.col("_n")).otherwise(0)).alias("n_test"),
-    )
-    return counts.filter(
-        (F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)
+    """Windows (split, test_start, test_end) with their row counts, from one count per day.
+
+    Windows start at ``share`` of the days and every ``step`` days after; those with too few
+    rows are left out. Only the calendar reaches the driver: one number per day.
+    """
+    per_day = df.groupBy("date").agg(F.count(F.lit(1)).alias("n")).orderBy("date").collect()
+    days = [r["date"] for r in per_day]
+    upto = [0, *accumulate(r["n"] for r in per_day)]
+    found = []
+    for n, i in enumerate(range(int(len(days) * share), len(days) - last, step)):
+        j = min(i + length, len(days) - 1)
+        n_train, n_test = upto[i], upto[j + 1] - upto[i]
+        if n_train >= least_train and n_test >= least_test:
+            found.append((n, days[i], days[j], n_train, n_test))
+    return df.sparkSession.createDataFrame(
+        found, "split int, test_start date, test_end date, n_train long, n_test long"
     )
 
 
 def sliding_splits(df: DataFrame, window_days: int = 14, step_days: int = 7) -> DataFrame:
     """Test windows sliding from 60 % of the days on; training is everything earlier."""
-    days = _dates(df)
-    starts = range(int(len(days) * 0.6), len(days) - window_days, step_days)
-    return _count_windows(df, _windows(days, starts, window_days), 100, 10)
+    return _counted_windows(df, 0.6, window_days, step_days, window_days, 100, 10)
 
 
 def walk_forward(df: DataFrame, step_days: int = 7) -> DataFrame:
     """Expanding training window, tested on the following days."""
-    days = _dates(df)
-    starts = range(int(len(days) * 0.6), len(days) - 1, step_days)
-    return _count_windows(df, _windows(days, starts, step_days), 100, 5)
+    return _counted_windows(df, 0.6, step_days, step_days, 1, 100, 5)
 
 
 def take_window(df: DataFrame, test_start, test_end) -> DataFrame:

@@ -23,6 +23,7 @@ from panelrank.queries.panel import (
     _autocorr,
     _ffill,
     _roll,
+    _rolling_sql,
     interpolated,
     measurements,
 )
@@ -197,7 +198,35 @@ def _(spark, sf):
     return rounded(build_instances(interpolated(spark, sf), FEATURES))
 
 
-@query("build_instances_as_change")
+_NORMED = ", ".join(
+    f"CASE WHEN stddev_samp({c}) OVER (PARTITION BY id) > 0 THEN ({c} - avg({c}) OVER (PARTITION BY id)) / stddev_samp({c}) OVER (PARTITION BY id) ELSE 0 END AS {c}"
+    for c in COLS
+)
+_LAGS3 = ", ".join(f"lag(mood, {i}) OVER {BY} AS mood_lag{i}" for i in (1, 2, 3))
+_CHANGE_KEEP = ", ".join(
+    [
+        rd("target - mood_lag1", "target"),
+        rd("target", "target_level"),
+        *[rd(f"mood_lag{i}") for i in (1, 2, 3)],
+        rd(f"sin(2 * pi() * {_DOW} / 7)", "dow_sin"),
+        rd(f"cos(2 * pi() * {_DOW} / 7)", "dow_cos"),
+        f"({_DOW} >= 5)::INT AS is_weekend, ",
+    ]
+)
+
+
+@query(
+    "build_instances_as_change",
+    f"WITH {FILLED}, norm AS (SELECT id, date, mood AS target, {_LAGS3}, {_NORMED} FROM filled), "
+    + _rolling_sql(
+        "norm",
+        COLS,
+        ("mean", "std", "min", "max", "trend"),
+        (3, 7),
+        extra="target, mood_lag1, mood_lag2, mood_lag3,",
+    ).replace("{keep}", _CHANGE_KEEP)
+    + " AND target IS NOT NULL AND mood_lag1 IS NOT NULL",
+)
 def _(spark, sf):
     options = FeatureOptions(target="mood", cols=COLS, sizes=(3, 7), normalise=True, as_change=True)
     return rounded(build_instances(interpolated(spark, sf), options))
