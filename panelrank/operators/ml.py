@@ -468,8 +468,11 @@ def contrast_rows(
 def fit_ranker(
     df: DataFrame, group: Sequence[str], cols: Sequence[str], rel: str
 ) -> dict[str, float]:
-    """Coefficients of a linear score learnt by logistic regression on contrasts."""
-    rows = contrast_rows(df, group, cols, rel)
+    """Coefficients of a linear score learnt by logistic regression on contrasts.
+
+    The contrasts are written once: fitting passes over them repeatedly.
+    """
+    rows = scale.cut_lineage(contrast_rows(df, group, cols, rel))
     vector = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(rows)
     model = mc.LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, fitIntercept=False, regParam=1e-4

@@ -31,7 +31,7 @@ def frequent_itemsets(
 ) -> tuple[DataFrame, DataFrame]:
     """Itemsets with support, and single-consequent rules with confidence, lift and support.
 
-    Mining reads the baskets several times, so they are written once to the checkpoint folder.
+    Mining reads the baskets several times, so they are written once to the shared folder.
     """
     encoded = scale.cut_lineage(encoded)
     model = FPGrowth(

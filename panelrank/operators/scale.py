@@ -14,12 +14,14 @@ Three rules hold across the library:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_BYTES = 32 * 1024 * 1024
+# Largest planner estimate (close to file size for scans) that one task is trusted to hold.
+SMALL_BYTES = 16 * 1024 * 1024
 
 # Rows of a counted lookup table that may be broadcast (a row is a few dozen bytes).
 BROADCAST_ROWS = 500_000
@@ -48,9 +50,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,7 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="panelrank-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Lost executors then cost a read, later uses read only the columns they need, and the
+    planner knows the table's true size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def oversized_groups(
@@ -112,7 +125,7 @@ def running_total(
     ``group + order`` must identify a row and ``group`` must not be missing. A group of
     any size is spread over range slices: each slice is summed on its own, and slice
     totals (one row per slice and group) carry the offset. The slices are written to the
-    checkpoint folder first, so both uses see the same slice borders.
+    shared folder first, so both uses see the same slice borders.
     """
     group = list(group)
     if fits_one_task(df, limit):
@@ -182,7 +195,7 @@ def quantiles(
     keys = [*by, "column"]
     counted = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_copies"))
     ranked = running_total(counted, keys, ["value"], F.col("_copies"), "_below", limit=0)
-    sizes = counted.groupBy(*keys).agg(F.sum("_copies").alias("n"))
+    sizes = ranked.groupBy(*keys).agg(F.sum("_copies").alias("n"))
     first = F.col("_below")
     last = F.col("_below") + F.col("_copies") - 1
     wanted = join_lookup(ranked, sizes, keys, "inner")

@@ -49,7 +49,7 @@ def clean_daily(measurements: DataFrame, options: CleanOptions) -> DataFrame:
     """Roll up, fill the calendar, clean, impute, reshape; remaining holes become 0.
 
     Steps that need whole-table quantiles read the panel twice, so it is written to the
-    checkpoint folder once before them; it is far smaller than the measurements.
+    shared folder once before them; it is far smaller than the measurements.
     """
     o = options
     if o.outliers not in OUTLIERS:

@@ -39,7 +39,7 @@ def split_instances(rows: DataFrame, e: Experiment) -> DataFrame:
 def run_experiment(panel: DataFrame, e: Experiment, name: str) -> DataFrame:
     """A row per model and baseline: split sizes and test metrics.
 
-    Fitting reads the instances many times, so they are written once to the checkpoint folder.
+    Fitting reads the instances many times, so they are written once to the shared folder.
     """
     rows = scale.cut_lineage(split_instances(build_instances(panel, e.features), e))
     cols = feature_names(rows)

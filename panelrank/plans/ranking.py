@@ -30,14 +30,15 @@ def ranking_features(
 ) -> DataFrame:
     """Split, within-group features and out-of-fold priors per key set.
 
-    Prior columns carry the key set's names as a prefix. Priors are summed from the narrow
-    input, not from the feature table. ``pages`` may name a cheaper table with the same
+    Prior columns carry the key set's names as a prefix. The split input is written once:
+    the features, each key set's sums and the rates all read it, a few columns at a time. ``pages`` may name a cheaper table with the same
     group sizes to look for oversized groups in.
     """
     fold = F.when(
         F.col("part") == "train", splits.hash_bucket(c.folds, c.group, seed=c.seed + 1)
     )
     base = splits.split_groups(df, c.group, seed=c.seed).withColumn("fold", fold)
+    base = scale.cut_lineage(base)
     train = base.filter(F.col("part") == "train")
     large = scale.oversized_groups(df if pages is None else pages, [c.group])
     rows = groups.within_group_features(base, [c.group], c.price, c.deltas, oversized=large)

@@ -630,17 +630,16 @@ def _prior_joins(prefix, keys):
 
 
 _RANKING_SQL = f"""WITH {INTER}, wide AS (SELECT srch, line, item, supp, price, score2, rel, clicked, booked, p_size::DOUBLE AS stars, c_nationkey AS dest,
-  CASE WHEN {sql_uniform("srch")} < 0.8 THEN 'train' WHEN {sql_uniform("srch")} < 0.9 THEN 'val' ELSE 'holdout' END AS part
+  rank() OVER (PARTITION BY srch ORDER BY price) AS price_rank, CASE WHEN {sql_uniform("srch")} < 0.8 THEN 'train' WHEN {sql_uniform("srch")} < 0.9 THEN 'val' ELSE 'holdout' END AS part
   FROM inter JOIN part ON p_partkey = item JOIN orders ON o_orderkey = srch JOIN customer ON c_custkey = o_custkey),
 folded AS (SELECT *, CASE WHEN part = 'train' THEN {sql_bucket(5, "srch", seed=43)} END AS fold FROM wide),
 g AS (SELECT avg(clicked) AS g_clicked, avg(booked) AS g_booked, avg(rel) / 5.0 AS g_rel FROM wide WHERE part = 'train'),
 s AS (SELECT srch, avg(ln(1 + price)) AS m, stddev_samp(ln(1 + price)) AS sd, avg(stars) AS ms, avg(score2) AS m2 FROM wide GROUP BY srch),
-k AS (SELECT srch, line, item, supp, rank() OVER (PARTITION BY srch ORDER BY price) AS price_rank FROM wide),
 {", ".join(_prior_ctes(p, keys) for p, keys in _PRIOR_KEYS.items())}
 SELECT folded.srch, folded.line, folded.item, folded.supp, folded.dest, rel, clicked, booked, part, folded.fold,
 {rd("price")}, {rd("score2")}, {rd("stars")}, {rd("(ln(1 + price) - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END", "price_z")},
 {rd("stars - ms", "stars_delta")}, {rd("score2 - m2", "score2_delta")}, price_rank, {", ".join(_prior_columns(p) for p in _PRIOR_KEYS)}
-FROM folded JOIN s USING (srch) JOIN k ON k.srch = folded.srch AND k.line = folded.line AND k.item = folded.item AND k.supp = folded.supp
+FROM folded JOIN s USING (srch)
 {" ".join(_prior_joins(p, keys) for p, keys in _PRIOR_KEYS.items())}, g"""
 
 
