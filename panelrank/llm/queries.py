@@ -4,13 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelrank.llm import bpe
-from panelrank.llm.common import table
+from panelrank.llm import bpe, quality, toxicity
+from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold_column("doc_id") == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(*quality.training_rows(docs, labels, "quality", vectors))
+    return _judged(quality.score(docs, vectors, net), 0.3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.sample(docs, labels, "toxic"))
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(
         table(spark, sf_dir, "documents"),
@@ -19,5 +42,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 SQL: dict[str, str] = {}
