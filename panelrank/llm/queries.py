@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, quality, toxicity
+from panelrank.llm import bpe, quality, simhash, toxicity
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, vectors, net), 0.3)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.sample(docs, labels, "toxic"))
@@ -44,6 +51,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_simhash": op5_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
