@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, quality, simhash, toxicity
+from panelrank.llm import bpe, decontaminate, quality, simhash, toxicity
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,55 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, vectors, net), 0.3)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+OP3_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), item AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), cut AS (
+  SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+  FROM item WHERE len(w) > 0
+), b AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM cut
+), spot AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+  FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n
+), place AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM spot
+), hit AS (
+  SELECT r, i, n, item_id FROM place JOIN b USING (n, g)
+), word AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select(
@@ -51,8 +100,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
