@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, quality, simhash, toxicity
+from panelrank.llm import bpe, decontaminate, lines, quality, simhash, toxicity
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, vectors, net), 0.3)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.judged(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        "n_links",
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -100,6 +111,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op8_toxicity": op8_toxicity,
