@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, lines, quality, simhash, toxicity
+from panelrank.llm import bpe, decontaminate, lines, quality, simhash, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -95,6 +95,68 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+_ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+OP7_SQL = f"""
+WITH RECURSIVE page AS (
+  SELECT row_number() OVER () AS r, page_id, html,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_ASCII_LOWER}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rule_host, rule_path, verdict) AS (VALUES {_RULE_ROWS}
+), fit AS (
+  SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM page JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+    AND starts_with(path, rule_path)
+  GROUP BY r
+), judged AS (
+  SELECT * FROM page LEFT JOIN fit USING (r)
+), link AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT DISTINCT r, host AS src, translate(unnest(regexp_extract_all(html,
+      '(?i)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#"''\\s<>]+)', 1)),
+      {_ASCII_LOWER}) AS dst FROM page)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), seed AS (
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS t0,
+    avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS d0
+  FROM judged WHERE host <> '' GROUP BY host
+  UNION ALL
+  SELECT DISTINCT dst, 0, 0 FROM link WHERE dst NOT IN (SELECT host FROM page)
+), move AS (
+  SELECT src AS h, dst AS g, n / sum(n) OVER (PARTITION BY src) AS t, 0.0::DOUBLE AS d FROM link
+  UNION ALL
+  SELECT dst, src, 0, n / sum(n) OVER (PARTITION BY dst) FROM link
+), spread AS (
+  SELECT 0 AS k, host, t0, d0, 0.15::DOUBLE * t0 AS t, 0.15::DOUBLE * d0 AS d FROM seed
+  UNION ALL
+  SELECT k + 1, host, t0, d0, 0.15::DOUBLE * t0 + 0.85::DOUBLE * coalesce(mt, 0),
+    0.15::DOUBLE * d0 + 0.85::DOUBLE * coalesce(md, 0)
+  FROM spread LEFT JOIN (
+    SELECT g, sum(move.t * s.t) AS mt, sum(move.d * s.d) AS md
+    FROM move JOIN spread s ON s.host = h GROUP BY g) ON g = host
+  WHERE k < {urls.ROUNDS}
+)
+SELECT page_id, judged.host, path, rule,
+  coalesce(verdict, CASE WHEN d - t > 0.5 * (1 - 0.85) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN (SELECT host, t, d FROM spread WHERE k = {urls.ROUNDS}) s USING (host)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.sample(docs, labels, "toxic"))
@@ -114,7 +176,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
