@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, lines, quality, simhash, toxicity, urls
+from panelrank.llm import bpe, decontaminate, lines, quality, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -95,6 +95,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -176,6 +188,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
