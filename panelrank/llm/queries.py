@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, lines, quality, simhash, suffixes, toxicity, urls
+from panelrank.llm import bpe, decontaminate, forest, lines, quality, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,10 @@ FROM d LEFT JOIN word USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select(
@@ -187,6 +191,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_prefix_forest": op4_prefix_forest,
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
