@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, forest, lines, quality, simhash, suffixes, toxicity, urls
+from panelrank.llm import bpe, decontaminate, forest, lines, pii, quality, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -187,6 +187,33 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(pii.sample(docs)))
+
+    def listed(spans):
+        named = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.concat_ws(",", named)
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    keyed = F.transform(
+        F.concat("base", "added"),
+        lambda s: F.struct(
+            F.array_position(order, s["kind"]).alias("place"), s["start"], s["end"], s["kind"]
+        ),
+    )
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.array_sort(keyed)).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -197,5 +224,6 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
