@@ -85,7 +85,9 @@ def _paired(fps: DataFrame, budget: int, most: int) -> Iterator[tuple[int, DataF
     while True:
         large = F.greatest("na", "nb") > most
         last = depth == 64 or pairs.filter(large).isEmpty()
-        yield depth, (pairs if last else pairs.filter(~large)).select("a", "b", "bits")
+        done = pairs if last else pairs.filter(~large)
+        if not done.isEmpty():
+            yield depth, done.select("a", "b", "bits")
         if last:
             return
         depth += OPEN_BITS
@@ -200,19 +202,19 @@ def links(fps: DataFrame, budget: int = 2, most: int = LEAVES) -> DataFrame:
     """
     members = []
     for depth, pairs in _paired(fps, budget, most):
+        if depth == 0:  # all fingerprints fit one group
+            root = [F.lit(0).cast("long").alias(c) for c in "ab"]
+            numbers = [F.lit(0).alias(c) for c in ("depth", "bits", "side")]
+            members.append(fps.select("fp", *root, *numbers))
+            continue
         placed = fps.withColumn("node", _prefix(depth))
         keyed = pairs.withColumn("depth", F.lit(depth))
-        members.append(
-            placed.join(keyed, F.col("node") == F.col("a")).withColumn("side", F.lit(0))
-        )
-        members.append(
-            placed.join(keyed.filter("a <> b"), F.col("node") == F.col("b")).withColumn(
-                "side", F.lit(1)
-            )
-        )
+        for side, name, joined_ in ((0, "a", keyed), (1, "b", keyed.filter("a <> b"))):
+            found = placed.join(joined_, F.col("node") == F.col(name))
+            members.append(found.withColumn("side", F.lit(side)).drop("node"))
     rows = members[0]
     for more in members[1:]:
-        rows = rows.union(more)
+        rows = rows.unionByName(more)
     return (
         rows.select("depth", "a", "b", "bits", "side", "fp")
         .groupBy("depth", "a", "b")
