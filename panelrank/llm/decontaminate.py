@@ -197,24 +197,18 @@ def _extended(texts: DataFrame, spans: list[int]) -> DataFrame:
     )
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    span: int = 10,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
+def _keyed(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    keys = [c.alias(n) for c, n in zip(text_key(text_col), ("k1", "k2"))]
+    return docs.select(*more, F.col(text_col).alias("_text"), *keys)
+
+
+def text_hits(
+    keyed: DataFrame, benchmark: DataFrame, span: int, item_id: str, item_text: str
 ) -> DataFrame:
-    """For every document: id, n_words, n_hit, n_items, items (their ids as sorted text)."""
+    """For every different text: (k1, k2, n_words, n_hit, items), written to the shared folder."""
     fps, windows = item_windows(benchmark, span, item_id, item_text)
     # At most ``span`` numbers: the lengths of windows in use.
     spans = sorted(r[0] for r in fps.select("span").distinct().collect())
-    keyed = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(text_col).alias("_text"),
-        *[c.alias(n) for c, n in zip(text_key(text_col), ("k1", "k2"))],
-    )
     found = fingerprints(keyed, spans)
     places = found.select("k1", "k2", "n_words", F.explode_outer("fps").alias("f")).select(
         "k1", "k2", "n_words", "f.*"
@@ -248,7 +242,7 @@ def contamination(
         F.greatest(acc["end"], p["start"] + p["span"]).alias("end"),
     )
     total = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
-    per_key = cut_lineage(
+    return cut_lineage(
         rows.select("k1", "k2", "n_words")
         .join(hits.join(items, ["k1", "k2"]), ["k1", "k2"], "left")
         .select(
@@ -259,17 +253,43 @@ def contamination(
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
     )
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    span: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """For every document: id, n_words, n_hit, n_items, items (their ids as sorted text)."""
+    keyed = _keyed(docs, text_col, F.col(id_col).alias("_id"))
+    found = text_hits(keyed, benchmark, span, item_id, item_text)
     return (
         keyed.drop("_text")
-        .join(per_key, ["k1", "k2"])
+        .join(found, ["k1", "k2"])
         .select(
             F.col("_id").alias(id_col),
             "n_words",
             "n_hit",
             F.size("items").cast("long").alias("n_items"),
             "items",
-            "k1",
-            "k2",
         )
     )
 
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    span: int = 10,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` without a single hit, with all their columns."""
+    keyed = _keyed(docs, text_col, F.struct("*").alias("_row"))
+    found = text_hits(keyed, benchmark, span, item_id, item_text)
+    dirty = cut_lineage(found.filter("n_hit > 0").select("k1", "k2"))
+    return keyed.drop("_text").join(_small(dirty), ["k1", "k2"], "left_anti").select("_row.*")

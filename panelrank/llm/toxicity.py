@@ -14,9 +14,11 @@ labelled rows every score is 0.5; with rows of one class only, that class's smoo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,3 +198,17 @@ def score(
         return {id_col: kept[id_col], "score": of(texts).tolist()}
 
     return map_texts(docs, [id_col], text_col, f"`{id_col}` {id_type}, score double", work)
+
+
+def keep_clean(
+    docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` with a score under ``least``, with all their columns."""
+    of, place = scores(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array(of(texts) < least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
