@@ -87,13 +87,15 @@ def regression_report(
         F.sum(w * y * y).alias("_syy"),
     )
     n, total = F.col("n"), F.col("_total")
+    # Weighted, the total is a difference of large sums: below this share it is only rounding.
+    least = 0.0 if weight is None else 1e-12
     return sums.select(
         *by,
         "n",
         (F.col("_sse") / n).alias("mse"),
         F.sqrt(F.col("_sse") / n).alias("rmse"),
         (F.col("_sae") / n).alias("mae"),
-        F.when(total > 1e-12 * F.col("_syy"), F.lit(1.0) - F.col("_sse") / total).alias("r2"),
+        F.when(total > least * F.col("_syy"), F.lit(1.0) - F.col("_sse") / total).alias("r2"),
     )
 
 
@@ -168,7 +170,8 @@ def hardest_share(
 ) -> DataFrame:
     """Squared error of two predictors on the rows hardest for the first, and on the rest.
 
-    Exactly floor(n * share) rows (at least one) are hard; ties go by key. Errors are counted
+    Rows without a truth or a first prediction take no part. Exactly floor(n * share) of the
+    others (at least one) are hard; ties go by key. Errors are counted
     per distinct size, so only the rows that share the cut size are ordered.
     """
     rows = df.withColumns(
@@ -177,14 +180,16 @@ def hardest_share(
             "_a": F.pow(F.col(truth) - F.col(pred), 2),
             "_b": F.pow(F.col(truth) - F.col(other), 2),
         }
-    )
+    ).filter(F.col("_e").isNotNull())
     sizes = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
     ranked = scale.running_total(sizes, [], [F.desc("_e")], F.col("_n"), "_ahead", limit=limit)
-    total = df.count()
+    total = rows.count()
     take = max(1, int(total * share))
     edge = (
         ranked.filter((F.col("_ahead") < take) & (F.col("_ahead") + F.col("_n") >= take)).first()
     )
+    if edge is None:
+        edge = {"_e": None, "_ahead": 0}
     at_edge = F.col("_e") == F.lit(edge["_e"])
     tied = rows.filter(at_edge).select("_a", "_b", *key)
     tied = scale.running_total(tied, [], list(key), F.lit(1), "_place", limit=limit)
@@ -355,15 +360,12 @@ def segment_cells(
     segment: str,
     tie: Sequence[str],
     k: int = 5,
-    ordinary: bool = False,
     grades: Sequence[int] = GRADES,
 ) -> DataFrame:
     """Per (group, segment): positives, share of the top slots, and the group's NDCG.
 
-    With ``ordinary`` (no group is larger than one task can sort, see ``oversized_groups``)
-    one window and one aggregate follow a single shuffle by group. Without it the top ``k``
-    is limited before the shuffle and joined to counts, which holds for groups of any size.
-    A group has at most one cell per segment, and segments are a handful of labels.
+    The top ``k`` is limited before the shuffle and joined to counts, so a group may have any
+    size. A group has at most one cell per segment, and segments are a handful of labels.
     """
     group = list(group)
     share = F.col("_shown") / F.lit(float(k))
@@ -377,19 +379,13 @@ def segment_cells(
     ]
     order = [F.desc(score), *tie]
     rows = df.select(*group, segment, rel, score, *tie)
-    if ordinary:
-        placed = rows.withColumn(
-            "pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        )
-        cells = placed.groupBy(*group, segment).agg(*counts, *shown)
-    else:
-        top = scale.top_k_in_group(rows, group, order, k)
-        cells = (
-            df.groupBy(*group, segment)
-            .agg(*counts)
-            .join(top.groupBy(*group, segment).agg(*shown), [*group, segment], "left")
-            .fillna(0, ["_shown", "_dcg"])
-        )
+    top = scale.top_k_in_group(rows, group, order, k)
+    cells = scale.join_groups(
+        df.groupBy(*group, segment).agg(*counts),
+        top.groupBy(*group, segment).agg(*shown),
+        [*group, segment],
+        "left",
+    ).fillna(0, ["_shown", "_dcg"])
     whole = Window.partitionBy(*group)
     sums = {c: F.sum(c).over(whole) for c in ("_dcg", *[f"_g{g}" for g in grades])}
     return (
@@ -410,10 +406,9 @@ def segment_metrics(
     k: int = 5,
     least_groups: int = 500,
     least_positives: int = 100,
-    ordinary: bool = False,
 ) -> DataFrame:
     """NDCG and exposure per segment over the groups that hold a positive of the segment."""
-    cells = segment_cells(df, group, rel, score, segment, tie, k, ordinary)
+    cells = segment_cells(df, group, rel, score, segment, tie, k)
     return (
         cells.filter(F.col("positives") > 0)
         .groupBy(segment)
@@ -465,20 +460,16 @@ def lambda_sweep(
     lambdas: Sequence[float] = LAMBDAS,
     tolerance: float = 0.005,
     k: int = 5,
-    ordinary: bool = False,
 ) -> DataFrame:
     """NDCG and exposure per boost strength, with the strongest admissible one marked.
 
     Admissible: NDCG falls by at most ``tolerance`` and the exposure of low and medium rises.
-    With ``ordinary`` groups (see ``segment_cells``) rows are shuffled once, before they are
-    multiplied by the strengths.
     """
     rows = df.select(*group, segment, rel, score, *tie)
-    rows = rows.repartition(*group) if ordinary else rows
     spread = rows.withColumn(
         "lambda", F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
     ).withColumn("_s", F.col(score) + F.col("lambda") * boost_column(boosts, segment))
-    cells = segment_cells(spread, ["lambda", *group], rel, "_s", segment, tie, k, ordinary)
+    cells = segment_cells(spread, ["lambda", *group], rel, "_s", segment, tie, k)
     rows = cells.groupBy("lambda").agg(
         F.avg(F.when(F.col("first_cell"), F.col("ndcg"))).alias("ndcg"),
         *[
@@ -524,16 +515,10 @@ def blend_sweep(
     tie: Sequence[str],
     weights: Sequence[float],
     k: int = 5,
-    ordinary: bool = False,
 ) -> DataFrame:
-    """Mean NDCG per blend weight.
-
-    With ``ordinary`` groups (see ``segment_cells``) rows are shuffled once, before they are
-    multiplied by the weights.
-    """
+    """Mean NDCG per blend weight; the ideal order is counted once for all weights."""
     group = list(group)
     rows = df.select(*group, rel, *a, b, *tie)
-    rows = rows.repartition(*group) if ordinary else rows
     spread = rows.withColumn(
         "weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))
     )
@@ -542,16 +527,9 @@ def blend_sweep(
     )
     keys, order = ["weight", *group], [F.desc("_s"), *tie]
     gain = F.sum(F.when(F.col("pos") <= k, _gain(rel, k)).otherwise(0.0)).alias("_dcg")
-    if ordinary:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        scored = spread.withColumn("pos", place).groupBy(*keys).agg(
-            gain, *_grade_counts(rel, GRADES)
-        )
-    else:
-        # The ideal order does not depend on the weight.
-        counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
-        top = scale.top_k_in_group(spread, keys, order, k)
-        scored = top.groupBy(*keys).agg(gain).join(counts, group)
+    counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
+    top = scale.top_k_in_group(spread, keys, order, k)
+    scored = scale.join_groups(top.groupBy(*keys).agg(gain), counts, group)
     return scored.groupBy("weight").agg(F.avg(_normalised(k, GRADES)).alias("ndcg"))
 
 
@@ -583,8 +561,16 @@ def worst_groups(
 def rank_submission(
     df: DataFrame, group: str, item: str, score: str, tie: Sequence[str]
 ) -> DataFrame:
-    """Items of every group by falling score: a range sort, so a group may span tasks."""
-    return df.orderBy(group, F.desc(score), *tie).select(group, item)
+    """Items of every group by falling score, with their position in the group.
+
+    A group of any size is ranked in range slices; the rows come out in order.
+    """
+    order = [F.desc(score), *tie]
+    rows = df.select(group, item, score, *[c for c in tie if c != item])
+    placed = scale.running_total(rows, [group], order, F.lit(1), "_ahead")
+    return placed.orderBy(group, "_ahead").select(
+        group, item, (F.col("_ahead") + 1).cast("long").alias("position")
+    )
 
 
 def check_submission(submission: DataFrame, source: DataFrame, group: str, item: str) -> DataFrame:

@@ -35,7 +35,8 @@ def variable_stats(df: DataFrame) -> DataFrame:
         F.max(x).alias("max"),
     )
     middle = scale.quantiles(df, ["value"], [0.5], by=["variable"])
-    return moments.join(middle.select("variable", F.col("q")[0].alias("median")), "variable", "left")
+    middle = middle.select("variable", F.col("q")[0].alias("median"))
+    return scale.join_groups(moments, middle, ["variable"], "left")
 
 
 def column_profile(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 # Largest planner estimate (close to file size for scans) that one task is trusted to hold.
 SMALL_BYTES = 16 * 1024 * 1024
 
-# Rows of a counted lookup table that may be broadcast (a row is a few dozen bytes).
+# Rows, and bytes once written, of a lookup table that may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Rows of one group that a single window task may sort.
 LARGEST_GROUP = 5_000_000
@@ -95,6 +96,21 @@ def oversized_groups(
     return None if found.isEmpty() else found
 
 
+def join_groups(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on keys of groups, where a missing key is a group like any other.
+
+    The left side's keys and columns stay, then come the right side's other columns.
+    """
+    named = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(c).alias(named.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for key, name in named.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return left.join(right, same, how).drop(*named.values())
+
+
 def join_lookup(
     df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
@@ -107,7 +123,7 @@ def join_lookup(
     """
     if not fits_one_task(lookup):
         lookup = cut_lineage(lookup)
-        if lookup.count() <= BROADCAST_ROWS:
+        if fits_one_task(lookup, BROADCAST_BYTES) and lookup.count() <= BROADCAST_ROWS:
             lookup = F.broadcast(lookup)
     return df.join(lookup, list(keys), how)
 
@@ -122,8 +138,8 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``weight`` over the rows of the same group that sort before this row.
 
-    ``group + order`` must identify a row and ``group`` must not be missing. A group of
-    any size is spread over range slices: each slice is summed on its own, and slice
+    ``group + order`` must identify a row; a missing group is a group like any other. A group
+    of any size is spread over range slices: each slice is summed on its own, and slice
     totals (one row per slice and group) carry the offset. The slices are written to the
     shared folder first, so both uses see the same slice borders.
     """
@@ -152,7 +168,7 @@ def running_total(
     )
     return (
         sliced.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
-        .join(offsets, ["_slice", *group])
+        .transform(lambda rows: join_groups(rows, offsets, ["_slice", *group]))
         .withColumn(out, F.col(out) + F.col("_offset"))
         .drop("_slice", "_offset")
     )
@@ -198,7 +214,7 @@ def quantiles(
     sizes = ranked.groupBy(*keys).agg(F.sum("_copies").alias("n"))
     first = F.col("_below")
     last = F.col("_below") + F.col("_copies") - 1
-    wanted = join_lookup(ranked, sizes, keys, "inner")
+    wanted = join_groups(ranked, sizes, keys)
     aggs = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("n") - 1)
@@ -246,8 +262,8 @@ def rank_in_group(
     if oversized is None:
         return df.withColumn(out, place)
     large = F.broadcast(oversized)
-    rest = df.join(large, group, "left_anti").withColumn(out, place)
-    rows = df.join(large, group, "left_semi")
+    rest = join_groups(df, large, group, "left_anti").withColumn(out, place)
+    rows = join_groups(df, large, group, "left_semi")
     counted = (
         rows.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
@@ -255,7 +271,7 @@ def rank_in_group(
     )
     ranked = running_total(counted, group, [order], F.col("_copies"), "_ahead", limit=0)
     ranked = ranked.select(*group, value, (F.col("_ahead") + 1).cast("long").alias(out))
-    return rest.unionByName(rows.join(ranked, [*group, value], "left"))
+    return rest.unionByName(join_groups(rows, ranked, [*group, value], "left"))
 
 
 def with_group_stats(
@@ -267,7 +283,7 @@ def with_group_stats(
     adaptive execution may split a group's rows over several join tasks.
     """
     sums = df.groupBy(*group).agg(*[c.alias(name) for name, c in stats.items()])
-    return df.join(sums, list(group), "left")
+    return join_groups(df, sums, group, "left")
 
 
 def top_k_in_group(

@@ -154,7 +154,7 @@ def _row_features(rows: DataFrame, o: FeatureOptions) -> DataFrame:
     if o.variation:
         new |= {
             f"{c}_variation": scalar.variation(mean(c), F.col(f"{c}_std{suffix}"))
-            for c in o.cols[:8]
+            for c in o.cols
         }
     return rows.withColumns(new)
 

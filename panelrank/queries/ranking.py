@@ -59,11 +59,6 @@ def with_stars(df, spark, sf):
     return df.join(part, "item")
 
 
-def pages_are_ordinary(spark, sf):
-    """No page is larger than one task can sort."""
-    return scale.oversized_groups(interactions(spark, sf).select("srch"), GROUP) is None
-
-
 def segmented(spark, sf, part):
     """Rows of one part with the popularity label learnt on the training part."""
     rows = with_parts(spark, sf)
@@ -395,7 +390,6 @@ def _(spark, sf):
             "popularity",
             TIE,
             least_groups=200,
-            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 
@@ -408,7 +402,7 @@ boosted AS (SELECT seg.*, coalesce(boost, 0) AS boost FROM seg LEFT JOIN boosts
 def _boosts(spark, sf):
     rows = segmented(spark, sf, "val")
     base = metrics.segment_metrics(
-        rows, GROUP, "rel", "score_b", "popularity", TIE, ordinary=pages_are_ordinary(spark, sf)
+        rows, GROUP, "rel", "score_b", "popularity", TIE
     )
     return rows, metrics.exposure_boosts(base, "popularity")
 
@@ -437,9 +431,8 @@ _REPORT = "SELECT popularity, avg(ndcg) AS ndcg, avg(share) AS exposure FROM {n}
 def _(spark, sf):
     _, boosts = _boosts(spark, sf)
     rows = segmented(spark, sf, "holdout")
-    ordinary = pages_are_ordinary(spark, sf)
     before, after = (
-        metrics.segment_metrics(df, GROUP, "rel", "score_b", "popularity", TIE, ordinary=ordinary)
+        metrics.segment_metrics(df, GROUP, "rel", "score_b", "popularity", TIE)
         for df in (rows, metrics.rerank(rows, "score_b", "popularity", boosts, 20.0))
     )
     return rounded(joins.before_after(before, after, "popularity", ["ndcg", "exposure"]))
@@ -471,7 +464,6 @@ def _(spark, sf):
             TIE,
             STRENGTHS,
             tolerance=0.02,
-            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 
@@ -494,7 +486,6 @@ def _(spark, sf):
             "score_b",
             TIE,
             WEIGHTS,
-            ordinary=pages_are_ordinary(spark, sf),
         )
     )
 
@@ -510,7 +501,11 @@ def _(spark, sf):
     return metrics.worst_groups(rows, GROUP, "rel", "score_b", TIE).drop("score_b")
 
 
-@query("rank_submission", f"WITH {INTER} SELECT srch, item FROM inter")
+@query(
+    "rank_submission",
+    f"""WITH {INTER} SELECT srch, item,
+    row_number() OVER (PARTITION BY srch ORDER BY score_b DESC, {_TIE}) AS position FROM inter""",
+)
 def _(spark, sf):
     return metrics.rank_submission(interactions(spark, sf), "srch", "item", "score_b", TIE)
 

@@ -175,21 +175,63 @@ def test_scan_reads_only_needed_columns(spark):
         assert unused not in text
 
 
-def test_sweeps_agree_on_ordinary_and_any_groups(spark):
-    rows = interactions(spark, SMALL).withColumn(
-        "seg", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("item") % 3 + 1).cast("int"))
+@pytest.fixture(scope="module")
+def holes(spark):
+    """Groups, a missing group among them, with ties and missing values."""
+    n = F.col("id")
+    return spark.range(600).select(
+        F.when(n % 3 != 0, (n % 4).cast("int")).alias("g"),
+        n.alias("row"),
+        F.when(n % 11 != 0, (n * 7919 % 97).cast("double")).alias("x"),
+    )
+
+
+@pytest.mark.parametrize("limit", [scale.SMALL_BYTES, 0])
+def test_a_missing_group_is_a_group(spark, holes, limit):
+    table = holes.toPandas()
+    codes = table["g"].fillna(-1)
+    total = scale.running_total(holes, ["g"], ["row"], F.lit(1), "t", limit=limit).toPandas()
+    assert len(total) == 600
+    assert total.sort_values("row")["t"].tolist() == table.groupby(codes).cumcount().tolist()
+    middle = scale.quantiles(holes, ["x"], [0.5], by=["g"], limit=limit).collect()
+    want = table.groupby(codes)["x"].median()
+    assert {(-1 if r["g"] is None else r["g"]): r["q"][0] for r in middle} == want.to_dict()
+    boxes = profile.boxplot_stats(holes, ["g"], "x")
+    assert boxes.count() == 5
+
+
+def test_a_missing_group_in_ranks_and_statistics(spark, holes):
+    large = scale.oversized_groups(holes, ["g"], most=150, limit=0)
+    assert [r["g"] for r in large.collect()] == [None]
+    same(
+        scale.rank_in_group(holes, ["g"], "x", "r"),
+        scale.rank_in_group(holes, ["g"], "x", "r", oversized=large),
+    )
+    stats = scale.with_group_stats(holes, ["g"], {"m": F.avg("x")})
+    assert stats.count() == 600 and stats.filter("m IS NULL").count() == 0
+    named = holes.select(F.col("g").cast("string").alias("variable"), F.col("x").alias("value"))
+    assert profile.variable_stats(named).filter("median IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("limit", [scale.SMALL_BYTES, 0])
+def test_hardest_share_counts_usable_rows_only(spark, limit):
+    n = F.col("id")
+    df = spark.range(100).select(
+        n.alias("key"),
+        F.when(n % 10 != 0, n.cast("double")).alias("y"),
+        F.lit(0.0).alias("a"),
+        F.lit(1.0).alias("b"),
     )
-    args = (rows, ["srch"], "rel", "score_b", "seg")
-    same(metrics.segment_metrics(*args, TIE), metrics.segment_metrics(*args, TIE, ordinary=True))
-    boosts = {"low": 2.0, "medium": 1.0, "high": 0.1}
-    any_, ordinary = (metrics.lambda_sweep(*args, boosts, TIE, (0.0, 5.0, 50.0), ordinary=o) for o in (False, True))
-    same(any_, ordinary)
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(scale, "fits_one_task", lambda *_: False)
-        rows = interactions(spark, SMALL)
-    blends = [metrics.blend_sweep(rows, ["srch"], "rel", ["score_a"], "score_b", TIE, (0.0, 0.5), ordinary=o) for o in (False, True)]
-    same(*blends)
-    assert plan(blends[1]).count("Exchange hashpartitioning(srch") == 1
+    got = {r["hard"]: r for r in metrics.hardest_share(df, "y", "a", "b", ["key"], limit=limit).collect()}
+    assert got[True]["n"] == 9 and got[False]["n"] == 81
+    assert got[True]["mse_first"] == sum(k * k for k in range(91, 100)) / 9
+    nothing = df.filter("y IS NULL")
+    assert metrics.hardest_share(nothing, "y", "a", "b", ["key"], limit=limit).count() == 0
+
+
+def test_r2_of_a_large_target_with_a_small_spread(spark):
+    df = spark.range(100).select((F.col("id") % 3 + 1e9).alias("y"), (F.col("id") % 3 + 1e9).alias("p"))
+    assert metrics.regression_report(df, F.col("y"), F.col("p")).first()["r2"] == 1.0
 
 
 def test_lookup_join_counts_before_it_broadcasts(spark, skewed, monkeypatch):
