@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -252,20 +252,53 @@ def top_by_importance(model: Model, cols: Sequence[str], n: int = 20) -> list[st
     return [cols[i] for i in ranked[:n]]
 
 
-def gram(df: DataFrame, cols: Sequence[str], target: str) -> np.ndarray:
-    """Sums of products of (1, columns, target) in one aggregate."""
-    terms = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols], F.col(target)]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    row = df.filter(F.col(target).isNotNull()).agg(
-        *[F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i, j in pairs]
-    ).first()
-    out = np.zeros((len(terms), len(terms)))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
+def _terms(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
+    return df.filter(F.col(target).isNotNull()).select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"t{i}") for i, c in enumerate(cols)],
+        F.col(target).cast("double").alias(f"t{len(cols)}"),
+    )
+
+
+def centre(df: DataFrame, cols: Sequence[str], target: str) -> np.ndarray:
+    """Means of the columns and the target: what ``gram`` subtracts before it multiplies."""
+    terms = _terms(df, cols, target)
+    row = terms.agg(*[F.avg(c).alias(c) for c in terms.columns]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def gram(
+    df: DataFrame, cols: Sequence[str], target: str, middle: np.ndarray | None = None
+) -> np.ndarray:
+    """Sums of products of (1, columns, target), each minus its entry of ``middle``.
+
+    Every task multiplies its batches as matrices and sends one row per cell; the sums of equal
+    cells combine before and after the shuffle, so only (columns x columns) numbers remain.
+    """
+    n = len(cols) + 2
+    off = np.zeros(n - 1) if middle is None else middle
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), batch.to_numpy(float) - off])
+            total += x.T @ x
+        i, j = np.triu_indices(n)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    cells = _terms(df, cols, target).mapInPandas(products, "i int, j int, v double")
+    out = np.zeros((n, n))
+    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
     return out
 
 
-def _solve(g: np.ndarray, used: Sequence[int], penalty: float = 1e-6) -> np.ndarray:
+def _grams(train: DataFrame, check: DataFrame, cols: Sequence[str], target: str):
+    """Sums of both tables around the means of the first."""
+    middle = centre(train, cols, target)
+    return gram(train, cols, target, middle), gram(check, cols, target, middle)
+
+
+def _solve(g: np.ndarray, used: Sequence[int], penalty: float = 1e-10) -> np.ndarray:
     a = g[np.ix_(used, used)]
     size = np.sqrt(np.maximum(np.diag(a), 1e-300))
     scaled = a / np.outer(size, size) + penalty * np.eye(len(used))
@@ -290,7 +323,7 @@ def forward_selection(
 
     Two aggregates give all sums; the search itself only touches (columns x columns) numbers.
     """
-    fit, check = gram(train, cols, target), gram(validation, cols, target)
+    fit, check = _grams(train, validation, cols, target)
     used = [0, list(cols).index(start) + 1]
     rows = [(0, start, _error(check, used, _solve(fit, used)))]
     while len(rows) < steps:
@@ -315,7 +348,7 @@ def ablation(
     The features are aggregated once; every subset is solved from the same sums.
     """
     cols = [c for block in blocks.values() for c in block]
-    fit, check = gram(train, cols, target), gram(validation, cols, target)
+    fit, check = _grams(train, validation, cols, target)
 
     def error(kept: Sequence[str]) -> float:
         used = [0, *[cols.index(c) + 1 for c in kept]]
@@ -336,7 +369,7 @@ def incremental_blocks(
 ) -> DataFrame:
     """Validation MSE as feature blocks are added one after the other."""
     cols = [c for block in blocks.values() for c in block]
-    fit, check = gram(train, cols, target), gram(validation, cols, target)
+    fit, check = _grams(train, validation, cols, target)
     rows, used = [], [0]
     for name, block in blocks.items():
         used = [*used, *[cols.index(c) + 1 for c in block]]
@@ -401,6 +434,8 @@ def per_id_models(
     """A ridge regression per id, tested on the id's last rows.
 
     An id holds at most one row per calendar day, so each fit is small and ids run in parallel.
+    An id with fewer than ``least`` training rows, or none to test on, has a row without errors
+    and a ``reason``. Rows without a target take no part.
     """
     cols = list(cols)
     id_type = instances.schema["id"].dataType.simpleString()
@@ -409,7 +444,9 @@ def per_id_models(
         rows = rows.sort_values("date")
         cut = int(len(rows) * (1 - test_fraction))
         if cut < least or cut == len(rows):
-            return pd.DataFrame(columns=["id", "n_train", "n_test", "mse", "mae", "baseline_mse"])
+            few = {"id": [rows["id"].iloc[0]], "n_train": [cut], "n_test": [len(rows) - cut]}
+            errors = {c: [None] for c in ("mse", "mae", "baseline_mse")}
+            return pd.DataFrame({**few, **errors, "reason": ["too few rows"]})
         x = rows[cols].fillna(0.0).to_numpy(float)
         y = rows[target].to_numpy(float)
         mid, width = x[:cut].mean(0), x[:cut].std(0)
@@ -427,15 +464,18 @@ def per_id_models(
                 "mse": [float(np.mean(error**2))],
                 "mae": [float(np.mean(np.abs(error)))],
                 "baseline_mse": [float(np.mean((y[cut:] - top) ** 2))],
+                "reason": [None],
             }
         )
 
     return (
-        instances.select("id", "date", target, *cols)
+        instances.filter(F.col(target).isNotNull())
+        .select("id", "date", target, *cols)
         .groupBy("id")
         .applyInPandas(
             fit,
-            f"id {id_type}, n_train int, n_test int, mse double, mae double, baseline_mse double",
+            f"id {id_type}, n_train int, n_test int, mse double, mae double,"
+            " baseline_mse double, reason string",
         )
     )
 
@@ -499,8 +539,7 @@ def window_sweep(
     for size in sizes:
         table = scale.cut_lineage(build(size))
         names = list(cols(size))
-        fit = gram(table.filter(is_train), names, target)
-        check = gram(table.filter(~is_train), names, target)
+        fit, check = _grams(table.filter(is_train), table.filter(~is_train), names, target)
         used = list(range(len(names) + 1))
         rows.append((size, int(check[0, 0]), _error(check, used, _solve(fit, used))))
         spark = table.sparkSession

@@ -1,12 +1,17 @@
-"""Exact nearest rows by Euclidean distance, distributed in bounded blocks.
+"""Exact nearest rows by missing-aware Euclidean distance, distributed in bounded blocks.
 
-Points fall into cells around a fixed number of pivots. A query only visits cells that can
-hold one of its k nearest points (triangle inequality), and cells are cut into blocks of a
-fixed number of points and queries, so a cell of any size is shared by many tasks.
+The distance of two rows is taken over the columns that both hold and scaled up to all columns;
+rows without a common column are no neighbours. Points fall into cells around pivots, whose
+number grows with the square root of the points. A query only visits cells that can hold one of
+its k nearest points (triangle inequality), and cells are cut into blocks of a fixed number of
+points and queries, so a cell of any size is shared by many tasks. The triangle inequality needs
+whole rows: points with holes share a cell that every query visits, and a query with holes
+visits every cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +23,9 @@ from pyspark.sql import types as T
 from panelrank.operators import scale
 from panelrank.operators.splits import hash_bucket, hash_key, uniform
 
-PIVOTS = 256
+PIVOTS = 64
+MOST_PIVOTS = 4096
+HOLES = -1
 BLOCK_POINTS = 20_000
 BLOCK_QUERIES = 20_000
 ROUNDING = 9
@@ -26,18 +33,30 @@ ROUNDING = 9
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
+    holes = np.isnan(a).any() or np.isnan(b).any()
+    common = np.zeros((len(a), len(b))) if holes else None
     for j in range(a.shape[1]):
         gap = a[:, j, None] - b[None, :, j]
+        if holes:
+            common += ~np.isnan(gap)
+            gap = np.nan_to_num(gap, nan=0.0)
         total += gap * gap
+    if holes:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = np.where(common > 0, total * a.shape[1] / common, np.inf)
     return np.sqrt(total)
 
 
 def _with_cell(points: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gaps = _distances(batch[list(cols)].to_numpy(float), pivots)
+            values = batch[list(cols)].to_numpy(float)
+            holes = np.isnan(values).any(1)
+            gaps = _distances(np.where(holes[:, None], 0.0, values), pivots)
             cell = gaps.argmin(1) if len(batch) else np.zeros(0, int)
-            yield batch.assign(_cell=cell.astype("int32"), _gap=gaps[np.arange(len(batch)), cell])
+            gap = np.where(holes, np.inf, gaps[np.arange(len(batch)), cell])
+            cell = np.where(holes, HOLES, cell)
+            yield batch.assign(_cell=cell.astype("int32"), _gap=gap)
 
     schema = T.StructType(
         [*points.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_gap", T.DoubleType())]
@@ -53,22 +72,29 @@ def nearest_rows(
     key: str,
     point_key: str,
     exclude_same: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_points: int = BLOCK_POINTS,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """The ``k`` nearest points of every query: (key, place, point_key, distance).
 
     Distances are rounded to nine digits and ties go to the smaller point key. With
-    ``exclude_same`` a point with the query's own key does not count.
+    ``exclude_same`` a point with the query's own key does not count. A query gets fewer than
+    ``k`` points only if fewer share a column with it. Rows travel with all ``cols``, and a task
+    holds ``block_queries`` by 256 distances at a time, so dimensions cost memory in proportion.
     """
     cols = list(cols)
     points = points.select(F.col(point_key).alias("_point"), *[F.col(c).cast("double") for c in cols])
     queries = queries.select(F.col(key).alias("_query"), *[F.col(c).cast("double") for c in cols])
-    chosen = points.orderBy(hash_key("_point"), "_point").limit(pivots).collect()
-    if not chosen:
-        raise ValueError("no points")
+    whole = points.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in cols))
+    if pivots is None:
+        pivots = max(PIVOTS, min(MOST_PIVOTS, math.isqrt(whole.count())))
+    chosen = whole.orderBy(hash_key("_point"), "_point").limit(pivots).collect()
     centres = np.array([[r[c] for c in cols] for r in chosen], dtype=float)
+    if not chosen:
+        if points.isEmpty():
+            raise ValueError("no points")
+        centres = np.zeros((1, len(cols)))
     placed = _with_cell(points, cols, centres)
     # One row per pivot.
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
@@ -82,7 +108,9 @@ def nearest_rows(
         for batch in batches:
             if not len(batch):
                 continue
-            gaps = _distances(batch[cols].to_numpy(float), held)
+            values = batch[cols].to_numpy(float)
+            holes = np.isnan(values).any(1)
+            gaps = _distances(np.where(holes[:, None], 0.0, values), held)
             far = gaps + radii
             order = np.argsort(far, axis=1)
             enough = (np.cumsum(sizes[order], axis=1) >= need).argmax(1)
@@ -90,6 +118,7 @@ def nearest_rows(
             bound = np.take_along_axis(far, order, 1)[np.arange(len(batch)), enough]
             if short:
                 bound = np.full(len(batch), np.inf)
+            bound = np.where(holes, np.inf, bound)
             open_ = gaps - radii <= bound[:, None] + 1e-9
             yield batch.assign(_cells=[ids[row].tolist() for row in open_])
 
@@ -199,17 +228,29 @@ def smote(
     """Synthetic rows that bring every class up to the largest one.
 
     Each minority row gets its share of copies; a copy lies at a random point on the line to
-    one of the row's k nearest rows of the same class. Draws come from hashes of key and copy.
+    one of the row's k nearest rows of the same class, and equals the row if the class has no
+    other. Draws come from hashes of key and copy. Rows without a label take no part.
     """
     counts = {
-        r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+        r[label]: r["n"]
+        for r in df.filter(F.col(label).isNotNull())
+        .groupBy(label)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     }
+    if not counts:
+        return df.select(key, F.lit(0).alias("copy"), label, *cols).limit(0)
     largest = max(counts.values())
     out = None
     for value, n in sorted(counts.items(), key=lambda e: str(e[0])):
-        if n == largest or n < 2:
+        if n == largest:
             continue
         members = df.filter(F.col(label) == value).select(key, *cols)
+        if n == 1:
+            copy = F.explode(F.sequence(F.lit(1), F.lit(largest - 1))).alias("copy")
+            made = members.select(key, copy, F.lit(value).alias(label), *cols)
+            out = made if out is None else out.unionByName(made)
+            continue
         near = nearest_rows(members, members, cols, k, key, key, exclude_same=True, **sizes)
         reach = min(k, n - 1)
         whole, part = divmod(largest - n, n)

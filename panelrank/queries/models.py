@@ -582,6 +582,76 @@ def _(spark, sf):
     return rounded(run_experiment(interpolated(spark, sf), experiment, "lean"), 4)
 
 
+# --- closed forms -------------------------------------------------------------------------
+
+# One and two columns, where SQL can solve the normal equations by itself.
+_CLOSED = f"""{FILLED}, rowed AS (SELECT id, date, mood AS y, coalesce(strain, 0) AS x,
+  coalesce(spend, 0) AS w, date < DATE '2024-01-25' AS is_train FROM filled WHERE mood IS NOT NULL),
+one AS (SELECT avg(x) AS mx, avg(w) AS mw, avg(y) AS my, var_pop(x) AS xx, var_pop(w) AS ww,
+  covar_pop(x, w) AS xw, covar_pop(x, y) AS xy, covar_pop(w, y) AS wy FROM rowed WHERE is_train),
+beta AS (SELECT *, (xy * ww - wy * xw) / (xx * ww - xw * xw) AS bx, (wy * xx - xy * xw) / (xx * ww - xw * xw) AS bw FROM one),
+errors AS (SELECT avg((y - my) ** 2) AS e0, avg((y - my - xy / xx * (x - mx)) ** 2) AS ex,
+  avg((y - my - wy / ww * (w - mw)) ** 2) AS ew, avg((y - my - bx * (x - mx) - bw * (w - mw)) ** 2) AS exw
+  FROM rowed, beta WHERE NOT is_train)"""
+
+
+def _closed_form_rows(spark, sf):
+    rows = interpolated(spark, sf).filter("mood IS NOT NULL")
+    early = F.col("date") < F.lit("2024-01-25").cast("date")
+    return rows.filter(early), rows.filter(~early)
+
+
+@query(
+    "ablation_two_columns",
+    f"""WITH {_CLOSED} SELECT 'all' AS features, 2 AS n, {rd("exw", "mse")} FROM errors
+    UNION ALL SELECT 'without strain', 1, {rd("ew", "mse")} FROM errors
+    UNION ALL SELECT 'without spend', 1, {rd("ex", "mse")} FROM errors""",
+)
+def _(spark, sf):
+    train, test = _closed_form_rows(spark, sf)
+    return rounded(ml.ablation(train, test, {"strain": ["strain"], "spend": ["spend"]}, "mood"))
+
+
+@query(
+    "incremental_two_columns",
+    f"""WITH {_CLOSED} SELECT 0 AS step, 'strain' AS block, 1 AS n, {rd("ex", "mse")} FROM errors
+    UNION ALL SELECT 1, 'spend', 2, {rd("exw", "mse")} FROM errors""",
+)
+def _(spark, sf):
+    train, test = _closed_form_rows(spark, sf)
+    blocks = {"strain": ["strain"], "spend": ["spend"]}
+    return rounded(ml.incremental_blocks(train, test, blocks, "mood"))
+
+
+@query(
+    "forward_selection_two_columns",
+    f"""WITH {_CLOSED} SELECT 0 AS step, 'strain' AS "column", {rd("ex", "mse")} FROM errors
+    UNION ALL SELECT 1, 'spend', {rd("exw", "mse")} FROM errors WHERE exw < ex""",
+)
+def _(spark, sf):
+    train, test = _closed_form_rows(spark, sf)
+    return rounded(ml.forward_selection(train, test, ["strain", "spend"], "mood", "strain"))
+
+
+@query(
+    "per_id_models_one_column",
+    f"""WITH {FILLED}, r AS (SELECT id, date, mood AS y, coalesce(strain, 0) AS x,
+      row_number() OVER {BY} AS rn, floor(count(*) OVER (PARTITION BY id) * 0.8::DOUBLE)::INT AS cut,
+      count(*) OVER (PARTITION BY id) AS n FROM filled WHERE mood IS NOT NULL),
+    s AS (SELECT id, avg(x) AS mx, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sx, avg(y) AS my FROM r WHERE rn <= cut GROUP BY id),
+    z AS (SELECT r.*, (x - mx) / sx AS z, my FROM r JOIN s USING (id)),
+    b AS (SELECT id, sum(z * (y - my)) / (sum(z * z) + 1.0) AS beta FROM z WHERE rn <= cut GROUP BY id),
+    e AS (SELECT id, count(*) AS n_test, avg((y - my - beta * z) ** 2) AS mse, avg(abs(y - my - beta * z)) AS mae, avg((y - my) ** 2) AS base
+      FROM z JOIN b USING (id) WHERE rn > cut GROUP BY id),
+    k AS (SELECT id, any_value(cut) AS cut, any_value(n) AS n FROM r GROUP BY id)
+    SELECT id, cut AS n_train, (n - cut)::INT AS n_test, {", ".join(rd(f"CASE WHEN cut >= 5 THEN {a} END", b) for a, b in (("mse", "mse"), ("mae", "mae"), ("base", "baseline_mse")))},
+    CASE WHEN cut < 5 OR cut = n THEN 'too few rows' END AS reason FROM k LEFT JOIN e USING (id)""",
+)
+def _(spark, sf):
+    rows = interpolated(spark, sf)
+    return rounded(ml.per_id_models(rows, ["strain"], "mood"))
+
+
 # --- ranking flow -------------------------------------------------------------------------
 
 RANKING = RankingColumns(

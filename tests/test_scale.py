@@ -137,6 +137,39 @@ def test_fewer_points_than_k(spark):
     assert sorted((r["key"], r["neighbour"]) for r in got.collect()) == [(1, 2), (2, 1)]
 
 
+def test_nearest_rows_with_holes_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    points = []
+    for i in range(160):
+        row = [float(x) if rng.random() > 0.15 else None for x in rng.normal(size=3).round(2)]
+        points.append((i, *row))
+    points += [(900, None, None, None), (901, 0.1, None, None)]
+    df = spark.createDataFrame(points, "key long, a double, b double, c double")
+
+    def gap(p, q):
+        both = [(u - v) ** 2 for u, v in zip(p[1:], q[1:]) if u is not None and v is not None]
+        return round(float(np.sqrt(sum(both) * 3 / len(both))), 9) if both else None
+
+    want = {}
+    for q in points:
+        found = sorted((gap(q, p), p[0]) for p in points if p[0] != q[0] and gap(q, p) is not None)
+        want[q[0]] = [p for _, p in found[:4]]
+    for sizes in ({}, {"pivots": 8, "block_points": 20, "block_queries": 30}):
+        got = neighbours.nearest_rows(df, df, ["a", "b", "c"], 4, "key", "key", exclude_same=True, **sizes)
+        found = {}
+        for r in got.orderBy("key", "place").collect():
+            found.setdefault(r["key"], []).append(r["neighbour"])
+        assert found == {q: near for q, near in want.items() if near}
+    only_holes = df.filter("key = 901")
+    assert neighbours.nearest_rows(df, only_holes, ["a", "b", "c"], 1, "key", "key").count() > 0
+
+
+def test_smote_copies_a_class_of_one_row(spark):
+    df = spark.createDataFrame([(1, "a", 0.0), (2, "a", 1.0), (3, "a", 2.0), (4, "b", 7.0), (5, None, 1.0)], "key long, y string, x double")
+    made = neighbours.smote(df, ["x"], "y", "key", k=2)
+    assert sorted(map(tuple, made.collect())) == [(4, 1, "b", 7.0), (4, 2, "b", 7.0)]
+
+
 def test_smote_balances_classes(spark):
     df = spark.range(60).select(
         F.col("id").alias("key"),
