@@ -65,18 +65,34 @@ def normal_two_sided(z):
 
 @F.udf(T.DoubleType())
 def binomial_half_two_sided(k, n):
-    """Exact two-sided test of k successes in n fair draws, by log-sums."""
+    """Exact two-sided test of k successes in n fair draws.
+
+    The lower tail is a regularised incomplete beta function at 1/2. Its continued fraction takes
+    about the square root of n steps and no memory.
+    """
     if k is None or n is None:
         return None
-    if n == 0:
-        return 1.0
     low = min(k, n - k)
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
-        for i in range(low + 1)
-    ]
-    top = max(logs)
-    return min(1.0, 2.0 * math.exp(top) * sum(math.exp(v - top) for v in logs))
+    if n == 0 or 2 * low + 1 >= n:
+        return 1.0  # the two tails cover everything
+    a, b, x, tiny = float(n - low), low + 1.0, 0.5, 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 1_000_000):
+        for term in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 + term * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + term / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(0.5)
+    return min(1.0, 2.0 * math.exp(front) * h / a)
 
 
 @F.udf(T.DoubleType())

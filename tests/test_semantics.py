@@ -231,3 +231,17 @@ def test_constant_columns_have_no_correlation(spark):
     assert profile.correlation_pairs(df, ["x", "y"]).first()["r"] is None
     flat = windows.rolling_autocorr(panel(spark, [1.0] * 12), "x")
     assert set(column(flat, "x_autocorr1")) == {0.0}
+
+
+def test_exact_binomial_tail_against_plain_sums():
+    from math import comb
+
+    from panelrank.functions import stats
+
+    tail = stats.binomial_half_two_sided.func
+    for n in (0, 1, 2, 3, 7, 20, 101, 400):
+        for k in range(0, n + 1, max(1, n // 13)):
+            want = min(1.0, 2 * sum(comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+            assert abs(tail(k, n) - want) <= 1e-12 + 1e-9 * want, (k, n)
+    assert 0.9 < tail(500_000_000, 1_000_000_001) <= 1.0
+    assert 0.0 <= tail(499_900_000, 1_000_000_000) < 1e-8
