@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows: all of a small table, else about nine tenths of that many.
+
+    Rows are drawn by a hash of their keys against a share set from the count, so every task
+    sends on only what is drawn; the order and limit then work on the draw alone.
+    """
+    total = df.count()
+    scale, drawn = 1 << 40, F.xxhash64(F.lit("draw"), *keys)
+    if total > rows:
+        df = df.filter(F.pmod(drawn, F.lit(scale)) < int(0.9 * scale * rows / total))
+    return df.orderBy(drawn, *keys).limit(rows)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -35,16 +49,21 @@ def fold_column(col: str, folds: int = 5):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def ranges(sizes: Iterable[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive items that add up to about ``most``, one item at least."""
+    start = held = end = 0
+    for end, size in enumerate(sizes, 1):
+        held += size
+        if held >= most:
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
+
+
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with about ``most`` characters each, one text at least."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges((len(text or "") for text in texts), most)
 
 
 def map_texts(
@@ -74,11 +93,11 @@ def map_texts(
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for start, end in chunks(texts):
+            sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist()
+            for start, end in ranges(sizes):
                 part = batch.slice(start, end - start)
                 kept = {k: part.column(r).to_pylist() for k, r in zip(keep, renamed)}
-                out = work(texts[start:end], kept)
+                out = work(part.column("_text").to_pylist(), kept)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow
                 )

@@ -10,13 +10,13 @@ where a repeat is possible and not yet decided:
    repeated windows only. Counting stretches decides most of what is left.
 3. Other stretches of grams with several different stretches go, one copy each, to the tasks
    that own their grams. There each batch gets its suffix array (its window starts sorted by
-   their first eight bytes and, inside equal ones, by a fingerprint of the window, so that equal
+   their first bytes and, inside equal ones, by a fingerprint of the window, so that equal
    windows are neighbours), is merge-scanned against every level of the index, and becomes a
    level; levels of equal size merge, so a task keeps at most the logarithm of its batches. A
    gram with more than ``HOT`` different stretches would fill one task: its windows are dealt out
    by their own fingerprint instead and counted.
 
-Strings are compared by two 64-bit fingerprints. Texts are keyed by content (128 bits), copies are
+Strings are compared by fingerprints of at least 104 bits. Texts are keyed by content (128 bits), copies are
 counted as further places. Matches never cross documents; strings are judged on the input. A
 missing text counts as empty; texts shorter than ``span`` bytes lose nothing. Repeated and
 missing ids are allowed: every row is judged by its text.
@@ -40,11 +40,11 @@ GRAM = 32
 # Window starts handled at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 # Different stretches of one gram that a task may own.
-HOT = 20_000
+HOT = 4096
 # Texts with open stretches whose keys may go to all executors.
 BROADCAST_ROWS = 200_000
 # Stretches that get a suffix array together.
-BATCH = 4096
+BATCH = 2048
 
 _ORDER = np.uint64((1 << 24) - 1)
 _VALUE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) for s in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
@@ -107,7 +107,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """Suffix arrays of batches, merged geometrically; marks windows that occur twice."""
+    """Suffix arrays of batches, merged geometrically; marks windows that occur twice.
+
+    A window's place in the order is one number: its first three bytes, then 40 bits of its
+    fingerprint. A second fingerprint tells windows with equal numbers apart.
+    """
 
     def __init__(self, span: int) -> None:
         self.span = span
@@ -117,32 +121,40 @@ class Levels:
 
     def suffix_array(self, texts: list[bytes], sizes: np.ndarray) -> dict[str, np.ndarray]:
         """The window starts of all texts, each of ``sizes`` windows, in order."""
-        data = np.frombuffer(b"".join([*texts, b"\0" * 8]), np.uint8)
+        data = np.frombuffer(b"".join([*texts, b"\0" * 3]), np.uint8)
         starts = np.cumsum([0, *map(len, texts[:-1])])
         where = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        head = np.zeros(len(where), np.uint64)
-        for i in range(8):
-            head = (head << np.uint64(8)) | data[where + i]
         hashes = Hashes(data)
-        one, two = (hashes.of(where, where + self.span, k) for k in (0, 1))
-        order = np.lexsort((two, one, head))
+        place = hashes.of(where, where + self.span, 0) >> np.uint64(24)
+        for i in range(3):
+            place |= data[where + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+        other = hashes.of(where, where + self.span, 1)
         ids = self.count + np.arange(len(where))
         self.count += len(where)
         self.repeated.append(np.zeros(len(where), bool))
-        return {"head": head[order], "one": one[order], "two": two[order], "id": ids[order]}
+        return self.ordered({"place": place, "other": other, "id": ids})
 
     @staticmethod
-    def merge(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        both = {k: np.concatenate([a[k], b[k]]) for k in a}
-        order = np.lexsort((both["two"], both["one"], both["head"]))
-        return {k: v[order] for k, v in both.items()}
+    def ordered(level: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """In order of place; sorting two sorted arrays end to end is one linear merge."""
+        order = np.argsort(level["place"], kind="stable")
+        level = {k: v[order] for k, v in level.items()}
+        tied = level["place"][1:] == level["place"][:-1]
+        if (tied & (level["other"][1:] != level["other"][:-1])).any():
+            order = np.lexsort((level["other"], level["place"]))
+            level = {k: v[order] for k, v in level.items()}
+        return level
+
+    @classmethod
+    def merge(cls, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return cls.ordered({k: np.concatenate([a[k], b[k]]) for k in a})
 
     @staticmethod
     def equal_neighbours(level: dict[str, np.ndarray]) -> np.ndarray:
         """Ids of the windows that equal the one before or after them."""
-        same = np.ones(max(0, len(level["id"]) - 1), bool)
-        for k in ("head", "one", "two"):
-            same &= level[k][1:] == level[k][:-1]
+        same = (level["place"][1:] == level["place"][:-1]) & (
+            level["other"][1:] == level["other"][:-1]
+        )
         return np.concatenate([level["id"][1:][same], level["id"][:-1][same]])
 
     def add(self, texts: list[bytes], sizes: np.ndarray) -> None:
