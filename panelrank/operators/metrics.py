@@ -102,20 +102,31 @@ def regression_report(
 def baselines(
     train: DataFrame, test: DataFrame, target: str, cuts: Sequence[float]
 ) -> DataFrame:
-    """Majority class and training mean as predictors on the test rows."""
+    """Majority class and training mean as predictors on the test rows.
+
+    One aggregate over the training rows, one row per class (one more than ``cuts``), and two
+    over the test rows, whose single results are joined.
+    """
     label = cut_class(F.col(target), cuts)
-    seen = train.filter(F.col(target).isNotNull())
-    counts = seen.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    majority = counts.orderBy(F.desc("n"), "label").limit(1).select("label").scalar()
-    mean = seen.agg(F.avg(target)).scalar()
+    classes = (
+        train.filter(F.col(target).isNotNull())
+        .groupBy(label.alias("label"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("double")).alias("total"))
+        .collect()
+    )
+    majority = min(classes, key=lambda r: (-r["n"], r["label"]), default={"label": None})["label"]
+    rows_seen = sum(r["n"] for r in classes)
+    mean = sum(r["total"] for r in classes) / rows_seen if rows_seen else None
     rows = test.filter(F.col(target).isNotNull()).select(
-        F.col(target).alias("y"), label.alias("truth"), majority.alias("pred"), mean.alias("mean")
+        F.col(target).alias("y"),
+        label.alias("truth"),
+        F.lit(majority).cast(test.select(label.alias("l")).schema["l"].dataType).alias("pred"),
+        F.lit(mean).cast("double").alias("mean"),
     )
     by_class = classification_report(confusion_counts(rows, "truth", "pred"))
-    by_value = regression_report(rows, F.col("y"), F.col("mean"))
-    return by_class.withColumns(
-        {m: by_value.select(m).scalar() for m in ("mse", "rmse", "mae", "r2")}
-    )
+    by_value = regression_report(rows, F.col("y"), F.col("mean")).drop("n")
+    one = F.lit(1).alias("_one")
+    return by_class.select("*", one).join(by_value.select("*", one), "_one").drop("_one")
 
 
 def per_group_report(

@@ -217,9 +217,11 @@ def _oof_sql(keys, source):
 def _oof(rows, keys):
     fold = F.when(F.col("part") == "train", splits.hash_bucket(5, "srch", seed=7))
     rows = rows.select("srch", *TIE, *[k for k in keys if k not in TIE], *TARGETS, "part")
-    rows = rows.withColumn("fold", fold)
+    # Rows, sums per fold and overall rates all read this narrow table: it is joined once.
+    rows = scale.cut_lineage(rows.withColumn("fold", fold))
     train = rows.filter(F.col("part") == "train")
-    built = groups.oof_priors(rows, keys, "fold", TARGETS, source=train)
+    rates = groups.overall_rates(train, TARGETS)
+    built = groups.oof_priors(rows, keys, "fold", TARGETS, rates=rates, source=train)
     features = ["impressions_log1p", *[f"{t}_rate" for t in TARGETS]]
     return rounded(
         built.withColumn("fold", F.coalesce("fold", F.lit(-1))).select(
