@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrank.llm.common import map_texts
+from panelrank.llm.common import bounded_sample, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is none
@@ -299,16 +299,18 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field, sure: f
     return out
 
 
-def sample(docs: DataFrame, rows: int = 4000, longest: int = 20_000, text_col: str = "text") -> list[str]:
+def sample(
+    docs: DataFrame,
+    rows: int = 4000,
+    longest: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> list[str]:
     """At most ``rows`` texts of at most ``longest`` characters that hold a digit or an at sign."""
-    text = F.col(text_col)
-    found = (
-        docs.select(text.alias("_text"))
-        .filter((F.length("_text") <= longest) & F.col("_text").rlike("[0-9@]"))
-        .withColumn("_h", F.xxhash64("_text"))
-        .orderBy("_h", "_text")
-        .limit(rows)
+    usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(
+        (F.length("_text") <= longest) & F.col("_text").rlike("[0-9@]")
     )
+    found = bounded_sample(usable, rows, "_id", "_text")
     return found.select("_text").toArrow().column("_text").to_pylist()
 
 
