@@ -8,9 +8,9 @@ same size for any corpus. A document is the mean and spread of its words' vector
 a two-layer numpy network scores it, and a temperature fitted on rows kept out of its training
 calibrates the probability.
 
-The network learns from a bounded sample (``rows`` labelled documents, those with the smallest hash
-of their id). A missing, empty or blank text has no words: all its features are zero, which the
-network scores like any others. Without labelled rows every score is 0.5; with one class only,
+The network learns from a bounded sample (``rows`` labelled documents, drawn by a hash of their
+id). A missing, empty or blank text has no words: all its features are zero, which the network
+scores like any others. Without labelled rows every score is 0.5; with one class only,
 that class's smoothed share.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.llm.arrays import joined, mix, per_text, runs, sums
-from panelrank.llm.common import chunks, fold_column, map_texts
+from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts
 
 BUCKETS = 1 << 15
 WIDTH = 32
@@ -215,14 +215,13 @@ def training_rows(
     Repeated labels of an id count as their largest; repeated documents as one of their texts.
     Only features, a few hundred bytes a row, reach the driver.
     """
-    picked = (
+    known = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
         .filter(fold_column(id_col) != 0)
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label).cast("int")).alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
     )
+    picked = bounded_sample(known, rows, "_id")
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         F.broadcast(picked), "_id"
     )

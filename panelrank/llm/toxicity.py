@@ -6,8 +6,8 @@ average, and a linear softmax turns it into a probability. Vectors and softmax a
 together in numpy, so a misspelt word shares most of its n-grams, and their vectors, with the
 word itself.
 
-Training uses a bounded sample (``rows`` labelled texts of at most ``longest`` bytes, those with
-the smallest hash of their id). Scoring reads every text whole. A missing, empty or word-free
+Training uses a bounded sample (``rows`` labelled texts of at most ``longest`` bytes, drawn by
+a hash of their id). Scoring reads every text whole. A missing, empty or word-free
 text has the average vector zero, so its score is the softmax of the biases alone. Without
 labelled rows every score is 0.5; with rows of one class only, that class's smoothed share.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.llm.arrays import joined, mix, sums
-from panelrank.llm.common import chunks, fold_column, map_texts
+from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -150,14 +150,13 @@ def sample(
 
     Repeated labels of an id count as their largest, repeated texts as the smallest.
     """
-    picked = (
+    known = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
         .filter(fold_column(id_col) != 0)
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label).cast("int")).alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
     )
+    picked = bounded_sample(known, rows, "_id")
     found = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .filter(F.octet_length("_text") <= longest)
