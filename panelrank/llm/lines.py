@@ -3,16 +3,18 @@
 A line takes part if it has at least ``least`` characters; shorter ones always stay. Two lines
 are near if their edit distance is at most ``tau``. A line is cut into tau + 1 segments, so a
 near line must hold one of them unchanged, at a place that differs by no more than the edits
-left for either side (the length-aware windows below). Every line writes its own segments
-(role 0) and the windows in which a line of its length or up to tau less would hold one (role 1);
-lines meet where length, segment number and content agree.
+left for either side (the length-aware windows below). Every line writes its own segments, and
+the windows in which a line of its length or up to tau less would hold one; lines meet where
+length, segment number and content agree.
 
 Most of these keys belong to one line alone. A first pass reduces each key to the smallest and
 largest line on it, combined before the shuffle, so a segment that very many lines share costs
 one row per task. A second pass keeps the rows of keys with two lines or more. Keys with many
 lines are not paired at once: what is left of their lines without the shared segment is again
-within tau edits, so it is cut and matched in the same way, for ``LEVELS`` levels. Remaining
-pairs are verified on the whole lines by a banded bit-parallel edit distance.
+within tau edits, so it is cut and matched in the same way, for ``LEVELS`` levels. Lines meet
+only if sketches of their characters allow tau edits. Pairs of which too few parts agree, or that
+use up their edits right after the first difference, are dropped; the others are verified on the
+whole lines by a banded bit-parallel edit distance.
 
 Position: documents in order of id (missing last), then of a 128-bit hash of their text, lines in
 their order; rows with equal id and text count as one document. A line stays at its first
@@ -30,9 +32,11 @@ from panelrank.operators.scale import cut_lineage
 
 TAU = 2
 LEAST = 20
-LEVELS = 2
-# Lines on one key that are paired without further cutting.
+LEVELS = 3
+# Lines on one key, of those found and of those looking, that are paired without further cutting.
 MOST = 32
+# Characters after the block of the first difference that must fit as well.
+STRETCH = 24
 # Rows of a few numbers that may go to all executors.
 BROADCAST_ROWS = 200_000
 
@@ -67,120 +71,189 @@ def _position() -> Column:
     return F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2", "no")
 
 
-def _cuts(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """Start and size of the tau + 1 segments of a line; the last ones take the remainder."""
-    parts = tau + 1
-    size, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), F.lit(i - parts) + rest)
-        out.append((size * i + longer, size + F.when(rest >= parts - i, 1).otherwise(0)))
-    return out
-
+def _kinds(tau: int) -> list[tuple[int, int, int]]:
+    """(number, less, shift) of the pieces of a line: its segments first, then other windows.
 
-def _pieces(rows: DataFrame, tau: int, least: int, places: bool) -> DataFrame:
-    """Segments and windows of the rows (grp, roles, id, text): key, role, id.
-
-    ``roles`` says which of the two a row writes: 0 segments, 1 windows, 2 both. With ``places``
-    the text is carried along without the piece.
+    Segment ``number`` of a line that is ``less`` characters shorter can stand up to ``shift``
+    beside its own place: no more than the edits that are left before it, and after it. With
+    neither, the window is the line's own segment.
     """
-    length = F.length("text")
-    made = []
-
-    def add(role: int, number: int, target: Column, start: Column, size: Column, valid: Column):
-        content = F.substring("text", start + 1, size)
-        fields = [
-            F.xxhash64("grp", F.lit(number), target, content).alias("key"),
-            F.lit(role).alias("role"),
-        ]
-        if places:
-            left = F.substring("text", F.lit(1), start)
-            right = F.substring("text", start + size + 1, length)
-            fields.append(F.concat(left, right).alias("text"))
-        made.append(F.when(valid & F.col("roles").isin(role, 2), F.struct(*fields)))
-
-    for number, (start, size) in enumerate(_cuts(length, tau)):
-        add(0, number, length, start, size, F.lit(True))
+    out = [(number, 0, 0) for number in range(tau + 1)]
     for less in range(tau + 1):
-        target = length - less
-        for number, (start, size) in enumerate(_cuts(target, tau)):
+        for number in range(tau + 1):
             low = max(-number, less - (tau - number))
             high = min(number, less + (tau - number))
-            for shift in range(low, high + 1):
-                begin = start + shift
-                fits = (begin >= 0) & (begin + size <= length) & (target >= least)
-                add(1, number, target, begin, size, fits)
-    return (
-        rows.select("id", F.explode(F.filter(F.array(*made), lambda p: p.isNotNull())).alias("p"))
-        .select("id", "p.*")
+            out += [(number, less, s) for s in range(low, high + 1) if less or s]
+    return out
+
+
+def _pieces(rows: DataFrame, tau: int, least: int) -> DataFrame:
+    """Pieces of the rows (grp, role, id, text): key, role, id, text, start, size.
+
+    Roles: 0 looked up by others, 1 looks others up, 2 both. A row that is only looked up has
+    no windows but its segments. The kinds are rows of their own before anything is cut, so all
+    arithmetic is compiled with the scan.
+    """
+    parts = tau + 1
+    names = ("number", "less", "shift")
+    kinds = F.array(
+        *[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, kind)]) for kind in _kinds(tau)]
+    )
+    cut = (
+        rows.select("grp", "role", "id", "text", F.length("text").alias("n"))
+        .withColumn("raw", F.col("text").cast("binary"))
+        # Where every character is one byte, a piece is found without counting characters.
+        .withColumn("plain", F.octet_length("text") == F.col("n"))
+        .select("*", F.explode(kinds).alias("k"))
+        .select("grp", F.col("role").alias("own"), "id", "text", "n", "raw", "plain", "k.*")
+        .withColumn("role", F.expr("IF(less = 0 AND shift = 0, own, IF(own = 0, NULL, 1))"))
+        .filter("role IS NOT NULL")
+        .withColumn("target", F.col("n") - F.col("less"))
+        .withColumn("whole", F.expr(f"CAST(target div {parts} AS INT)"))
+        .withColumn("rest", F.col("target") % parts)
+        .withColumn(
+            "start",
+            F.col("whole") * F.col("number")
+            + F.greatest(F.lit(0), F.col("number") - parts + F.col("rest"))
+            + F.col("shift"),
+        )
+        .withColumn(
+            "size", F.col("whole") + F.when(F.col("rest") >= parts - F.col("number"), 1).otherwise(0)
+        )
+        .filter(F.expr("start >= 0 AND start + size <= n") & (F.col("target") >= least))
+    )
+    content = F.expr(
+        "IF(plain, substring(raw, start + 1, size),"
+        " CAST(substring(text, start + 1, size) AS BINARY))"
+    )
+    key = F.xxhash64("grp", F.expr("target * 64 + number"), content)
+    return cut.select(key.alias("key"), "role", "id", "text", "start", "size")
+
+
+def _shared(pieces: DataFrame) -> DataFrame:
+    """(key, role, id) of the keys that one line looks up and another one is found on."""
+    # The lowest bits of a line's number give way to the role; 62 bits tell lines apart.
+    mark = F.col("id").bitwiseAND(-4).bitwiseOR(F.col("role").cast("long"))
+    several = (
+        pieces.select("key", mark.alias("mark"))
+        .groupBy("key")
+        .agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        .filter(F.shiftright("low", 2) != F.shiftright("high", 2))
+        .select("key")
     )
+    live = cut_lineage(
+        pieces.select("key", "role", "id")
+        .join(_small(cut_lineage(several)), "key", "left_semi")
+        .distinct()
+    )
+    counts = live.groupBy("key").agg(
+        F.count_if(F.col("role") != 1).alias("found"), F.count_if(F.col("role") != 0).alias("seek")
+    )
+    return cut_lineage(live.join(counts.filter("found > 0 AND seek > 0"), "key"))
 
 
-def _candidates(lines: DataFrame, tau: int, least: int, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes that share a piece at every level."""
+def _candidates(
+    lines: DataFrame, tau: int, least: int, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of line hashes that share pieces, and the lines (h1, h2, line)."""
     rows = lines.select(
         F.lit(0).cast("long").alias("grp"),
-        F.lit(2).alias("roles"),
+        F.lit(2).alias("role"),
         F.col("h1").alias("id"),
         F.col("line").alias("text"),
     )
+    pieces = _pieces(rows, tau, least)
+    live = _shared(pieces)
+    ids = _small(cut_lineage(live.select(F.col("id").alias("h1")).distinct()))
+    texts = cut_lineage(
+        lines.select("h1", "h2", "line")
+        .join(ids, "h1", "left_semi")
+        .groupBy("h1", "h2")
+        .agg(F.min("line").alias("line"))
+        .withColumn("sketch", _sketch("line"))
+    )
+    sketches = texts.select(F.col("h1").alias("id"), "sketch")
+    # From here on only lines that share a piece matter.
+    pieces = _pieces(
+        texts.select(
+            F.lit(0).cast("long").alias("grp"),
+            F.lit(2).alias("role"),
+            F.col("h1").alias("id"),
+            F.col("line").alias("text"),
+        ),
+        tau,
+        least,
+    )
     found = None
     for level in range(LEVELS):
-        # The lowest bit of a line's number gives way to the role; 63 bits tell lines apart.
-        marked = F.col("id").bitwiseAND(-2).bitwiseOR(F.col("role").cast("long"))
-        pieces = _pieces(rows, tau, least if level == 0 else 1, places=False)
-        shared = (
-            pieces.select("key", marked.alias("mark"))
-            .groupBy("key")
-            .agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
-            .filter(F.shiftright("low", 1) != F.shiftright("high", 1))
-            .select("key")
-        )
-        shared = _small(cut_lineage(shared))
-        live = cut_lineage(pieces.join(shared, "key", "left_semi").distinct())
-        counts = live.groupBy("key").agg(
-            F.sum(1 - F.col("role")).alias("n0"), F.sum("role").alias("n1")
-        )
-        both = cut_lineage(counts.filter("n0 > 0 AND n1 > 0"))
-        crowded = both.filter((F.col("n0") > most) & (F.col("n1") > most)).select("key")
+        many = (F.col("found") > most) & (F.col("seek") > most)
+        crowded = cut_lineage(live.filter(many).select("key").distinct())
         last = level == LEVELS - 1 or crowded.isEmpty()
-        pairing = both if last else both.join(F.broadcast(crowded), "key", "left_anti")
-        live = live.join(pairing.select("key"), "key", "left_semi")
-        ours = live.filter("role = 0").select("key", F.col("id").alias("x"))
-        theirs = live.filter("role = 1").select("key", F.col("id").alias("y"))
+        pairing = live if last else live.filter(~many)
+        pairing = pairing.select("key", "role", "id").join(sketches, "id")
+        ours = pairing.filter("role <> 1").select("key", F.col("id").alias("x"), F.col("sketch").alias("sx"))
+        theirs = pairing.filter("role <> 0").select("key", F.col("id").alias("y"), F.col("sketch").alias("sy"))
+        alike = _alike(F.col("sx"), F.col("sy"), tau)
         pairs = (
-            ours.join(theirs, "key")
-            .filter("x <> y")
+            ours.join(theirs, (ours["key"] == theirs["key"]) & (F.col("x") != F.col("y")) & alike)
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
         found = pairs if found is None else found.union(pairs)
         if last:
             break
-        rest = _pieces(rows, tau, least if level == 0 else 1, places=True)
-        rows = cut_lineage(
-            rest.join(_small(crowded), "key", "left_semi")
-            .select(F.col("key").alias("grp"), F.col("role").alias("roles"), "id", "text")
+        without = F.expr("concat(substring(text, 1, start), substring(text, start + size + 1))")
+        rest = cut_lineage(
+            pieces.join(_small(crowded), "key", "left_semi")
+            .select(F.col("key").alias("grp"), "role", "id", without.alias("text"))
             .distinct()
         )
-    return cut_lineage(found.distinct())
+        pieces = _pieces(rest, tau, 1)
+        live = _shared(pieces)
+    return cut_lineage(found.distinct()), texts
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix: doubling steps from large to small, each compared whole."""
-    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
+def _sketch(text: str) -> Column:
+    """Twice 64 bits: whether the characters, and the pairs of neighbours, of each of 64 classes
+    are odd in number.
 
-    def take(done, step):
-        same = (F.substring(a, done + 1, step) == F.substring(b, done + 1, step)) & (
-            done + step <= F.least(F.length(a), F.length(b))
-        )
-        return F.when(same, done + step).otherwise(done)
+    An edit changes the number of two characters and of four pairs at most.
+    """
+    return F.expr(
+        f"aggregate(filter(split({text}, ''), c -> c <> ''),"
+        " struct(0 AS last, 0L AS ones, 0L AS twos),"
+        " (s, c) -> struct(ascii(c) AS last,"
+        " s.ones ^ shiftleft(1L, ascii(c) % 64) AS ones,"
+        " s.twos ^ shiftleft(1L, (s.last * 31 + ascii(c)) % 64) AS twos))"
+    )
 
-    return F.aggregate(F.concat(F.array_repeat(F.lit(1 << 18), (F.length(a) / (1 << 18)).cast("int")), steps), F.lit(0), take)
 
+def _alike(a: Column, b: Column, tau: int) -> Column:
+    """Whether two sketches allow for tau edits."""
+    apart = {n: F.bit_count(a[n].bitwiseXOR(b[n])) for n in ("ones", "twos")}
+    return (apart["ones"] <= 2 * tau) & (apart["twos"] <= 4 * tau)
 
-def edit_distance(a: Column, b: Column, tau: int) -> Column:
-    """Edit distance of two texts if at most ``tau``, else tau + 1; neither may be missing.
+
+def _plausible(x: Column, y: Column, tau: int) -> Column:
+    """Whether enough of x is in y: of its parts, tau edits can spoil no more than tau."""
+    parts = 4 * tau
+    size = F.floor(F.length(x) / parts).cast("int")
+    kept = F.lit(0)
+    for i in range(parts):
+        part = F.substring(x, size * i + 1, size)
+        first = F.greatest(F.lit(1), size * i + 1 - tau)
+        around = F.substring(y, first, size * i + 1 + tau + size - first)
+        kept = kept + F.when(F.contains(around, part), 1).otherwise(0)
+    return kept >= parts - tau
+
+
+def code_points(text: Column) -> Column:
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.ascii(c))
+
+
+def _errors(a: Column, b: Column, tau: int) -> Column:
+    """The bit vectors r0 to r``tau`` after all of ``b``, arrays of code points.
 
     For every number of errors d there is one bit vector over the 2 * tau + 1 diagonals around
     the main one: bit k is set if the first j + k - tau characters of ``a`` can become the first j
@@ -189,19 +262,15 @@ def edit_distance(a: Column, b: Column, tau: int) -> Column:
     (added) or the one before (left out).
     """
     band, full = 2 * tau + 1, (1 << (2 * tau + 1)) - 1
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    start = F.struct(
-        F.lit(0).alias("j"),
-        chars.alias("p"),
-        *[F.lit(((1 << (d + 1)) - 1) << tau & full).alias(f"r{d}") for d in range(tau + 1)],
-    )
 
-    def step(state, char):
-        match = F.lit(0)
+    def matches(char, j):
+        mask = F.lit(0)
         for k in range(band):
-            here = F.get(state["p"], state["j"] + (k - tau)) == char
-            match = match + F.when(here, 1 << k).otherwise(0)
-        fields, before = [(state["j"] + 1).alias("j"), state["p"].alias("p")], None
+            mask = mask + F.when(F.get(a, j + (k - tau)) == char, 1 << k).otherwise(0)
+        return mask
+
+    def step(state, match):
+        fields, before = [], None
         for d in range(tau + 1):
             new = state[f"r{d}"].bitwiseAND(match)
             if d:
@@ -212,39 +281,56 @@ def edit_distance(a: Column, b: Column, tau: int) -> Column:
             before = new
         return F.struct(*fields)
 
-    end = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), start, step)
-    diagonal = F.greatest(F.lit(0), F.least(F.length(a) - F.length(b) + tau, F.lit(band - 1)))
+    start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << tau & full).alias(f"r{d}") for d in range(tau + 1)])
+    return F.aggregate(F.transform(b, matches), start, step)
+
+
+def edit_distance(a: Column, b: Column, tau: int) -> Column:
+    """Edit distance of two texts as arrays of code points if at most ``tau``, else tau + 1.
+
+    Both should be stored columns, not expressions: they are read once for every character.
+    """
+    end = _errors(a, b, tau)
+    diagonal = F.greatest(F.lit(0), F.least(F.size(a) - F.size(b) + tau, F.lit(2 * tau)))
     reached = F.lit(tau + 1)
     for d in range(tau, -1, -1):
         reached = F.when(F.getbit(end[f"r{d}"], diagonal) == 1, d).otherwise(reached)
-    return F.when(F.abs(F.length(a) - F.length(b)) > tau, tau + 1).otherwise(reached)
+    return F.when(F.abs(F.size(a) - F.size(b)) > tau, tau + 1).otherwise(reached)
+
+
+def _around_first_difference(x: Column, y: Column, tau: int) -> list[Column]:
+    """The stretches of x and y from the block on in which they first differ."""
+    blocks = 16
+    size = F.floor(F.greatest(F.length(x), F.length(y)) / blocks).cast("int") + 1
+    equal = F.lit(0)
+    for i in range(1, blocks + 1):
+        same = F.substring(x, F.lit(1), size * i) == F.substring(y, F.lit(1), size * i)
+        equal = equal + F.when(same, 1).otherwise(0)
+    start = size * equal + 1
+    return [F.substring(x, start, size + STRETCH + tau), F.substring(y, start, size + STRETCH)]
 
 
 def links(
     lines: DataFrame, tau: int = TAU, least: int = LEAST, most: int = MOST
 ) -> DataFrame:
     """Pairs of different lines at most ``tau`` edits apart: (a1, a2, b1, b2) by their hashes."""
-    pairs = _candidates(lines, tau, least, most)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = cut_lineage(
-        lines.select("h1", "h2", "line")
-        .join(_small(cut_lineage(ids)), "h1", "left_semi")
-        .groupBy("h1", "h2")
-        .agg(F.min("line").alias("line"))
-    )
+    pairs, texts = _candidates(lines, tau, least, most)
     left = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
     right = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.filter(F.abs(F.length("x") - F.length("y")) <= tau)
-    # The common beginning and end need no edits; only what lies between is verified.
-    both = both.withColumn("head", _common(F.col("x"), F.col("y")))
-    for c in ("x", "y"):
-        both = both.withColumn(c, F.expr(f"substring({c}, head + 1)"))
-    both = both.withColumn("tail", _common(F.reverse("x"), F.reverse("y")))
-    for c in ("x", "y"):
-        both = both.withColumn(c, F.expr(f"substring({c}, 1, length({c}) - tail)"))
-    near = both.filter(edit_distance(F.col("x"), F.col("y"), tau) <= tau)
-    return near.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    x, y = F.col("x"), F.col("y")
+    close = pairs.join(left, "a").join(right, "b").select(
+        F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "x", "y"
+    ).filter((F.abs(F.length(x) - F.length(y)) <= tau) & _plausible(x, y, tau))
+    # Most pairs run out of errors right after the first difference: look there before all else.
+    near_x, near_y = _around_first_difference(x, y, tau)
+    begun = cut_lineage(close.select("*", code_points(near_x).alias("p"), code_points(near_y).alias("q")))
+    alive = _errors(F.col("p"), F.col("q"), tau)[f"r{tau}"] != 0
+    whole = cut_lineage(
+        begun.filter(alive).select(
+            "a1", "a2", "b1", "b2", code_points(x).alias("x"), code_points(y).alias("y")
+        )
+    )
+    return whole.filter(edit_distance(x, y, tau) <= tau).select("a1", "a2", "b1", "b2")
 
 
 def verdicts(

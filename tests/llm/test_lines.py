@@ -103,9 +103,10 @@ def test_edit_distance(spark):
         b = "".join(r.choice("ab🙂é") for _ in range(r.randint(0, 12)))
         rows.append((a, b))
     rows += [("kitten sitting" * 30, "kitten sitting" * 29 + "kittensittin")]
-    table = spark.createDataFrame(rows, "a string, b string")
+    points = [lines.code_points(F.col(c)).alias(p) for c, p in (("a", "p"), ("b", "q"))]
+    table = spark.createDataFrame(rows, "a string, b string").select("a", "b", *points).cache()
     for tau in (1, 2, 3):
-        got = table.select("a", "b", lines.edit_distance(F.col("a"), F.col("b"), tau)).collect()
+        got = table.select("a", "b", lines.edit_distance(F.col("p"), F.col("q"), tau)).collect()
         assert all(d == min(tau + 1, distance(a, b)) for a, b, d in got)
 
 
