@@ -26,8 +26,8 @@ from panelrank.llm.common import map_texts, sha256
 # token and step, which for one word grows with the square of its length.
 LONGEST_ROWS = 256
 # Words per recursive query, and words a worker remembers between batches.
-WORDS_PER_QUERY = 50_000
-REMEMBERED = 400_000
+WORDS_PER_QUERY = 25_000
+REMEMBERED = 300_000
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
@@ -78,6 +78,7 @@ class Coder:
         self.ranks = read_ranks(path)
         self.words_of = regex.compile(pattern).findall
         self.bytes_of = {i: token for token, i in self.ranks.items()}
+        self.decimal = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.byte_ids = np.array(
             [self.ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32
         )
@@ -253,7 +254,9 @@ def round_trip(
         return {
             id_col: kept[id_col],
             "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [sha256(" ".join(map(str, x.tolist())).encode()) for x in ids],
+            "ids_sha256": [
+                sha256(" ".join(map(here.decimal.__getitem__, x.tolist())).encode()) for x in ids
+            ],
             "decoded_sha256": [sha256(x) for x in data],
             "lossless": [x == (text or "").encode() for x, text in zip(data, texts)],
         }

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from panelrank.operators.scale import cut_lineage
 
 # Characters of text that one step of a Python worker holds as strings at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 700_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
