@@ -248,36 +248,19 @@ def _with_component(rows: DataFrame, budget: int, id_col: str, most: int) -> Dat
     return rows.join(named, "fp").select(id_col, "fp", "component_id", "root", *others)
 
 
-def keep_one(
-    docs: DataFrame,
-    budget: int = 2,
-    width: int = 3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    most: int = LEAVES,
-) -> DataFrame:
-    """The rows of ``docs`` with one row of every group of near-duplicates: its smallest id.
-
-    Ties go to the smallest hash of the text; of wholly equal rows one stays. Only ids, hashes
-    and fingerprints are grouped; texts move once, to meet the list of rows that stay.
-    """
-    keyed = docs.select(
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _id, _text, _h1, _h2): the hashes stand for the text."""
+    return docs.select(
         F.struct("*").alias("_row"),
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
         F.xxhash64(F.col(text_col)).alias("_h1"),
         F.xxhash64(F.lit("second"), F.col(text_col)).alias("_h2"),
     )
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def work(texts, kept):
-        unsigned = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
-        return {**kept, "fp": unsigned.view(np.int64).tolist()}
 
-    rows = map_texts(
-        keyed, ["_id", "_h1", "_h2"], "_text", f"_id {id_type}, _h1 long, _h2 long, fp long", work
-    )
-    rows = _with_component(cut_lineage(rows), budget, "_id", most)
+def keep_first(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that stay: of (_id, _h1, _h2, root) the first of every root."""
     first = rows.groupBy("root").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h1", "_h2")).alias("_first")
     )
@@ -295,3 +278,30 @@ def keep_one(
     )
     kept = keyed.drop("_text").join(stay, same, "left_semi")
     return top_k_in_group(kept, ["_id", "_h1", "_h2"], ["_h1"], 1, "_place").select("_row.*")
+
+
+def keep_one(
+    docs: DataFrame,
+    budget: int = 2,
+    width: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most: int = LEAVES,
+) -> DataFrame:
+    """The rows of ``docs`` with one row of every group of near-duplicates: its smallest id.
+
+    Ties go to the smallest hash of the text; of wholly equal rows one stays. Only ids, hashes
+    and fingerprints are grouped; texts move once, to meet the list of rows that stay.
+    """
+    keyed = keyed_rows(docs, id_col, text_col)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def work(texts, kept):
+        unsigned = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
+        return {**kept, "fp": unsigned.view(np.int64).tolist()}
+
+    rows = map_texts(
+        keyed, ["_id", "_h1", "_h2"], "_text", f"_id {id_type}, _h1 long, _h2 long, fp long", work
+    )
+    rows = _with_component(cut_lineage(rows), budget, "_id", most)
+    return keep_first(keyed, rows)
