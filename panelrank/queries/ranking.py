@@ -670,3 +670,59 @@ def _(spark, sf):
     _, found = rules.frequent_itemsets(encoded, 0.02, 0.1)
     kept = rules.drop_redundant_rules(found.filter(F.size("antecedent") == 1), tree, 0.8, 0.1)
     return rounded(kept.withColumn("antecedent", F.col("antecedent")[0]))
+
+
+# Every itemset of a basket is counted, so all lengths are compared, not only pairs.
+_ALL_SETS = """tax AS (SELECT DISTINCT p_brand AS item, 'line' || (right(p_brand, 1)::INT % 5) AS ancestor FROM part),
+bought AS (SELECT DISTINCT l_orderkey, p_brand AS item FROM lineitem JOIN part ON p_partkey = l_partkey),
+enc AS (SELECT l_orderkey, item FROM bought UNION SELECT l_orderkey, ancestor FROM bought JOIN tax USING (item)),
+total AS (SELECT count(DISTINCT l_orderkey) AS n FROM enc),
+sub(l_orderkey, latest, items) AS (SELECT l_orderkey, item, [item] FROM enc
+  UNION ALL SELECT s.l_orderkey, e.item, list_append(s.items, e.item) FROM sub s JOIN enc e ON s.l_orderkey = e.l_orderkey AND e.item > s.latest),
+sets AS (SELECT items, count(*) AS c FROM sub GROUP BY items HAVING count(*) >= (SELECT ceil(0.02 * n) FROM total)),
+parts AS (SELECT items, c, unnest(items) AS consequent FROM sets WHERE len(items) > 1),
+sides AS (SELECT items, c, consequent, [x FOR x IN items IF x <> consequent] AS antecedent FROM parts),
+found AS (SELECT sides.items, antecedent, consequent, sides.c / a.c AS confidence, (sides.c / a.c) / (t.c / n) AS lift, sides.c / n AS support
+  FROM sides JOIN sets a ON a.items = antecedent JOIN sets t ON t.items = [consequent], total WHERE sides.c / a.c >= 0.1),
+own AS (SELECT DISTINCT items FROM (SELECT items, unnest(items) AS item FROM sets) JOIN tax USING (item) WHERE list_contains(items, ancestor)),
+ok AS (SELECT * FROM found WHERE items NOT IN (SELECT items FROM own))"""
+
+
+def mined(spark, sf):
+    tree = taxonomy(spark, sf)
+    encoded = rules.encode_taxonomy(baskets(spark, sf), tree, "l_orderkey", "p_brand")
+    return tree, *rules.frequent_itemsets(encoded, 0.02, 0.1)
+
+
+@query(
+    "frequent_itemsets",
+    f"""WITH RECURSIVE {_ALL_SETS} SELECT array_to_string(items, '|') AS items, c AS freq, {rd("c / n", "support")} FROM sets, total""",
+)
+def _(spark, sf):
+    _, itemsets, _ = mined(spark, sf)
+    return rounded(itemsets.withColumn("items", F.array_join("items", "|")))
+
+
+@query(
+    "association_rules",
+    f"""WITH RECURSIVE {_ALL_SETS} SELECT array_to_string(antecedent, '|') AS antecedent, consequent, {rds("confidence lift support")} FROM ok""",
+)
+def _(spark, sf):
+    tree, _, found = mined(spark, sf)
+    kept = rules.drop_own_ancestor(found, tree)
+    return rounded(kept.withColumn("antecedent", F.array_join("antecedent", "|")))
+
+
+@query(
+    "non_redundant_association_rules",
+    f"""WITH RECURSIVE {_ALL_SETS}, lifted AS (
+      SELECT list_sort(list_distinct(list_append([x FOR x IN antecedent IF x <> item], ancestor))) AS antecedent, consequent, support, confidence
+      FROM (SELECT *, unnest(antecedent) AS item FROM ok) JOIN tax USING (item))
+    SELECT array_to_string(antecedent, '|') AS antecedent, consequent, {rds("confidence lift support")} FROM ok g WHERE NOT EXISTS (
+      SELECT 1 FROM lifted s WHERE s.antecedent = g.antecedent AND s.consequent = g.consequent
+      AND abs(g.support - s.support) <= 0.8 * g.support AND abs(g.confidence - s.confidence) <= 0.1 * g.confidence)""",
+)
+def _(spark, sf):
+    tree, _, found = mined(spark, sf)
+    kept = rules.drop_redundant_rules(found, tree, 0.8, 0.1)
+    return rounded(kept.withColumn("antecedent", F.array_join("antecedent", "|")))
