@@ -1,6 +1,7 @@
 """Line dedup: a segment-partition edit join of all lines, in DataFrame functions only.
 
-A line takes part if it has at least ``least`` characters; shorter ones always stay. Two lines
+A line takes part in the edit join if it has at least ``least`` characters, in exact repeats if it
+has at least ``exact`` and is not blank (``least`` if not given); others always stay. Two lines
 are near if their edit distance is at most ``tau``. A line is cut into tau + 1 segments, so a
 near line must hold one of them unchanged, at a place that differs by no more than the edits
 left for either side (the length-aware windows below). Every line writes its own segments, and
@@ -56,11 +57,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _lines(keyed: DataFrame, least: int) -> DataFrame:
+def _lines(keyed: DataFrame, least: int, exact: int | None) -> DataFrame:
     """(_id, _k1, _k2, no, line, h1, h2) of all lines that take part."""
     return (
         keyed.select("_id", "_k1", "_k2", F.posexplode(F.split("_text", "\n", -1)).alias("no", "line"))
-        .filter(F.length("line") >= least)
+        .filter(
+            F.length("line") >= least
+            if exact is None
+            else (F.length("line") >= least) | (F.length("line") >= exact) & F.col("line").rlike("\\S")
+        )
         .withColumns(
             {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))}
         )
@@ -343,7 +348,7 @@ def verdicts(
     firsts = cut_lineage(
         lines.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("n"))
     )
-    near = cut_lineage(links(lines, tau, least, most))
+    near = cut_lineage(links(lines.filter(F.length("line") >= least), tau, least, most))
     both = near.union(near.select("b1", "b2", "a1", "a2"))
     other = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("theirs"))
     earliest = (
@@ -370,13 +375,14 @@ def judged(
     most: int = MOST,
     id_col: str = "doc_id",
     text_col: str = "text",
+    exact: int | None = None,
 ) -> DataFrame:
     """Every row as struct ``_row`` with its new text ``kept`` and counts.
 
     n_lines: all lines; n_removed: those that went; n_links: near lines of its lines, summed.
     """
     keyed = _keyed(docs, id_col, text_col)
-    lines = _lines(keyed, least)
+    lines = _lines(keyed, least, exact)
     found = verdicts(lines, tau, least, most)
     gone = F.col("stays").isNull() | (F.col("stays") != _position())
     per_doc = (

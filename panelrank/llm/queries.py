@@ -29,7 +29,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.judged(table(spark, sf_dir, "documents"))
+    found = lines.judged(table(spark, sf_dir, "documents"), exact=1)
     return found.select(
         F.col("_id").alias("doc_id"),
         "n_lines",
