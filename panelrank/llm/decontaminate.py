@@ -16,7 +16,8 @@ A document's fingerprints are joined against distinct item fingerprints, its win
 distinct item windows, so a passage that many documents and items share costs each document one
 row per place, never one per pair. Texts are keyed by their content (128 bits), so repeated ids
 and missing ids do not mix: rows with equal text get equal results. A missing text has no words;
-an empty benchmark hits nothing; items with missing text or id take no part.
+an empty benchmark hits nothing; items with missing text take no part, and items without an id
+hit like others but are in no list of ids.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def item_windows(
         return out
 
     id_type = benchmark.schema[id_col].dataType.simpleString()
-    usable = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = benchmark.filter(F.col(text_col).isNotNull())
     items = map_texts(
         usable,
         [id_col],
