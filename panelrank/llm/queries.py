@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, forest, lines, pii, quality, simhash, suffixes, toxicity, urls
+from panelrank.llm import bpe, decontaminate, forest, lines, manifest, pii, quality, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -214,6 +214,96 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    other = [F.col(f) + 1 if f == "n_chars" else F.col(f) for f in FIELDS]
+    found = manifest.manifest(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        "lang",
+        FIELDS,
+        keep={"tried": F.when(tampered, manifest.leaf(other))},
+    )
+    start = F.coalesce("tried", "leaf")
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        manifest.folded(start, F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _encoded(field: str) -> str:
+    text = f"({field})::VARCHAR"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_encoded(n_chars if f == "n_chars" else f) for f in FIELDS) + ")"
+
+
+# Bits of the remainder one after the other: a number to mix in per byte, then eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+  string_split(doc_id::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels: (level, g, pos, digest, n), with n nodes of the group on the level."""
+    return f"""{name}(level, g, pos, digest, n) AS (
+  SELECT 0, g, pos, digest, n FROM {leaves}
+  UNION ALL
+  SELECT level + 1, g, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM {name} WHERE n > 1 GROUP BY level, g, pos // 2, n
+)"""
+
+
+def _walk_sql(name: str, start: str, tree: str) -> str:
+    """Proof text and folded digest of every row of ``start``, one level at a time."""
+    return f"""{name}(level, r, g, pos, h, proof) AS (
+  SELECT 0, r, g, pos, h, proof FROM {start}
+  UNION ALL
+  SELECT w.level + 1, r, w.g, w.pos // 2,
+    sha256(CASE WHEN w.pos % 2 = 0 THEN h || coalesce(s.digest, '') ELSE s.digest || h END),
+    proof || coalesce(s.digest, '')
+  FROM {name} w JOIN {tree} o ON o.level = w.level AND o.g = w.g AND o.pos = w.pos AND o.n > 1
+  LEFT JOIN {tree} s ON s.level = w.level AND s.g = w.g AND s.pos = xor(w.pos, 1)
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g,
+    {_leaf_sql("n_chars")} AS digest,
+    CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS tried
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n FROM docs
+), {_tree_sql("tree", "leaves")}, subroots AS (
+  SELECT g AS name, '' AS g, digest, row_number() OVER (ORDER BY encode(g)) - 1 AS pos,
+    count(*) OVER () AS n FROM tree WHERE n = 1
+), {_tree_sql("crown", "subroots")}, lower_start AS (
+  SELECT r, g, pos, coalesce(tried, digest) AS h, '' AS proof FROM leaves
+), {_walk_sql("lower_walk", "lower_start", "tree")}, upper_start AS (
+  SELECT r, subroots.g, subroots.pos, h, proof
+  FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS last FROM lower_walk) w
+  JOIN subroots ON subroots.name = w.g WHERE last = 1
+), {_walk_sql("upper_walk", "upper_start", "crown")}
+SELECT doc_id, leaves.digest AS leaf, subroots.digest AS subroot, root, sha256(proof) AS proof_sha256,
+  h AS folded_root, h = root AS verified
+FROM leaves JOIN subroots ON subroots.name = leaves.g
+JOIN (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS last FROM upper_walk) w
+  ON w.r = leaves.r AND last = 1
+CROSS JOIN (SELECT digest AS root FROM crown WHERE n = 1)
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -225,5 +315,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
+    "op12_merkle_manifest": op12_merkle_manifest,
+}
+SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL}
