@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, forest, lines, manifest, pii, quality, simhash, suffixes, toxicity, urls
+from panelrank.llm import bpe, decontaminate, forest, lines, manifest, pii, quality, search, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -214,6 +214,41 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(
+        table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id"
+    )
+
+
+_TERMS = _WORDS.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")
+OP11_SQL = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), size AS (
+  SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS l FROM doc WHERE len(w) > 0
+), item AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), post AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM item) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM post, size GROUP BY term
+), impact AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // l)))) AS i
+  FROM post JOIN weight USING (term), size
+), scored AS (
+  SELECT item_id, r, doc_id, sum(i)::BIGINT AS score FROM impact JOIN item USING (term)
+  GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -315,10 +350,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
+    "op11_ranked_search": op11_ranked_search,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_url_filter": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }
