@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrank.llm import bpe, decontaminate, forest, lines, manifest, pii, quality, search, simhash, suffixes, toxicity, urls
+from panelrank.llm import bpe, decontaminate, fingerprints, forest, lines, manifest, pii, quality, search, simhash, suffixes, toxicity, urls
 from panelrank.llm.common import fold_column, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -339,6 +339,10 @@ CROSS JOIN (SELECT digest AS root FROM crown WHERE n = 1)
 """
 
 
+def op13_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -352,6 +356,7 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_ranked_search": op11_ranked_search,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_document_sketch": op13_document_sketch,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
