@@ -8,8 +8,9 @@ each, and a cell holds the number of its digests, their exclusive or, and that o
 The cells of two versions subtract: what both hold cancels. A cell with one digest left (number 1 or
 -1, check code right) names it; it is taken out of its cells in the other subtables, which may leave
 further such cells. Subtables take turns, and a digest has one cell in each, so none is taken out
-twice. Where cells remain, both versions are sketched again with ``GROWTH`` times the cells; that
-ends, since any two versions fit a sketch that is large enough for them.
+twice. Where cells remain, both versions are sketched again with more cells: ``ROOM`` for each digest
+that the two hold together, since no more can differ, and ``GROWTH`` times as many after that. Any two
+versions fit a sketch that is large enough for them, so this ends.
 
 Likeness of two fingerprints is the share of their digests that they have in common: with a and b
 digests and d that differ, (a + b - d) / (a + b + d), and 1 for two texts without paragraphs.
@@ -36,8 +37,9 @@ from panelrank.operators.scale import cut_lineage
 
 # Characters above which a line is cut after its sentences.
 LONG = 500
-# Cells of a fingerprint, a multiple of three, and how many times more a retry takes.
-CELLS, GROWTH = 24, 4
+# Cells of a fingerprint, a multiple of three; cells of a retry per digest, and how many times more
+# each further one takes.
+CELLS, ROOM, GROWTH = 24, 2, 4
 # Turns of all three subtables before a pair counts as failed.
 CYCLES = 4
 # Equal rows that one step gives out at the end.
@@ -66,16 +68,17 @@ def members(versions: DataFrame, *keys: str) -> DataFrame:
     return numbered.select(*keys, F.xxhash64("h", "i").alias("digest"))
 
 
-def _cell(digest: Column, subtable: int, cells: int) -> Column:
-    third = cells // 3
-    return (F.pmod(F.xxhash64(digest, F.lit(cells), F.lit(subtable)), F.lit(third)) + subtable * third).cast("int")
+def _cell(digest: Column, subtable: int, cells: Column) -> Column:
+    """The digest's cell in one of three subtables; other sizes place it anew."""
+    third = F.floor(cells / 3)
+    return (F.pmod(F.xxhash64(digest, cells, F.lit(subtable)), third) + subtable * third).cast("int")
 
 
 def _check(digest: Column) -> Column:
     return F.hash(digest)
 
 
-def sketch(digests: DataFrame, cells: int, *keys: str) -> DataFrame:
+def sketch(digests: DataFrame, cells: Column, *keys: str) -> DataFrame:
     """Cells that are not empty: (keys..., cell, n, k, c)."""
     digest = F.col("digest")
     places = F.explode(F.array(*[_cell(digest, j, cells) for j in range(3)]))
@@ -109,14 +112,14 @@ def written(cells: DataFrame, *keys: str) -> DataFrame:
 def subtract(cells: DataFrame) -> DataFrame:
     """Cells of the first versions less those of the second, by pair; ``side`` is 1 or -1."""
     return (
-        cells.groupBy("pos", "pair", "cell")
+        cells.groupBy("pos", "pair", "cells", "cell")
         .agg(F.sum(F.col("n") * F.col("side")).alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
         .filter("n <> 0 OR k <> 0 OR c <> 0")
     )
 
 
-def peel(cells: DataFrame, size: int) -> DataFrame:
-    """Recovered digests and what remains: (pos, pair, cell, digest, n, k, c).
+def peel(cells: DataFrame) -> DataFrame:
+    """Recovered digests and what remains: (pos, pair, cells, cell, digest, n, k, c).
 
     A recovered digest has its own row with cell -1 and n 1 (only in the first version) or -1.
     """
@@ -127,21 +130,20 @@ def peel(cells: DataFrame, size: int) -> DataFrame:
     def entry(cell: Column, digest: Column, n: Column, k: Column, c: Column) -> Column:
         return F.struct(cell, digest, n, k, c).cast(kind)
 
-    n, k, c, cell = (F.col(x) for x in ("n", "k", "c", "cell"))
+    n, k, c, cell, size = (F.col(x) for x in ("n", "k", "c", "cell", "cells"))
     zero = F.lit(0)
-    third = size // 3
     for turn in range(3 * CYCLES):
         j = turn % 3
-        own = (cell >= j * third) & (cell < (j + 1) * third)
+        own = F.floor(cell * 3 / size) == j
         pure = own & (F.abs(n) == 1) & (c == _check(k))
         gone = [entry(_cell(k, i, size), long, -n, k, c) for i in range(3) if i != j]
         named = entry(F.lit(-1), k, n, zero, zero)
         left = F.array(entry(cell, F.col("digest"), n, k, c))
         entries = F.when(pure, F.array(named, *gone)).otherwise(left)
         rows = (
-            rows.select("pos", "pair", F.explode(entries).alias("e"))
-            .select("pos", "pair", "e.*")
-            .groupBy("pos", "pair", "cell", "digest")
+            rows.select("pos", "pair", "cells", F.explode(entries).alias("e"))
+            .select("pos", "pair", "cells", "e.*")
+            .groupBy("pos", "pair", "cells", "cell", "digest")
             .agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
             .filter("cell = -1 OR n <> 0 OR k <> 0 OR c <> 0")
         )
@@ -153,11 +155,11 @@ def differences(sides: DataFrame) -> DataFrame:
 
     ``sides``: (pos, pair, side, hashes), a written table. Pairs that do not differ have no row.
     """
-    size, found = CELLS, None
+    sides, found = sides.withColumn("cells", F.lit(CELLS)), None
     while True:
+        keys = ("pos", "pair", "cells", "side")
         placed = sides.repartition("pos")
-        keys = ("pos", "pair", "side")
-        rest = peel(subtract(sketch(members(placed, *keys), size, *keys)), size)
+        rest = peel(subtract(sketch(members(placed, *keys), F.col("cells"), *keys)))
         named = F.col("cell") == -1
         now = cut_lineage(
             rest.groupBy("pos", "pair").agg(
@@ -171,8 +173,11 @@ def differences(sides: DataFrame) -> DataFrame:
         failed = now.filter("left > 0").select("pos", "pair")
         if failed.isEmpty():
             return found
-        sides = cut_lineage(sides.join(failed, ["pos", "pair"], "left_semi"))
-        size *= GROWTH
+        again = sides.join(failed, ["pos", "pair"], "left_semi")
+        both = again.groupBy("pos", "pair").agg(F.sum(F.size("hashes")).alias("both"))
+        enough = 3 * F.ceil(F.col("both") * ROOM / 3)
+        cells = F.greatest(F.col("cells") * GROWTH, enough).cast("int")
+        sides = cut_lineage(again.join(both, ["pos", "pair"]).withColumn("cells", cells).drop("both"))
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -281,7 +286,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "pos", "pair", (F.size("gone") + F.size("come")).alias("d")
     )
     keys = ("pos", "kind")
-    prints = written(sketch(members(found.repartition("pos"), *keys), CELLS, *keys), *keys)
+    prints = written(sketch(members(found.repartition("pos"), *keys), F.lit(CELLS), *keys), *keys)
 
     def pick(by: str, value: str, of: int, name: str) -> Column:
         return F.max(F.when(F.col(by) == of, F.col(value))).alias(name)

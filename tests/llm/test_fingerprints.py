@@ -105,9 +105,10 @@ def test_peeling_recovers_the_differing_digests(spark, monkeypatch, cells):
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = fingerprints.versions(rows := fingerprints._identified(docs, "doc_id", "text"), fingerprints.ring(rows))
-    for df in (found, fingerprints.peel(fingerprints.subtract(
-        fingerprints.sketch(fingerprints.members(fingerprints.pairs(found), "pos", "pair", "side"), 24, "pos", "pair", "side")
-    ), 24)):
+    keys = ("pos", "pair", "cells", "side")
+    pairs = fingerprints.pairs(found).withColumn("cells", F.lit(24))
+    cells = fingerprints.sketch(fingerprints.members(pairs, *keys), F.col("cells"), *keys)
+    for df in (found, fingerprints.peel(fingerprints.subtract(cells))):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
