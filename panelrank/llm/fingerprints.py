@@ -29,7 +29,7 @@ next one; a table without rows gives none; further columns do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrank.operators import scale
@@ -40,6 +40,8 @@ LONG = 500
 # Cells of a fingerprint, a multiple of three; cells of a retry per digest, and how many times more
 # each further one takes.
 CELLS, ROOM, GROWTH = 24, 2, 4
+# Cells that one task sketches and peels.
+CELLS_PER_TASK = 400_000
 # Turns of all three subtables before a pair counts as failed.
 CYCLES = 4
 # Equal rows that one step gives out at the end.
@@ -153,31 +155,34 @@ def peel(cells: DataFrame) -> DataFrame:
 def differences(sides: DataFrame) -> DataFrame:
     """(pos, pair, gone, come): digests only in the first, only in the second version of a pair.
 
-    ``sides``: (pos, pair, side, hashes), a written table. Pairs that do not differ have no row.
+    ``sides``: (pos, pair, side, hashes), a written table. Pairs that do not differ have no row. Both
+    versions of a pair are sketched, subtracted and peeled where the pair's hash puts them.
     """
-    sides, found = sides.withColumn("cells", F.lit(CELLS)), None
+    pair, keys = ["pos", "pair"], ("pos", "pair", "cells", "side")
+    digests = sides.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    least = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, 3 * digests // CELLS_PER_TASK + 1)
+    spread = sides.repartition(parts, *pair)
+    placed, found = spread.withColumn("cells", F.lit(CELLS)), None
     while True:
-        keys = ("pos", "pair", "cells", "side")
-        placed = sides.repartition("pos")
         rest = peel(subtract(sketch(members(placed, *keys), F.col("cells"), *keys)))
         named = F.col("cell") == -1
         now = cut_lineage(
-            rest.groupBy("pos", "pair").agg(
+            rest.groupBy(*pair, "cells").agg(
                 F.collect_list(F.when(named & (F.col("n") > 0), F.col("digest"))).alias("gone"),
                 F.collect_list(F.when(named & (F.col("n") < 0), F.col("digest"))).alias("come"),
                 F.count(F.when(~named, 1)).alias("left"),
             )
         )
-        done = now.filter("left = 0").drop("left")
+        done = now.filter("left = 0").select(*pair, "gone", "come")
         found = done if found is None else found.unionByName(done)
-        failed = now.filter("left > 0").select("pos", "pair")
+        failed = now.filter("left > 0").select(*pair, F.col("cells").alias("tried"))
         if failed.isEmpty():
             return found
-        again = sides.join(failed, ["pos", "pair"], "left_semi")
-        both = again.groupBy("pos", "pair").agg(F.sum(F.size("hashes")).alias("both"))
-        enough = 3 * F.ceil(F.col("both") * ROOM / 3)
-        cells = F.greatest(F.col("cells") * GROWTH, enough).cast("int")
-        sides = cut_lineage(again.join(both, ["pos", "pair"]).withColumn("cells", cells).drop("both"))
+        both = F.sum(F.size("hashes")).over(Window.partitionBy(*pair))  # two rows
+        cells = F.greatest(F.col("tried") * GROWTH, 3 * F.ceil(both * ROOM / 3)).cast("int")
+        again = spread.join(failed.repartition(parts, *pair), pair)
+        placed = again.select(*pair, "side", "hashes", cells.alias("cells"))
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -277,14 +282,8 @@ def _likeness(a: Column, b: Column, d: Column) -> Column:
     return F.when(a + b + d == 0, 1.0).otherwise((a + b - d) / (a + b + d))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_chars, the edited text's digest, both fingerprints, and both likenesses."""
-    rows = _identified(docs, key, text)
-    order = ring(rows)
-    found = versions(rows, order)
-    differ = differences(pairs(found)).select(
-        "pos", "pair", (F.size("gone") + F.size("come")).alias("d")
-    )
+def _assembled(order: DataFrame, found: DataFrame, differ: DataFrame) -> DataFrame:
+    """One row per distinct document of ``order`` with the sketches and numbers of its versions."""
     keys = ("pos", "kind")
     prints = written(sketch(members(found.repartition("pos"), *keys), F.lit(CELLS), *keys), *keys)
 
@@ -297,33 +296,63 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     shas = found.groupBy("pos").agg(*[pick("kind", "sha256", i, f"sha{i}") for i in (1, 2)])
     apart = differ.groupBy("pos").agg(*[pick("pair", "d", i, f"d{i}") for i in (1, 2, 3)])
-    total = F.col("total")
+    joined = order.select("pos", "key", "n", "copies", "next_size")
+    for more in (sizes, shas, apart):
+        joined = joined.join(more, "pos", "left")
+    numbers = ("size0", "size1", "size2", "d1", "d2", "d3", "next_size")
+    return joined.fillna(0, numbers).fillna("", ("print0", "print1", "print2"))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_chars, the edited text's digest, both fingerprints, and both likenesses."""
+    rows = _identified(docs, key, text)
+    order = ring(rows)
+    found = versions(rows, order)
+    differ = differences(pairs(found)).select(
+        "pos", "pair", (F.size("gone") + F.size("come")).alias("d")
+    )
     following = found.filter("kind = 0").select(
-        F.pmod(F.col("pos") - 1, total).alias("pos"), F.size("hashes").alias("size3")
+        F.pmod(F.col("pos") - 1, F.col("total")).alias("pos"), F.size("hashes").alias("next_size")
     )
-    joined = order.select("pos", "key", "n", "copies")
-    for more in (sizes, shas, apart, following):
-        joined = joined.join(more, "pos", "left")
-    numbers = ("size0", "size1", "size2", "size3", "d1", "d2", "d3")
-    joined = joined.fillna(0, numbers).fillna("", ("print0", "print1", "print2"))
-    a = F.col("size0")
+    order = cut_lineage(order.select("pos", "key", "n", "copies").join(following, "pos", "left"))
+    a, one = F.col("size0"), F.lit(1).cast("long")
 
-    def result(i: int, near_next: Column) -> list[Column]:
-        return [
-            F.col("key").alias(key),
-            F.col("n").alias("n_chars"),
+    def result(i: int, near_next: Column, times: Column) -> Column:
+        return F.struct(
+            times.alias("times"),
             F.col(f"sha{i}").alias("edited_sha256"),
-            F.col("print0").alias("fingerprint"),
             F.col(f"print{i}").alias("edited_fingerprint"),
             _likeness(a, F.col(f"size{i}"), F.col(f"d{i}")).alias("near_edited"),
             near_next.alias("near_next"),
-        ]
-
-    joined = cut_lineage(joined)
-    last = joined.select(*result(1, _likeness(a, F.col("size3"), F.col("d3"))))
-    # Rows alike in id and text: all but the last, slice by slice, so that many of them spread.
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 2, F.lit(SLICE).cast("long")))
-    alike = joined.filter("copies > 1").withColumn("start", starts).repartition("pos", "start")
-    rest = F.least(F.lit(SLICE).cast("long"), F.col("copies") - 1 - F.col("start"))
-    alike = alike.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), rest)))
-    return last.unionByName(alike.select(*result(2, F.lit(1.0))))
+        )
+
+    # Rows alike in id and text: all but the last have themselves as the next document.
+    last = result(1, _likeness(a, F.col("next_size"), F.col("d3")), one)
+    alike = result(2, F.lit(1.0), F.col("copies") - 1)
+
+    def given_out(joined: DataFrame, slices: bool) -> DataFrame:
+        each = joined.select("key", "n", "print0", F.explode(F.array(last, alike)).alias("r")).filter("r.times > 0")
+        if slices:
+            starts = F.explode(F.sequence(0 * one, F.col("r.times") - 1, F.lit(SLICE).cast("long")))
+            each = each.withColumn("start", starts).repartition("key", "start")
+            rest = F.least(F.lit(SLICE).cast("long"), F.col("r.times") - F.col("start"))
+        else:
+            rest = F.col("r.times")
+        return each.withColumn("_", F.explode(F.sequence(one, rest))).select(
+            F.col("key").alias(key),
+            F.col("n").alias("n_chars"),
+            "r.edited_sha256",
+            F.col("print0").alias("fingerprint"),
+            "r.edited_fingerprint",
+            "r.near_edited",
+            "r.near_next",
+        )
+
+    # Documents with very many equal rows are few; theirs are spread slice by slice.
+    many = order.filter(F.col("copies") > SLICE)
+    few = _assembled(order.filter(F.col("copies") <= SLICE), found, differ)
+    out = given_out(few, False)
+    if many.isEmpty():
+        return out
+    own = [table.join(many.select("pos"), "pos", "left_semi") for table in (found, differ)]
+    return out.unionByName(given_out(cut_lineage(_assembled(many, *own)), True))
