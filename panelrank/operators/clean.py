@@ -231,20 +231,26 @@ def iqr_filter(
     return null_out_of_range(df, bounds)
 
 
-def iqr_filter_long(df: DataFrame, mult: float = 3.0) -> DataFrame:
-    """Quartile fences per variable on long rows, the lower one not below 0."""
+def iqr_filter_long(df: DataFrame, mult: float = 3.0, upper_only: bool = False) -> DataFrame:
+    """Quartile fences per variable on long rows, the lower one not below 0.
+
+    ``upper_only`` leaves small values alone. A missing variable is a variable of its own.
+    """
+    named = F.coalesce(F.concat(F.lit("="), F.col("variable").cast("string")), F.lit(""))
     fences = scale.quantiles(df, ["value"], [0.25, 0.75], by=["variable"])
     q1, q3 = F.col("q")[0], F.col("q")[1]
     fences = fences.select(
-        "variable",
+        named.alias("_variable"),
         F.greatest(F.lit(0.0), q1 - mult * (q3 - q1)).alias("_lo"),
         (q3 + mult * (q3 - q1)).alias("_hi"),
     )
-    inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
+    inside = F.col("value") <= F.col("_hi")
+    if not upper_only:
+        inside = inside & (F.col("value") >= F.col("_lo"))
     return (
-        scale.join_lookup(df, fences, ["variable"])
+        scale.join_lookup(df.withColumn("_variable", named), fences, ["_variable"])
         .withColumn("value", F.when(inside, F.col("value")))
-        .drop("_lo", "_hi")
+        .drop("_variable", "_lo", "_hi")
     )
 
 

@@ -226,11 +226,9 @@ def class_cuts(train: DataFrame, target: str, percents: Sequence[float] = TERCIL
     return cuts
 
 
-def label_encode(df: DataFrame, col: str, out: str, most: int = 1000) -> DataFrame:
-    """Alphabetical index of a class label; for label sets of up to ``most`` values."""
-    found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{col} has more than {most} labels; use StringIndexer")
-    names = sorted(r[col] for r in found)
-    pairs = [F.lit(v) for i, name in enumerate(names) for v in (name, i)]
-    return df.withColumn(out, F.create_map(*pairs)[F.col(col)])
+def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Alphabetical index of a class label, for any number of labels; a missing one has none."""
+    names = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    one = F.lit(1).cast("long")
+    placed = scale.running_total(names, [], [col], one, out, limit=0)
+    return scale.join_lookup(df, placed.withColumn(out, F.col(out).cast("int")), [col])

@@ -11,7 +11,7 @@ from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +44,11 @@ def standardise(df: DataFrame, scales: Mapping[str, tuple[float, float]]) -> Dat
 
 
 def class_weights(df: DataFrame, label: str, out: str = WEIGHT) -> DataFrame:
-    """n / (k * n_c) per row; the class table has one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    total, k = sum(r["n"] for r in counts), len(counts)
-    pairs = [F.lit(v) for r in counts for v in (r[label], total / (k * r["n"]))]
-    return df.withColumn(out, F.create_map(*pairs)[F.col(label)])
+    """n / (k * n_c) per row, for any number of classes; a row without a class has no weight."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total, k = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    share = F.lit(float(total or 0)) / (F.lit(k) * F.col("_n"))
+    return scale.join_lookup(df, counts.select(label, share.alias(out)), [label])
 
 
 def assemble(df: DataFrame, cols: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -202,6 +202,63 @@ def stacking(
     return final.fit(vector.transform(meta_train)).transform(vector.transform(meta_test))
 
 
+def _class_columns(predicted: DataFrame, name: str, classes: int, key: Sequence[str]) -> DataFrame:
+    share = vector_to_array(F.col("probability"))
+    return predicted.select(*key, *[share[i].alias(f"{name}_{i}") for i in range(classes)])
+
+
+def out_of_fold_classes(
+    train: DataFrame, base: Estimator, fold: str, folds: int, name: str, classes: int, key: Sequence[str]
+) -> DataFrame:
+    """Class probabilities of every training row by a model that did not see its fold."""
+    parts = None
+    for f in range(folds):
+        model = base.fit(train.filter(F.col(fold) != f))
+        part = _class_columns(model.transform(train.filter(F.col(fold) == f)), name, classes, key)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def stacking_classes(
+    train: DataFrame,
+    test: DataFrame,
+    bases: Mapping[str, Estimator],
+    final: Estimator,
+    fold: str,
+    folds: int,
+    key: Sequence[str],
+    classes: int = 3,
+) -> DataFrame:
+    """Base classifiers' out-of-fold probabilities feed a final classifier; returns test predictions.
+
+    Probabilities are written once; the final model passes over them repeatedly.
+    """
+    key = list(key)
+    meta_train, meta_test = train.select(*key, LABEL), test.select(*key, LABEL)
+    for name, base in bases.items():
+        own = out_of_fold_classes(train, base, fold, folds, name, classes, key)
+        meta_train = scale.join_groups(meta_train, own, key)
+        seen = _class_columns(base.fit(train).transform(test), name, classes, key)
+        meta_test = scale.join_groups(meta_test, seen, key)
+    columns = [f"{name}_{i}" for name in bases for i in range(classes)]
+    vector = VectorAssembler(inputCols=columns, outputCol=FEATURES)
+    fitted = final.fit(vector.transform(scale.cut_lineage(meta_train)))
+    return fitted.transform(vector.transform(meta_test))
+
+
+def refit_on_top(
+    train: DataFrame, test: DataFrame, cols: Sequence[str], estimator_: Estimator, n: int = 20
+) -> tuple[list[str], DataFrame]:
+    """The ``n`` columns that matter most to a model, and test predictions of one fitted to them alone."""
+    names = top_by_importance(estimator_.fit(train), cols, n)
+    sliced = VectorSlicer(inputCol=FEATURES, outputCol="_top", indices=[list(cols).index(c) for c in names])
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return sliced.transform(df).drop(FEATURES).withColumnRenamed("_top", FEATURES)
+
+    return names, estimator_.fit(narrow(train)).transform(narrow(test))
+
+
 # --- selection ----------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -194,22 +194,79 @@ def mean_std_by(df: DataFrame, key: Column, name: str, value: str) -> DataFrame:
     )
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r of every column pair over complete pairs, all in one aggregate."""
-    pairs = list(combinations(cols, 2))
-    row = df.agg(
-        *[
-            correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+class Products:
+    """Sums over the rows where both columns i and j are present, each matrix [i, j].
+
+    ``n`` rows, ``s`` of x_i, ``q`` of x_i squared, ``p`` of x_i x_j; values less ``middle``.
+    """
+
+    def __init__(self, k: int, middle: np.ndarray):
+        self.middle = middle
+        self.n, self.s, self.q, self.p = (np.zeros((k, k)) for _ in range(4))
+
+    def correlations(self) -> np.ndarray:
+        """Pearson r of every pair over its complete rows; not a number if a side is constant."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = self.s / self.n
+            spread = np.sqrt(np.maximum(self.q / self.n - mean**2, 0.0))
+            # What rounding leaves of a constant column, relative to its squares.
+            flat = spread <= 1e-7 * np.sqrt(np.maximum(self.q / self.n, 1e-300))
+            r = (self.p / self.n - mean * mean.T) / (spread * spread.T)
+        return np.where(flat | flat.T | (self.n < 1), np.nan, np.clip(r, -1.0, 1.0))
+
+
+def products(df: DataFrame, cols: Sequence[str], centred: bool = True) -> Products:
+    """Products of all column pairs with holes, in one pass (two with the means).
+
+    Every task multiplies values, squares and presence marks of its batches as matrices and sends
+    one row per pair; equal pairs combine before and after the shuffle, so the driver gets
+    (columns x columns) numbers.
+    """
+    k = len(cols)
+    names = [f"c{i}" for i in range(k)]
+    rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)])
+    middle = np.zeros(k)
+    if centred:
+        middle = np.array([x or 0.0 for x in rows.agg(*[F.avg(n).alias(n) for n in names]).first()])
+    upper = np.triu_indices(k)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(float) - middle
+            there = ~np.isnan(x)
+            mark, x = there.astype(float), np.where(there, x, 0.0)
+            n += mark.T @ mark
+            s += x.T @ mark
+            q += (x * x).T @ mark
+            p += x.T @ x
+        i, j = upper
+        yield pd.DataFrame(
+            {"i": i, "j": j, "n": n[i, j], "a": s[i, j], "b": s[j, i], "c": q[i, j], "d": q[j, i], "p": p[i, j]}
+        )
+
+    cells = rows.mapInPandas(
+        multiply, "i int, j int, n double, a double, b double, c double, d double, p double"
     )
-    return row.select(F.explode(cells).alias("p")).select("p.*")
+    out = Products(k, middle)
+    for r in cells.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in "nabcdp"]).collect():
+        i, j = r["i"], r["j"]
+        out.n[i, j] = out.n[j, i] = r["n"]
+        out.s[i, j], out.s[j, i] = r["a"], r["b"]
+        out.q[i, j], out.q[j, i] = r["c"], r["d"]
+        out.p[i, j] = out.p[j, i] = r["p"]
+    return out
+
+
+def _pair_rows(df: DataFrame, cols: Sequence[str], r: np.ndarray, name: str) -> DataFrame:
+    pairs = combinations(range(len(cols)), 2)
+    rows = [(cols[i], cols[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in pairs]
+    return df.sparkSession.createDataFrame(rows, f"a string, b string, {name} double")
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson r of every column pair over complete pairs; missing if a side is constant."""
+    return _pair_rows(df, cols, products(df, cols).correlations(), "r")
 
 
 def correlation_with(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
@@ -222,17 +279,31 @@ def top_correlated_pairs(df: DataFrame, cols: Sequence[str], k: int = 5) -> Data
     return correlation_pairs(df, cols).orderBy(F.desc(F.abs("r")), "a", "b").limit(k)
 
 
-def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rank correlation of score columns without missing values."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each column replaced by its ranks among its present values; ties share their mean rank.
+
+    All columns are ranked together from one long table of distinct values with their counts, in
+    range slices, so no column is sorted in one task; a missing value stays missing.
+    """
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = df.select(
+        F.monotonically_increasing_id().alias("_row"),
+        *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)],
+    )
+    long = scale.cut_lineage(unpivot(rows, names, ["_row"]).filter(F.col("value").isNotNull()))
+    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
+    below = scale.running_total(counted, ["column"], ["value"], F.col("copies"), "below", limit=0)
+    ranks = below.select("column", "value", (F.col("below") + (F.col("copies") + 1) / 2).alias("rank"))
+    ranked = scale.join_lookup(long, ranks, ["column", "value"], "inner")
+    return ranked.groupBy("_row").agg(
+        *[F.max(F.when(F.col("column") == n, F.col("rank"))).alias(c) for c, n in zip(cols, names)]
+    )
 
-    rows = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df.select(*cols))
-    matrix = Correlation.corr(rows, "v", "spearman").first()[0].toArray()
-    table = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j
-    ]
-    return df.sparkSession.createDataFrame(table, "a string, b string, rho double")
+
+def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rank correlation of column pairs, over the rows where both are present."""
+    found = products(average_ranks(df, cols).select(*cols), cols)
+    return _pair_rows(df, cols, found.correlations(), "rho")
 
 
 def ols_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -279,11 +350,16 @@ def same_timestamps_check(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     )
 
 
-def missing_slots(df: DataFrame, variable: str, unit: str = "DAY") -> DataFrame:
-    """Per id: slots between first and last observation, slots seen, slots missing."""
+def _seen_slots(df: DataFrame, variable: str, unit: str) -> tuple[DataFrame, int]:
     seconds = {"DAY": 86400, "HOUR": 3600}[unit]
     slot = F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / seconds)
     seen = df.filter(F.col("variable") == variable).select("id", slot.alias("_slot")).distinct()
+    return seen, seconds
+
+
+def missing_slots(df: DataFrame, variable: str, unit: str = "DAY") -> DataFrame:
+    """Per id: slots between first and last observation, slots seen, slots missing."""
+    seen, _ = _seen_slots(df, variable, unit)
     return (
         seen.groupBy("id")
         .agg(
@@ -294,6 +370,18 @@ def missing_slots(df: DataFrame, variable: str, unit: str = "DAY") -> DataFrame:
     )
 
 
+def missing_slot_list(df: DataFrame, variable: str, unit: str = "DAY") -> DataFrame:
+    """The missing slots themselves: (id, slot), the start of each as a timestamp.
+
+    A slot that is followed by a gap emits the gap, so nothing is joined with a calendar.
+    """
+    seen, seconds = _seen_slots(df, variable, unit)
+    following = F.lead("_slot").over(Window.partitionBy("id").orderBy("_slot"))
+    gaps = seen.withColumn("_next", following).filter(F.col("_next") - F.col("_slot") > 1)
+    slots = gaps.select("id", F.explode(F.sequence(F.col("_slot") + 1, F.col("_next") - 1)).alias("s"))
+    return slots.select("id", F.timestamp_seconds(F.col("s") * seconds).cast("timestamp_ntz").alias("slot"))
+
+
 def conversion_rates(df: DataFrame, clicked: Column, booked: Column, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -441,14 +529,7 @@ def ljung_box(acf: DataFrame) -> DataFrame:
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Uncentred variance inflation from the columns' Gram matrix over complete rows."""
-    rows = df.select(*[F.col(c).cast("double") for c in cols]).na.drop()
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = rows.agg(
-        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]
-    ).first()
-    gram = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"]
+    gram = products(df.select(*cols).na.drop(), cols, centred=False).p
     scales = np.sqrt(np.diag(gram))
     inverse = np.linalg.inv(gram / np.outer(scales, scales))
     table = [(c, float(inverse[i, i])) for i, c in enumerate(cols)]

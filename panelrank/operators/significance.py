@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.functions.stats import binomial_half_two_sided, chi2_1_tail, normal_two_sided
-from panelrank.operators import metrics, scale
-from panelrank.operators.splits import bootstrap_weights
+from panelrank.operators import metrics, scale, splits
+
+# Sums per replicate and pair of classes: rows, rows with values, errors, truths, truths squared.
+SUMS = ("n", "m", "sse", "sy", "syy")
 
 
 def mcnemar(df: DataFrame, truth: str, a: str, b: str) -> DataFrame:
@@ -74,19 +78,45 @@ def bootstrap_reports(
     replicates: int = 200,
     seed: int = 42,
 ) -> DataFrame:
-    """Macro F1, accuracy and R2 of every resampled copy of the prediction table."""
-    rows = df.select(*key, truth, pred, truth_class, pred_class)
-    drawn = bootstrap_weights(rows, key, replicates, seed)
-    classes = metrics.classification_report(
-        metrics.confusion_counts(
-            drawn, truth_class, pred_class, by=["replicate"], weight=F.col("weight")
-        ),
-        by=["replicate"],
-    )
-    values = metrics.regression_report(
-        drawn, F.col(truth), F.col(pred), by=["replicate"], weight=F.col("weight")
+    """Macro F1, accuracy and R2 of every resampled copy of the prediction table.
+
+    All replicates are summed in one pass: a batch's weights, one column per replicate, are added up
+    per pair of classes, so a task sends one row per replicate and pair, however many rows it read.
+    """
+    keys = splits.replicate_keys(replicates, seed)
+    rows = df.select(
+        splits.row_numbers(key, seed).alias("number"),
+        F.col(truth).cast("double").alias("y"),
+        F.col(pred).cast("double").alias("p"),
+        F.col(truth_class).alias("truth"),
+        F.col(pred_class).alias("pred"),
     )
-    return classes.drop("n").join(values.select("replicate", "r2"), "replicate")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("truth", "pred")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            w = splits.drawn_weights(batch["number"].to_numpy(), keys).astype(float)
+            known = (batch["y"].notna() & batch["p"].notna()).to_numpy(float)
+            y, p = batch["y"].fillna(0.0).to_numpy(), batch["p"].fillna(0.0).to_numpy()
+            sums = np.column_stack([np.ones(len(batch)), known, known * (y - p) ** 2, known * y, known * y * y])
+            for pair, places in batch.groupby(["truth", "pred"], dropna=False).indices.items():
+                part = w[places].T @ sums[places]
+                held[pair] = held[pair] + part if pair in held else part
+        for (t, p), part in held.items():
+            t, p = (None if pd.isna(v) else v for v in (t, p))
+            yield pd.DataFrame({"replicate": range(replicates), "truth": t, "pred": p}).assign(
+                **{name: part[:, i] for i, name in enumerate(SUMS)}
+            )
+
+    schema = f"replicate int, truth {kinds['truth']}, pred {kinds['pred']}, " + ", ".join(f"{n} double" for n in SUMS)
+    sums = rows.mapInPandas(run, schema).groupBy("replicate", "truth", "pred")
+    counts = sums.agg(*[F.sum(n).alias(n) for n in SUMS]).filter("n > 0")
+    classes = metrics.classification_report(counts, by=["replicate"])
+    whole = counts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in SUMS[1:]])
+    total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("m")
+    r2 = F.when(total > 1e-12 * F.col("syy"), 1 - F.col("sse") / total)
+    return classes.drop("n").join(whole.select("replicate", r2.alias("r2")), "replicate")
 
 
 def bootstrap_ci(reports: DataFrame, cols: Sequence[str] = ("f1_macro", "accuracy", "r2")) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from panelrank.operators import scale
 
 
 def hash_key(*cols: str, seed: int = 42) -> Column:
-    return F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
+    """Hash of the columns and the seed; a missing value is a value of its own."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]
+    return F.md5(F.concat_ws("-", *parts, F.lit(str(seed))))
 
 
 def hash_code(*cols: str, seed: int = 42) -> Column:
@@ -113,6 +117,52 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFr
     return df.withColumn("fold", hash_bucket(k, group, seed=seed))
 
 
+def _dealt(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """Folds for groups by size: (rows, [end of fold 0, end of fold 1, ...]) per size.
+
+    Sizes are (rows, groups). The largest group goes first, each to the fold with the fewest rows so
+    far (the first of several). All groups of one size are dealt at once: they fill the folds like
+    water, so how many each takes follows from the level that they reach together.
+    """
+    load, out = [0] * k, []
+    for rows, groups in sorted(sizes, reverse=True):
+
+        def taken(level: int) -> list[int]:
+            """Groups that each fold takes while it holds fewer rows than ``level``."""
+            return [max(0, -(-(level - x) // rows)) for x in load]
+
+        low, high = min(load), min(load) + rows * groups + 1
+        while low + 1 < high:
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(taken(middle)) <= groups else (low, middle)
+        counts = taken(low)
+        rest = groups - sum(counts)
+        for f in range(k):
+            if rest and load[f] + counts[f] * rows == low:
+                counts[f], rest = counts[f] + 1, rest - 1
+        load = [x + c * rows for x, c in zip(load, counts)]
+        out.append((rows, list(accumulate(counts))))
+    return out
+
+
+def balanced_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Folds of whole groups with row counts as even as they get: column ``fold``.
+
+    The largest group goes first into the lightest fold. The driver sees how many groups there are
+    of each size, never a group; groups of one size are told apart by their place in hash order, and
+    fold 0 takes the first of them, fold 1 the next ones.
+    """
+    sizes = scale.cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
+    counted = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("m")).collect()
+    plan = _dealt([(r["_n"], r["m"]) for r in counted], k)
+    dealt = df.sparkSession.createDataFrame(plan, "_n long, _ends array<long>")
+    order = [hash_code(group, seed=seed), group]
+    placed = scale.running_total(sizes, ["_n"], order, F.lit(1).cast("long"), "_place", limit=0)
+    fold = F.size(F.filter("_ends", lambda end: F.col("_place") >= end)).cast("int")
+    folds = scale.join_lookup(placed, dealt, ["_n"], "inner").select(group, fold.alias("fold"))
+    return scale.join_groups(df, folds, [group], "left")
+
+
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """Every group is its own test fold."""
     return df.withColumn("fold", F.col(group))
@@ -181,31 +231,40 @@ def time_series_folds(df: DataFrame, k: int = 5) -> DataFrame:
     return df.withColumn("block", block)
 
 
-# Cumulative Poisson(1) probabilities: P(X <= 0), P(X <= 1), ...
-POISSON_1 = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-)
+# A prime: pairs (a, b) below it give hashes a * x + b that are pairwise independent.
+PRIME = 2**31 - 1
 
 
-def poisson_weight(code: Column) -> Column:
-    """Poisson(1) draw from a hash code."""
+def replicate_keys(replicates: int, seed: int = 42) -> list[tuple[int, int]]:
+    """The pair (a, b) of every replicate."""
+
+    def draw(name: str, r: int) -> int:
+        return int(hashlib.md5(f"{name}-{r}-{seed}".encode()).hexdigest()[:8], 16)
+
+    return [(1 + draw("a", r) % (PRIME - 1), draw("b", r) % PRIME) for r in range(replicates)]
 
-    def draw(c: Column) -> Column:
-        out = F.lit(0)
-        for p in POISSON_1:
-            out = out + (c >= hex_cut(p)).cast("int")
-        return out
 
-    return evaluated_once(code, draw)
+def poisson_cuts() -> np.ndarray:
+    """Where the weight goes up by one: the Poisson(1) distribution, in units of the prime."""
+    cuts, below, term, k = [], 0.0, math.exp(-1), 0
+    while (below := below + term) * PRIME < PRIME - 1 and term > 1e-18:
+        cuts.append(below * PRIME)
+        k += 1
+        term /= k
+    return np.array(cuts)
+
+
+def row_numbers(key: Sequence[str], seed: int = 42):
+    """A number below the prime for every row, from the hash of its key."""
+    code = hash_code(*key, seed=seed)
+    return F.pmod(F.conv(code, 16, 10).cast("long"), F.lit(PRIME).cast("long"))
+
+
+def drawn_weights(numbers: np.ndarray, keys: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Poisson(1) weight of every row in every replicate."""
+    a, b = np.array(keys, np.int64).T
+    drawn = (numbers.astype(np.int64)[:, None] * a[None, :] + b[None, :]) % PRIME
+    return np.searchsorted(poisson_cuts(), drawn, side="right")
 
 
 def bootstrap_weights(
@@ -213,13 +272,23 @@ def bootstrap_weights(
 ) -> DataFrame:
     """One row per (row, replicate) with its resampling weight; weight 0 is out of bag.
 
-    Weights are Poisson(1) draws by hash, so no row needs to know the table's size and a
-    lost task redraws the same weights. Metrics follow from one weighted aggregate.
+    Weights are Poisson(1) draws by hash, so no row needs to know the table's size and a lost task
+    redraws the same weights. Where sums per replicate are wanted, ``drawn_weights`` gives the same
+    weights to a batch of rows without repeating them.
     """
-    spread = df.withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    pairs = F.array(
+        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in replicate_keys(replicates, seed)]
     )
-    return spread.withColumn("weight", poisson_weight(hash_code(*key, "replicate", seed=seed)))
+    spread = df.select("*", F.posexplode(pairs).alias("replicate", "_pair"))
+    drawn = (row_numbers(key, seed) * F.col("_pair.a") + F.col("_pair.b")) % PRIME
+
+    def weight(value: Column) -> Column:
+        out = F.lit(0)
+        for cut in poisson_cuts():
+            out = out + (value >= float(cut)).cast("int")
+        return out
+
+    return spread.withColumn("weight", evaluated_once(drawn, weight)).drop("_pair")
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:

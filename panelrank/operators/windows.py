@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -74,6 +73,23 @@ def rolling_features(
     )
 
 
+def closed_trend(panel: DataFrame, cols: Sequence[str], size: int = 7) -> DataFrame:
+    """Slope over the values of the previous ``size`` rows with the missing ones closed up.
+
+    A value's place is the number of values of its id so far, so neighbours in the frame are one
+    apart however many missing rows lie between. Fewer than two values have no slope. Rows with
+    fewer than ``size`` predecessors drop out, as in ``rolling_features``.
+    """
+    so_far = by_id().rowsBetween(Window.unboundedPreceding, 0)
+    places = {f"_{c}_place": F.count(c).over(so_far) for c in cols}
+    slopes = [
+        F.regr_slope(F.col(c), F.when(F.col(c).isNotNull(), F.col(f"_{c}_place"))).over(before(size)).alias(f"{c}_trend")
+        for c in cols
+    ]
+    rows = with_row(panel.withColumns(places)).select("id", "date", ROW, *slopes)
+    return rows.filter(F.col(ROW) > size).drop(ROW)
+
+
 def lag_columns(col: str, n: int) -> dict[str, Column]:
     return {f"{col}_lag{i}": F.lag(col, i).over(by_id()) for i in range(1, n + 1)}
 
@@ -94,44 +110,50 @@ def _decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def _decayed_mean(history: Column, decay: float) -> Column:
-    """Fold an oldest-first array of structs ``(v)`` into its decayed mean."""
-
-    def add(acc: Column, item: Column) -> Column:
-        present = F.when(item["v"].isNull(), 0.0).otherwise(1.0)
-        return F.struct(
-            (acc["s"] * decay + F.coalesce(item["v"], F.lit(0.0))).alias("s"),
-            (acc["w"] * decay + present).alias("w"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    return F.aggregate(history, zero, add, lambda acc: F.try_divide(acc["s"], acc["w"]))
+def _doublings(decay: float) -> list[float]:
+    """decay ** 1, 2, 4, ... as long as they are above zero in double precision."""
+    out = [decay]
+    while out[-1] * out[-1] > 0.0:
+        out.append(out[-1] * out[-1])
+    return out
 
 
 def ema(panel: DataFrame, cols: Sequence[str], spans: Sequence[int] = (3, 7)) -> DataFrame:
     """Exponential mean of all earlier rows, weights by row distance, missing rows skipped.
 
-    The mean as of a row with a value is a fold over the frame in which weights stay above
-    double precision; rows further back cannot change it. On a missing row the mean is that
-    of the last row with a value, since both sums shrink alike.
+    Two decayed sums per column, of values and of weights, over the whole history: a scan that
+    doubles its reach. After step k a row holds the sums of the last 2^k rows; the next step adds
+    those of the row 2^k back, decayed by as many rows. It ends where the decay is zero in double
+    precision, so nothing is cut off: an early value counts however large it is. All steps share
+    one exchange and one sort, and no row carries more than its sums. On a missing row the mean is
+    that of the last row with a value, since both sums shrink alike.
     """
-    staged, names = {}, {}
+    sums = {
+        f"_{c}_{span}_{side}": (_decay(span), start)
+        for c in cols
+        for span in spans
+        for side, start in (
+            ("s", F.coalesce(F.col(c).cast("double"), F.lit(0.0))),
+            ("w", F.col(c).isNotNull().cast("double")),
+        )
+    }
+    rows = panel.withColumns({name: start for name, (_, start) in sums.items()})
+    steps = {name: _doublings(decay) for name, (decay, _) in sums.items()}
+    for k in range(max(map(len, steps.values()), default=0)):
+        rows = rows.withColumns(
+            {
+                name: F.col(name) + F.lit(factors[k]) * F.lag(name, 2**k, 0.0).over(by_id())
+                for name, factors in steps.items()
+                if k < len(factors)
+            }
+        )
+    earlier = by_id().rowsBetween(Window.unboundedPreceding, -1)
+    means = {}
     for c in cols:
         for span in spans:
-            decay = _decay(span)
-            reach = math.ceil(60 * math.log(2) / -math.log(decay))
-            frame = by_id().rowsBetween(-reach, 0)
-            history = F.collect_list(F.struct(F.col(c).cast("double").alias("v"))).over(frame)
-            staged[f"_{c}_{span}"] = F.when(F.col(c).isNotNull(), _decayed_mean(history, decay))
-            names[f"{c}_ema{span}"] = f"_{c}_{span}"
-    earlier = by_id().rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        panel.withColumns(staged)
-        .withColumns(
-            {n: F.last(F.col(s), ignorenulls=True).over(earlier) for n, s in names.items()}
-        )
-        .drop(*staged)
-    )
+            mean = F.when(F.col(c).isNotNull(), F.col(f"_{c}_{span}_s") / F.col(f"_{c}_{span}_w"))
+            means[f"{c}_ema{span}"] = F.last(mean, ignorenulls=True).over(earlier)
+    return rows.withColumns(means).drop(*sums)
 
 
 def _weighted(col: str, rows: int, span: int) -> tuple[list[Column], list[float]]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, metrics, ml, scale, splits
+from panelrank.operators import groups, metrics, ml, ranker, scale, splits
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,26 @@ def feature_columns(rows: DataFrame, c: RankingColumns) -> list[str]:
     return [name for name in made if name in rows.columns]
 
 
+def _scaled_features(
+    df: DataFrame, c: RankingColumns, pages: DataFrame | None
+) -> tuple[DataFrame, list[str]]:
+    """Features in units of their spread on the training part, written once."""
+    rows = scale.cut_lineage(ranking_features(df, c, pages))
+    cols = feature_columns(rows, c)
+    ready = rows.fillna(0.0, cols)
+    train = ready.filter(F.col("part") == "train")
+    ready = ready.withColumns({n: F.col(n).cast("double") for n in cols})
+    return ml.standardise(ready, ml.scaling(train, cols)), cols
+
+
+def _quality(scored: DataFrame, c: RankingColumns) -> DataFrame:
+    return (
+        metrics.ndcg_per_group(scored, ["part", c.group], c.rel, "score", c.tie)
+        .groupBy("part")
+        .agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias("ndcg"))
+    )
+
+
 def fit_and_rank(
     df: DataFrame, c: RankingColumns, pages: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -67,17 +87,25 @@ def fit_and_rank(
 
     The feature table is written once; fitting and scoring both read it.
     """
-    rows = scale.cut_lineage(ranking_features(df, c, pages))
-    cols = feature_columns(rows, c)
-    ready = rows.fillna(0.0, cols)
-    train = ready.filter(F.col("part") == "train")
-    scaled = ml.standardise(ready.withColumns({n: F.col(n).cast("double") for n in cols}), ml.scaling(train, cols))
+    scaled, cols = _scaled_features(df, c, pages)
     weights = ml.fit_ranker(scaled.filter(F.col("part") == "train"), [c.group], cols, c.rel)
     scored = scaled.withColumn("score", ml.linear_score(weights))
-    quality = (
-        metrics.ndcg_per_group(scored, ["part", c.group], c.rel, "score", c.tie)
-        .groupBy("part")
-        .agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias("ndcg"))
-    )
+    quality = _quality(scored, c)
     submission = metrics.rank_submission(scored, c.group, c.item, "score", c.tie)
     return submission, quality
+
+
+def fit_pairs_and_rank(
+    df: DataFrame, c: RankingColumns, pages: DataFrame | None = None, steps: int = 8
+) -> DataFrame:
+    """NDCG per part of the ranker learnt from contrasts, and of the one refined on pairs from there."""
+    scaled, cols = _scaled_features(df, c, pages)
+    scaled = scale.cut_lineage(scaled)
+    train, val = (scaled.filter(F.col("part") == p) for p in ("train", "val"))
+    start = ml.fit_ranker(train, [c.group], cols, c.rel)
+    refined, _ = ranker.fit(train, val, [c.group], cols, c.rel, c.tie, start=start, steps=steps)
+    out = [
+        _quality(scaled.withColumn("score", ml.linear_score(w)), c).select("part", "groups", F.col("ndcg").alias(name))
+        for name, w in (("contrasts", start), ("pairs", refined))
+    ]
+    return out[0].join(out[1].drop("groups"), "part")

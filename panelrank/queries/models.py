@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, ml, neighbours, scale, splits
+from panelrank.operators import groups, information, ml, neighbours, ranker, scale, splits
 from panelrank.plans.cleaning import CleanOptions, clean_daily
 from panelrank.plans.experiment import Experiment, run_experiment
 from panelrank.plans.instances import FeatureOptions, build_instances, feature_names
-from panelrank.plans.ranking import RankingColumns, fit_and_rank, ranking_features
+from panelrank.plans.ranking import (
+    RankingColumns,
+    fit_and_rank,
+    fit_pairs_and_rank,
+    ranking_features,
+)
 from panelrank.queries.panel import (
     BOUNDS,
     BY,
@@ -288,6 +293,42 @@ def _(spark, sf):
     return rounded(ml.mutual_information(interactions(spark, sf), _MI_COLS, "score_b"))
 
 
+def _within_sql(v: str) -> str:
+    inside = f"CASE WHEN a.e > 0 THEN b.{v} > a.{v} - a.e AND b.{v} < a.{v} + a.e ELSE b.{v} = a.{v} END"
+    return f"greatest(count(*) FILTER ({inside}) - 1, 0) + 1 AS n{v}"
+
+
+def _digamma_sql(n: str) -> str:
+    return f"(-0.5772156649015329::DOUBLE + coalesce(list_sum([1.0::DOUBLE / j FOR j IN range(1, {n})]), 0))"
+
+
+_INFO = {"size": "p_size", "key": "p_partkey"}
+
+
+@query(
+    "neighbour_information",
+    "WITH base AS (SELECT row_number() OVER () AS r, * FROM part), "
+    + "pts AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS col, r, round({c}::DOUBLE / (SELECT stddev_pop({c}) FROM part), 9) AS x,
+        round(p_retailprice::DOUBLE / (SELECT stddev_pop(p_retailprice::DOUBLE) FROM part), 9) AS y FROM base"""
+        for name, c in _INFO.items()
+    )
+    + f"""), far AS (SELECT a.col, a.r, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d,
+      row_number() OVER (PARTITION BY a.col, a.r ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS place
+      FROM pts a JOIN pts b ON a.col = b.col AND a.r <> b.r),
+    e AS (SELECT pts.*, d AS e FROM pts JOIN far USING (col, r) WHERE place = 3),
+    c AS (SELECT a.col, a.r, {_within_sql("x")}, {_within_sql("y")} FROM e a JOIN e b USING (col) GROUP BY a.col, a.r),
+    t AS (SELECT col, count(*) AS n, avg({_digamma_sql("nx")} + {_digamma_sql("ny")}) AS t FROM c GROUP BY col)
+    SELECT col AS "column", n, {rd(f"greatest({_digamma_sql('3')} + {_digamma_sql('n')} - t, 0)", "mutual_information")} FROM t""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "part").select(
+        *[F.col(c).alias(name) for name, c in _INFO.items()], "p_retailprice"
+    )
+    return rounded(information.neighbour_information(rows, list(_INFO), "p_retailprice"))
+
+
 @query(
     "contrast_rows",
     f"""WITH {INTER}, g AS (SELECT srch, avg(price) FILTER (rel = 0) AS mp, avg(score2) FILTER (rel = 0) AS m2 FROM inter GROUP BY srch),
@@ -328,19 +369,19 @@ def _near_sql(left, right, extra="TRUE", k=5, name="near", cols="xz"):
 
 @query(
     "nearest_rows",
-    f"""WITH {_SPACE}, {_near_sql("a.part = 'holdout'", "b.part = 'train'")} SELECT p_partkey, place, neighbour, {rd("distance")} FROM near""",
+    f"""WITH {_SPACE}, {_near_sql("a.part <> 'train'", "b.part = 'train'")} SELECT p_partkey, place, neighbour, {rd("distance")} FROM near""",
 )
 def _(spark, sf):
     rows = parts_in_space(spark, sf)
     found = neighbours.nearest_rows(
-        rows.filter("part = 'holdout'"), rows.filter("part = 'train'"), ["x", "z"], 5, "p_partkey", "p_partkey"
+        rows.filter("part <> 'train'"), rows.filter("part = 'train'"), ["x", "z"], 5, "p_partkey", "p_partkey"
     )
     return rounded(found)
 
 
 @query(
     "knn_classify",
-    f"""WITH {_SPACE}, {_near_sql("a.part = 'holdout'", "b.part = 'train'")},
+    f"""WITH {_SPACE}, {_near_sql("a.part <> 'train'", "b.part = 'train'")},
     w AS (SELECT *, CASE WHEN min(distance) OVER (PARTITION BY p_partkey) = 0 THEN (distance = 0)::INT ELSE 1 / nullif(distance, 0) END AS w FROM near),
     v AS (SELECT p_partkey, y, round(sum(w), 9) AS votes FROM w GROUP BY p_partkey, y)
     SELECT p_partkey, prediction FROM (SELECT p_partkey, y AS prediction, row_number() OVER (PARTITION BY p_partkey ORDER BY votes DESC, y) AS rn FROM v) WHERE rn = 1""",
@@ -348,13 +389,13 @@ def _(spark, sf):
 def _(spark, sf):
     rows = parts_in_space(spark, sf)
     return neighbours.knn_predict(
-        rows.filter("part = 'holdout'"), rows.filter("part = 'train'"), ["x", "z"], "p_type", "p_partkey", "classification"
+        rows.filter("part <> 'train'"), rows.filter("part = 'train'"), ["x", "z"], "p_type", "p_partkey", "classification"
     )
 
 
 @query(
     "knn_regress",
-    f"""WITH {_SPACE}, {_near_sql("a.part = 'holdout'", "b.part = 'train'", cols="z")},
+    f"""WITH {_SPACE}, {_near_sql("a.part <> 'train'", "b.part = 'train'", cols="z")},
     w AS (SELECT near.*, s.x AS t, CASE WHEN min(distance) OVER (PARTITION BY near.p_partkey) = 0 THEN (distance = 0)::INT ELSE 1 / nullif(distance, 0) END AS w
       FROM near JOIN space s ON s.p_partkey = neighbour)
     SELECT p_partkey, {rd("sum(w * t) / sum(w)", "prediction")} FROM w GROUP BY p_partkey""",
@@ -363,7 +404,7 @@ def _(spark, sf):
     rows = parts_in_space(spark, sf)
     return rounded(
         neighbours.knn_predict(
-            rows.filter("part = 'holdout'"), rows.filter("part = 'train'"), ["z"], "x", "p_partkey", "regression"
+            rows.filter("part <> 'train'"), rows.filter("part = 'train'"), ["z"], "x", "p_partkey", "regression"
         )
     )
 
@@ -493,6 +534,34 @@ def _(spark, sf):
     return rounded(ml.score(fitted, "regression"), 4)
 
 
+@query("grid_search_squared_error")
+def _(spark, sf):
+    train, _, _ = _assembled(spark, sf)
+    tree = ml.estimator("tree", "regression", seed=7)
+    model = ml.grid_search(train, tree, {"maxDepth": [2, 4]}, "fold", 3)
+    return rounded(ml.grid_scores(model, spark), 4)
+
+
+@query("stacking_classes")
+def _(spark, sf):
+    train, test, _ = _assembled(spark, sf, "class")
+    bases = {
+        "tree": ml.estimator("tree", "classification", maxDepth=4, seed=7),
+        "naive_bayes": ml.estimator("naive_bayes", "classification"),
+    }
+    final = ml.estimator("logistic", "classification", maxIter=20)
+    fitted = ml.stacking_classes(train, test, bases, final, "fold", 3, ["id", "date"])
+    return rounded(ml.score(fitted, "classification"), 4)
+
+
+@query("refit_on_top_columns")
+def _(spark, sf):
+    train, test, cols = _assembled(spark, sf)
+    model = ml.estimator("random_forest", "regression", numTrees=10, maxDepth=4, seed=7)
+    _, fitted = ml.refit_on_top(train, test, cols, model, 5)
+    return rounded(ml.score(fitted, "regression"), 4)
+
+
 @query("top_by_importance")
 def _(spark, sf):
     train, test, cols = _assembled(spark, sf)
@@ -540,7 +609,7 @@ def _(spark, sf):
     return rounded(
         ml.window_sweep(
             build,
-            (1, 3, 7, 14),
+            range(1, 15),
             lambda _: [f"{c}_mean" for c in COLS],
             "target",
             F.col("date") < F.lit("2024-01-25").cast("date"),
@@ -558,10 +627,8 @@ def _(spark, sf):
 @query("cluster_models")
 def _(spark, sf):
     train, test, _ = _assembled(spark, sf)
-    clusters = ml.cluster_ids(interpolated(spark, sf), ["mood", "strain"], 2)
-    fitted = ml.cluster_models(
-        train, test, clusters, lambda: ml.estimator("ridge", "regression"), 2
-    )
+    clusters = ml.cluster_ids(interpolated(spark, sf), COLS)
+    fitted = ml.cluster_models(train, test, clusters, lambda: ml.estimator("ridge", "regression"))
     return rounded(ml.score(fitted, "regression"), 4)
 
 
@@ -729,3 +796,34 @@ def _(spark, sf):
 def _(spark, sf):
     rows, pages = _pages(spark, sf)
     return fit_and_rank(rows, RANKING, pages)[0]
+
+
+_SCORE = "0.0 + price * -0.0001::DOUBLE + score2 * 2.0::DOUBLE"
+
+
+@query(
+    "pair_gradient",
+    f"""WITH {INTER}, s AS (SELECT srch, line, item, supp, rel, price::DOUBLE AS price, score2::DOUBLE AS score2, {_SCORE} AS s FROM inter),
+    p AS (SELECT *, row_number() OVER (PARTITION BY srch ORDER BY s DESC, line, item, supp) AS place,
+      row_number() OVER (PARTITION BY srch ORDER BY rel DESC) AS best FROM s),
+    ideal AS (SELECT srch, sum(rel / log2(best + 1)) AS ideal FROM p WHERE best <= 5 GROUP BY srch HAVING max(rel) > 0),
+    pairs AS (SELECT (a.rel - b.rel) * abs(CASE WHEN a.place <= 5 THEN 1 / log2(a.place + 1) ELSE 0 END - 1 / log2(b.place + 1)) / ideal AS delta,
+      a.s - b.s AS gap, a.price - b.price AS d0, a.score2 - b.score2 AS d1 FROM p a JOIN p b USING (srch) JOIN ideal USING (srch) WHERE b.place <= 5 AND a.rel > b.rel),
+    t AS (SELECT *, 1 / (1 + exp(gap)) AS wrong FROM pairs),
+    g AS (SELECT count(*) AS pairs, sum(delta * (greatest(-gap, 0) + ln(1 + exp(-abs(gap))))) AS loss, sum(-delta * wrong * d0) AS s0, sum(-delta * wrong * d1) AS s1,
+      sum(delta * wrong * (1 - wrong) * d0 * d0) AS b0, sum(delta * wrong * (1 - wrong) * d1 * d1) AS b1 FROM t)
+    SELECT pairs, {rd("loss", digits=3)}, 'price' AS "column", {rd("s0", "slope", 3)}, {rd("b0 / 1e6", "bend", 3)} FROM g
+    UNION ALL SELECT pairs, {rd("loss", digits=3)}, 'score2', {rd("s1", "slope", 3)}, {rd("b1 / 1e6", "bend", 3)} FROM g""",
+)
+def _(spark, sf):
+    cols = ["price", "score2"]
+    found = ranker.pairs(
+        interactions(spark, sf), GROUP, cols, "rel", TIE, {"price": -0.0001, "score2": 2.0}
+    )
+    return rounded(ranker.gradient(found, cols).withColumn("bend", F.col("bend") / 1e6), 3)
+
+
+@query("pair_ranker_quality")
+def _(spark, sf):
+    rows, pages = _pages(spark, sf)
+    return rounded(fit_pairs_and_rank(rows, RANKING, pages), 3)

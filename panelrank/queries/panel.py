@@ -525,6 +525,16 @@ def _(spark, sf):
     return rounded(clean.iqr_filter_long(rows, 1.5))
 
 
+@query(
+    "iqr_filter_long_upper",
+    f"""WITH {M}, q AS (SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM m GROUP BY variable)
+    SELECT id, time, variable, {rd("CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END", "value")} FROM m JOIN q USING (variable)""",
+)
+def _(spark, sf):
+    rows = measurements(spark, sf).drop("date")
+    return rounded(clean.iqr_filter_long(rows, 1.5, upper_only=True))
+
+
 @query(
     "zscore_filter",
     f"""WITH {PANEL}, s AS (SELECT avg(strain) AS m1, stddev_samp(strain) AS s1, avg(spend) AS m2, stddev_samp(spend) AS s2 FROM panel)
@@ -716,6 +726,11 @@ def _(spark, sf):
     return rounded(impute.impute_regression(cleaned(spark, sf), COLS), 4)
 
 
+@query("impute_evidence")
+def _(spark, sf):
+    return rounded(impute.impute_evidence(cleaned(spark, sf), COLS, longest=3), 4)
+
+
 # --- row windows --------------------------------------------------------------------------
 
 
@@ -789,6 +804,30 @@ def _(spark, sf):
     )
 
 
+@query(
+    "closed_trend",
+    f"""WITH {CLEAN}, p AS (SELECT *, row_number() OVER {BY} AS rn, {", ".join(f"CASE WHEN {c} IS NOT NULL THEN count({c}) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS p_{c}" for c in ("mood", "spend"))} FROM clean),
+    t AS (SELECT id, date, rn, {", ".join(f"regr_slope({c}, p_{c}) OVER {F7} AS {c}_trend" for c in ("mood", "spend"))} FROM p)
+    SELECT id, date, {rds("mood_trend spend_trend")} FROM t WHERE rn > 7""",
+)
+def _(spark, sf):
+    return rounded(windows.closed_trend(cleaned(spark, sf), ["mood", "spend"]))
+
+
+@query(
+    "ema_early_value",
+    f"""WITH {CLEAN}, r AS (SELECT id, date, row_number() OVER {BY} AS rn,
+      CASE WHEN row_number() OVER {BY} = 1 THEN 1e30::DOUBLE ELSE mood END AS mood FROM clean)
+    SELECT a.id, a.date, {rd("log10(sum(power(0.75, a.rn - 1 - b.rn) * b.mood) / sum(CASE WHEN b.mood IS NOT NULL THEN power(0.75, a.rn - 1 - b.rn) END))", "mood_ema7")} FROM r a LEFT JOIN r b ON a.id = b.id AND b.rn < a.rn GROUP BY a.id, a.date""",
+)
+def _(spark, sf):
+    rows = cleaned(spark, sf).select("id", "date", "mood")
+    first = F.row_number().over(windows.by_id()) == 1
+    rows = rows.withColumn("mood", F.when(first, 1e30).otherwise(F.col("mood")))
+    found = windows.ema(rows, ["mood"], (7,)).drop("mood")
+    return rounded(found.withColumn("mood_ema7", F.log10("mood_ema7")))
+
+
 @query(
     "rolling_skew_kurt",
     f"WITH {FILLED}, "

@@ -210,6 +210,26 @@ def _(spark, sf):
     return rounded(profile.spearman_matrix(rows, ["score_a", "score_b", "score_c"]))
 
 
+_HOLES = ["mood", "strain", "spend"]
+
+
+@query(
+    "correlation_pairs_with_holes",
+    f"WITH {CLEAN} SELECT a, b, {rd('r')} FROM ({_pairs_sql('clean', COLS)})",
+)
+def _(spark, sf):
+    return rounded(profile.correlation_pairs(cleaned(spark, sf), COLS))
+
+
+@query(
+    "spearman_with_holes",
+    f"""WITH {CLEAN}, r AS (SELECT {", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in _HOLES)} FROM clean)
+    SELECT a, b, {rd("r", "rho")} FROM ({_pairs_sql("r", _HOLES)})""",
+)
+def _(spark, sf):
+    return rounded(profile.spearman_matrix(cleaned(spark, sf), _HOLES))
+
+
 @query(
     "ols_line",
     f"""SELECT count(*) AS n, {rd("regr_slope(l_extendedprice, l_quantity)", "slope", 4)}, {rd("regr_intercept(l_extendedprice, l_quantity)", "intercept", 4)},
@@ -268,6 +288,23 @@ def _(spark, sf):
     return profile.missing_slots(measurements(spark, sf), "view", "HOUR")
 
 
+def _slot_list_sql(unit: str) -> str:
+    return f"""WITH {M}, seen AS (SELECT DISTINCT id, date_trunc('{unit}', time) AS slot FROM m WHERE variable = 'view'),
+    ends AS (SELECT id, min(slot) AS a, max(slot) AS b FROM seen GROUP BY id),
+    every AS (SELECT id, unnest(generate_series(a, b, INTERVAL 1 {unit})) AS slot FROM ends)
+    SELECT id, slot::TIMESTAMP AS slot FROM every ANTI JOIN seen USING (id, slot)"""
+
+
+@query("missing_slot_list", _slot_list_sql("DAY"))
+def _(spark, sf):
+    return profile.missing_slot_list(measurements(spark, sf), "view")
+
+
+@query("missing_hour_slot_list", _slot_list_sql("HOUR"))
+def _(spark, sf):
+    return profile.missing_slot_list(measurements(spark, sf), "view", "HOUR")
+
+
 _TOPCORR = f"""{FILLED}, c AS ({" UNION ALL ".join(f"SELECT id, '{c}' AS col, CASE WHEN stddev_pop({c}) > 0 AND stddev_pop(mood) > 0 THEN corr({c}, mood) END AS r FROM filled WHERE {c} IS NOT NULL AND mood IS NOT NULL GROUP BY id" for c in COLS[1:])}),
 k AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY abs(round(r, 9)) DESC, col))::INT AS place, col AS "column", r FROM c WHERE r IS NOT NULL)"""
 
@@ -333,15 +370,21 @@ def _(spark, sf):
     return rounded(profile.pacf_per_id(cleaned(spark, sf), "mood", 2))
 
 
+# Upper tail of the chi-squared law with ``lag`` degrees of freedom, x = t * t from sqrt(q) on, by
+# Simpson's rule; 40 further on nothing is left.
+_TAIL = """0.01::DOUBLE / 3 * list_sum([(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2
+  * exp((lag - 1) * ln(greatest(sqrt(q) + i * 0.01::DOUBLE, 1e-12)) - (sqrt(q) + i * 0.01::DOUBLE) ** 2 / 2 - lag / 2.0::DOUBLE * ln(2.0::DOUBLE) - lgamma(lag / 2.0::DOUBLE))
+  FOR i IN range(0, 4001)])"""
+
+
 @query(
     "ljung_box",
-    f"""WITH {_ACF_POOLED}, n AS (SELECT count(*) AS n FROM p)
-    SELECT lag::INT AS lag, {rd("n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag)", "q", 4)} FROM a, n""",
+    f"""WITH {_ACF_POOLED}, n AS (SELECT count(*) AS n FROM p),
+    q AS (SELECT lag::INT AS lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag) AS q FROM a, n)
+    SELECT lag, {rd("q", digits=4)}, {rd(_TAIL, "p_value", 4)} FROM q""",
 )
 def _(spark, sf):
-    return rounded(
-        profile.ljung_box(profile.acf_pooled(cleaned(spark, sf), "mood")).drop("p_value"), 4
-    )
+    return rounded(profile.ljung_box(profile.acf_pooled(cleaned(spark, sf), "mood")), 4)
 
 
 _G = "g AS (SELECT sum(mood * mood) AS a, sum(strain * strain) AS b, sum(spend * spend) AS c, sum(mood * strain) AS ab, sum(mood * spend) AS ac, sum(strain * spend) AS bc FROM filled WHERE mood IS NOT NULL AND strain IS NOT NULL AND spend IS NOT NULL), d AS (SELECT *, a * (b * c - bc * bc) - ab * (ab * c - bc * ac) + ac * (ab * bc - b * ac) AS det FROM g)"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, joins, metrics, profile, rules, scale, splits
+from panelrank.operators import groups, joins, metrics, mining, profile, rules, scale, splits
 from panelrank.queries.registry import query, rd, rds, rounded
 from panelrank.sources.tables import table
 
@@ -726,3 +726,58 @@ def _(spark, sf):
     tree, _, found = mined(spark, sf)
     kept = rules.drop_redundant_rules(found, tree, 0.8, 0.1)
     return rounded(kept.withColumn("antecedent", F.array_join("antecedent", "|")))
+
+
+# --- sets without an item and its own ancestor, grown on bitmaps --------------------------
+
+
+def grown(spark, sf, longest=None):
+    tree = taxonomy(spark, sf)
+    return tree, mining.mine(baskets(spark, sf), tree, "l_orderkey", "p_brand", 0.02, longest)
+
+
+_GROWN = f"""{_ALL_SETS}, kept AS (SELECT items, c FROM sets WHERE items NOT IN (SELECT items FROM own))"""
+
+
+@query(
+    "taxonomy_itemsets",
+    f"""WITH RECURSIVE {_GROWN} SELECT array_to_string(items, '|') AS items, c AS freq, {rd("c / n", "support")} FROM kept, total""",
+)
+def _(spark, sf):
+    _, found = grown(spark, sf)
+    return rounded(found.withColumn("items", F.array_join("items", "|")))
+
+
+@query(
+    "taxonomy_itemset_rules",
+    f"""WITH RECURSIVE {_ALL_SETS} SELECT array_to_string(antecedent, '|') AS antecedent, consequent, {rds("confidence lift support")} FROM ok""",
+)
+def _(spark, sf):
+    _, found = grown(spark, sf)
+    kept = mining.rules_of(found, 0.1)
+    return rounded(kept.withColumn("antecedent", F.array_join("antecedent", "|")))
+
+
+@query(
+    "taxonomy_pair_rules",
+    f"""WITH {_PAIR_RULES} SELECT antecedent, consequent, {rds("confidence lift support")} FROM r
+    WHERE NOT EXISTS (SELECT 1 FROM tax WHERE (item = antecedent AND ancestor = consequent) OR (item = consequent AND ancestor = antecedent))""",
+)
+def _(spark, sf):
+    _, found = grown(spark, sf, longest=2)
+    return rounded(mining.rules_of(found, 0.1).withColumn("antecedent", F.col("antecedent")[0]))
+
+
+@query(
+    "specific_taxonomy_rules",
+    f"""WITH RECURSIVE {_ALL_SETS}, lifted AS (
+      SELECT list_sort(list_distinct(list_append([x FOR x IN antecedent IF x <> item], ancestor))) AS antecedent, consequent, support, confidence
+      FROM (SELECT *, unnest(antecedent) AS item FROM ok) JOIN tax USING (item))
+    SELECT array_to_string(antecedent, '|') AS antecedent, consequent, {rds("confidence lift support")} FROM ok g WHERE NOT EXISTS (
+      SELECT 1 FROM lifted s WHERE s.antecedent = g.antecedent AND s.consequent = g.consequent
+      AND abs(g.support - s.support) <= 0.8 * g.support AND abs(g.confidence - s.confidence) <= 0.1 * g.confidence)""",
+)
+def _(spark, sf):
+    tree, found = grown(spark, sf)
+    kept = rules.drop_redundant_rules(mining.rules_of(found, 0.1), tree, 0.8, 0.1)
+    return rounded(kept.withColumn("antecedent", F.array_join("antecedent", "|")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrank.operators import groups, metrics, scale, significance, splits
-from panelrank.queries.panel import CLEAN, cleaned
+from panelrank.queries.panel import CLEAN, cleaned, measurements
 from panelrank.queries.ranking import sql_bucket, sql_uniform
 from panelrank.queries.registry import query, rd, rds, rounded
 from panelrank.sources.tables import table
@@ -111,6 +111,22 @@ def _(spark, sf):
     return splits.walk_forward(cleaned(spark, sf))
 
 
+@query(
+    "balanced_kfold",
+    f"""WITH RECURSIVE sizes AS (SELECT user_id AS id, count(*)::BIGINT AS n, md5(concat_ws('-', user_id::VARCHAR, '42'))[1:8] AS code FROM events GROUP BY user_id),
+    queue AS (SELECT *, row_number() OVER (ORDER BY n DESC, code, id) AS i, row_number() OVER (PARTITION BY n ORDER BY code, id) AS place FROM sizes),
+    step(i, n, fold, loads) AS (
+      SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[]
+      UNION ALL SELECT q.i, q.n, list_position(loads, list_min(loads))::BIGINT - 1,
+        list_transform(loads, lambda l, p: CASE WHEN p = list_position(loads, list_min(loads)) THEN l + q.n ELSE l END) FROM step JOIN queue q ON q.i = step.i + 1),
+    ends AS (SELECT n, fold, sum(count(*)) OVER (PARTITION BY n ORDER BY fold) AS upto FROM step WHERE i > 0 GROUP BY n, fold)
+    SELECT events.user_id AS id, ts AS time, (SELECT min(fold) FROM ends WHERE ends.n = queue.n AND place <= upto)::INT AS fold FROM events JOIN queue ON id = user_id""",
+)
+def _(spark, sf):
+    rows = measurements(spark, sf).select("id", "time")
+    return splits.balanced_kfold(rows, "id", 5)
+
+
 @query(
     "stratified_holdout",
     f"""WITH {CLEAN}, s AS (SELECT id, row_number() OVER (ORDER BY avg(mood), id) AS rn FROM clean GROUP BY id HAVING avg(mood) IS NOT NULL),
@@ -311,16 +327,32 @@ def _(spark, sf):
 # --- tests and intervals ------------------------------------------------------------------
 
 
+def _steps(n: int) -> str:
+    """Weights of Simpson's rule: 1, 4, 2, 4, ..., 4, 1."""
+    return f"CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def erfc_sql(z: str) -> str:
+    """Complementary error function: the integral of the bell curve from z on, by Simpson's rule."""
+    terms = f"[({_steps(2000)}) * exp(-1 * pow(({z}) + i * 0.005::DOUBLE, 2)) FOR i IN range(0, 2001)]"
+    return f"(2 / sqrt(pi()) * 0.005::DOUBLE / 3 * list_sum({terms}))"
+
+
+_EXACT = """least(1.0::DOUBLE, 2 * list_sum([exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1)
+  - (only_a + only_b) * ln(2.0::DOUBLE)) FOR i IN range(0, least(only_a, only_b) + 1)]))"""
+
+
 @query(
     "mcnemar",
     f"""WITH {PRED}, c AS (SELECT count(*) FILTER (a_class = y_class AND b_class = y_class) AS both, count(*) FILTER (a_class = y_class AND b_class <> y_class) AS only_a,
       count(*) FILTER (a_class <> y_class AND b_class = y_class) AS only_b, count(*) FILTER (a_class <> y_class AND b_class <> y_class) AS neither FROM classed WHERE part = 'holdout')
-    SELECT *, {rd("coalesce((only_a - only_b) ** 2 / nullif(only_a + only_b, 0), 0)", "chi2")} FROM c""",
+    SELECT "both", only_a, only_b, neither, {rd("chi2")}, {rd(erfc_sql("sqrt(chi2 / 2)"), "p_value")}, {rd(_EXACT, "p_exact")}
+    FROM (SELECT *, coalesce((only_a - only_b) ** 2 / nullif(only_a + only_b, 0), 0) AS chi2 FROM c)""",
 )
 def _(spark, sf):
     rows = classified(spark, sf).filter(F.col("part") == "holdout")
     tested = significance.mcnemar(rows, "y_class", "a_class", "b_class")
-    return rounded(tested.drop("p_value", "p_exact"))
+    return rounded(tested)
 
 
 @query(
@@ -329,19 +361,38 @@ def _(spark, sf):
     r AS (SELECT d, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY s) AS t FROM nz),
     g AS (SELECT count(*) AS pairs, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus, sum((t * t - 1))::DOUBLE AS ties FROM r)
     SELECT pairs, {rd("w_plus", digits=2)}, {rd("w_minus", digits=2)},
-    {rd("(least(w_plus, w_minus) - pairs::DOUBLE * (pairs + 1) / 4) / sqrt(pairs::DOUBLE * (pairs + 1) * (2 * pairs + 1) / 24 - ties / 48)", "z", 2)} FROM g""",
+    {rd("(least(w_plus, w_minus) - pairs::DOUBLE * (pairs + 1) / 4) / sqrt(pairs::DOUBLE * (pairs + 1) * (2 * pairs + 1) / 24 - ties / 48)", "z", 2)},
+    {rd(erfc_sql("abs(least(w_plus, w_minus) - pairs::DOUBLE * (pairs + 1) / 4) / sqrt(pairs::DOUBLE * (pairs + 1) * (2 * pairs + 1) / 24 - ties / 48) / sqrt(2.0::DOUBLE)"), "p_value", 2)} FROM g""",
 )
 def _(spark, sf):
     rows = predictions(spark, sf).filter(F.col("part") == "holdout")
     errors = rows.select(
         F.abs(F.col("y") - F.col("a")).alias("ea"), F.abs(F.col("y") - F.col("b")).alias("eb")
     )
-    return rounded(significance.wilcoxon_signed_rank(errors, "ea", "eb").drop("p_value"), 2)
+    return rounded(significance.wilcoxon_signed_rank(errors, "ea", "eb"), 2)
+
+
+# The SQL draws its own pairs, numbers and weights, and sums the distribution up by itself.
+_PRIME = 2**31 - 1
+DRAWS = f"""po(k, term, below) AS (SELECT 0, exp(-1.0::DOUBLE), exp(-1.0::DOUBLE)
+  UNION ALL SELECT k + 1, term / (k + 1), below + term / (k + 1) FROM po WHERE below * {_PRIME} < {_PRIME - 1} AND term > 1e-18),
+draw_cuts AS (SELECT list(below * {_PRIME}) AS levels FROM po WHERE below * {_PRIME} < {_PRIME - 1}),
+draw_pairs AS (SELECT r AS replicate, 1 + ('0x' || md5('a-' || r || '-42')[1:8])::BIGINT % {_PRIME - 1} AS a,
+  ('0x' || md5('b-' || r || '-42')[1:8])::BIGINT % {_PRIME} AS b FROM (SELECT unnest(range(0, 200))::INT AS r))"""
+
+
+def drawn_sql(key, number="number"):
+    """Columns ``number`` of a row and its weight in a replicate (with ``draw_pairs`` and ``draw_cuts``)."""
+    named = ", ".join(f"{c}::VARCHAR" for c in key)
+    return (
+        f"('0x' || md5(concat_ws('-', {named}, '42'))[1:8])::BIGINT % {_PRIME}",
+        f"len(list_filter(levels, lambda c: ({number} * draw_pairs.a + draw_pairs.b) % {_PRIME} >= c))",
+    )
 
 
-_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in splits.POISSON_1)
-_BOOT = f"""{PRED}, drawn AS (SELECT *, {_WEIGHT} AS w FROM (SELECT classed.*, replicate, {sql_uniform(*KEY, "replicate")} AS u
-  FROM classed, (SELECT unnest(range(0, 20))::INT AS replicate) WHERE part = 'holdout')),
+_NUMBER, _WEIGHT = drawn_sql(KEY)
+_BOOT = f"""{PRED}, {DRAWS}, drawn AS (SELECT numbered.*, replicate, {_WEIGHT} AS w
+  FROM (SELECT *, {_NUMBER} AS number FROM classed WHERE part = 'holdout') numbered, draw_pairs, draw_cuts),
 bc AS (SELECT replicate, y_class AS t, a_class AS p, sum(w) AS n FROM drawn WHERE w > 0 GROUP BY ALL),
 bs AS (SELECT replicate, t AS label, n AS a, 0 AS p, CASE WHEN t = p THEN n ELSE 0 END AS h FROM bc UNION ALL SELECT replicate, p, 0, n, 0 FROM bc),
 bl AS (SELECT replicate, label, sum(a) AS a, sum(h) AS h, 2.0 * sum(h) / nullif(sum(a) + sum(p), 0) AS f1 FROM bs GROUP BY ALL),
@@ -352,14 +403,12 @@ reports AS (SELECT replicate, accuracy, f1_macro, 1 - sse / tot AS r2 FROM boot
 
 def _bootstrap(spark, sf):
     rows = classified(spark, sf).filter(F.col("part") == "holdout")
-    return significance.bootstrap_reports(
-        rows, KEY, "y", "a", "y_class", "a_class", replicates=20
-    )
+    return significance.bootstrap_reports(rows, KEY, "y", "a", "y_class", "a_class")
 
 
 @query(
     "bootstrap_reports",
-    f"WITH {_BOOT} SELECT replicate, {rds('accuracy f1_macro r2')} FROM reports",
+    f"WITH RECURSIVE {_BOOT} SELECT replicate, {rds('accuracy f1_macro r2')} FROM reports",
 )
 def _(spark, sf):
     return rounded(_bootstrap(spark, sf))
@@ -367,7 +416,7 @@ def _(spark, sf):
 
 @query(
     "bootstrap_ci",
-    f"WITH {_BOOT} "
+    f"WITH RECURSIVE {_BOOT} "
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, {rd(f'avg({m})', 'mean')}, {rd(f'quantile_cont({m}, 0.025)', 'lower')}, {rd(f'quantile_cont({m}, 0.975)', 'upper')} FROM reports"
         for m in ("f1_macro", "accuracy", "r2")

@@ -67,7 +67,9 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, header=True)
+    """CSV with a header; times keep their microseconds."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+    df.write.mode(mode).option("timestampNTZFormat", exact).csv(path, header=True)
 
 
 def write_parquet_checked(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
