@@ -432,9 +432,10 @@ def dedup(
     least: int = LEAST,
     id_col: str = "doc_id",
     text_col: str = "text",
+    exact: int | None = None,
 ) -> DataFrame:
     """``docs`` with the lines that came earlier taken out of its texts; no row is dropped."""
-    found = judged(docs, tau, least, id_col=id_col, text_col=text_col)
+    found = judged(docs, tau, least, id_col=id_col, text_col=text_col, exact=exact)
     return found.select(
         *[
             (F.col("kept") if c == text_col else F.col(f"_row.`{c}`")).alias(c)

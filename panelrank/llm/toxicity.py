@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.llm.arrays import joined, mix, sums
-from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts
+from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts, ranges
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -207,7 +208,9 @@ def keep_clean(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            yield batch.filter(pa.array(of(texts) < least, pa.bool_()))
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+            for start, end in ranges(sizes):
+                part = batch.slice(start, end - start)
+                yield part.filter(pa.array(of(part.column(place).to_pylist()) < least, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

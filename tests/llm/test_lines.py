@@ -30,16 +30,20 @@ def text_hash(text, second=False):
     return signed(xxhash.xxh64_intdigest(text.encode(), seed))
 
 
-def plain(docs, tau=2, least=20):
-    """Brute force: every pair of lines that take part."""
+def plain(docs, tau=2, least=20, exact=None):
+    """Brute force: every pair of lines that take part, shorter ones only where they repeat."""
+
+    def taken(line):
+        return len(line) >= least or exact is not None and len(line) >= exact and line.strip(" \t\r\x0b\x0c")
+
     place = lambda i, t: (i is None, i or 0, text_hash(t), text_hash(t, True))
     first, near = {}, {}
     for i, t in docs:
         for no, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line) >= least:
+            if taken(line):
                 here = (*place(i, t), no)
                 first[line] = min(first.get(line, here), here)
-    all_lines = sorted(first)
+    all_lines = sorted(x for x in first if len(x) >= least)
     for n, a in enumerate(all_lines):
         for b in all_lines[:n]:
             if abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
@@ -52,7 +56,7 @@ def plain(docs, tau=2, least=20):
         for no, line in enumerate(own):
             links += len(near.get(line, ()))
             earlier = any(first[o] < first[line] for o in near.get(line, ()))
-            if len(line) < least or (first[line] == (*place(i, t), no) and not earlier):
+            if not taken(line) or (first[line] == (*place(i, t), no) and not earlier):
                 kept.append(line)
         text = "\n".join(kept) if len(kept) < len(own) else t or ""
         out.append(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from panelrank.llm import bpe, lines, toxicity
-from tests.llm import test_decontaminate, test_lines, test_simhash
+from tests.llm import test_decontaminate, test_lines, test_shingles
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,7 +22,13 @@ def folder(tmp_path_factory, spark):
     rows = [tuple(r) for r in docs.orderBy("doc_id").limit(250).collect()]
     passage = spark.read.parquet(f"{given}/benchmark.parquet").first().text
     copy = rows[30][1]
+    words = [f"word{i}" for i in range(70)]
+    near = [*words[:35], "other", *words[36:]]  # 61 of 71 shingles are shared
+    far = [*words[:20], "one", *words[21:40], "two", *words[41:60], "three", *words[61:]]
     extra = [
+        (5010, " ".join(words), "en", "a", 1),
+        (5011, " ".join(near), "en", "a", 1),
+        (5012, " ".join(far), "en", "a", 1),
         (5000, copy, "en", "a", len(copy)),
         (5001, None, None, None, None),
         (5002, "", "en", "a", 0),
@@ -50,7 +56,7 @@ def test_every_stage_against_brute_force(spark, folder):
 
     docs = spark.createDataFrame(rows, COLUMNS)
     got = sorted(map(tuple, corpus_pipeline.dedup_lines(spark, docs, folder).collect()), key=str)
-    want = test_lines.plain([r[:2] for r in rows])
+    want = test_lines.plain([r[:2] for r in rows], exact=1)
     assert sorted((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in got if r[0]) == sorted(
         (w[0], w[4]) for w in want if w[0]
     )
@@ -59,12 +65,14 @@ def test_every_stage_against_brute_force(spark, folder):
     rows, docs = got, spark.createDataFrame(got, COLUMNS)
     got = [tuple(r) for r in corpus_pipeline.dedup_documents(spark, docs, folder).collect()]
     groups = {}
-    roots = test_simhash.plain_groups([test_simhash.plain_fingerprint(r[1]) for r in rows])
+    roots = test_shingles.plain_groups([r[1] for r in rows])
     for r, g in zip(rows, roots):
         groups.setdefault(g, []).append(r)
     ids = [min((r[0] is None, r[0] or 0) for r in group) for group in groups.values()]
     assert sorted((r[0] is None, r[0] or 0) for r in got) == sorted(ids)
     assert set(got) <= set(rows)
+    stayed = {r[0] for r in got}
+    assert 5010 in stayed and 5011 not in stayed and 5012 in stayed
 
     rows, docs = got, spark.createDataFrame(got, COLUMNS)
     got = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, folder).collect()]
@@ -106,7 +114,7 @@ def test_empty_documents(spark, folder):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
 
