@@ -5,12 +5,19 @@ number with a valid check digit, phone number); matches that fail their test are
 
 The field labels every token between blanks that holds a digit or an at sign: none, or one of the
 kinds. A token's own potentials come from its shape and the words beside it; tokens side by side
-share a transition potential; tokens that repeat or resemble an earlier one in the document (equal,
-equal digits, equal first or last digits, the name part of an address) share a potential that
-favours equal labels, however far apart they stand. Tokens inside base spans are fixed to their
-kind. Loopy belief propagation carries them along all links, and a free token whose probability
-of one kind reaches ``sure`` becomes a span; such tokens side by side are one. Each token links to the one before it
-with the same key, so links grow with the tokens, not with their pairs.
+share a transition potential; tokens that repeat or resemble each other in the document (equal,
+equal digits, equal first or last digits, the name part of an address) share a potential that favours
+equal labels, however far apart they stand. Tokens inside base spans are fixed to their kind. Loopy
+belief propagation runs until its messages settle, and a free token whose probability of one kind
+reaches ``sure`` becomes a span; such tokens side by side are one.
+
+All tokens with the same key meet in one node, so links grow with the tokens, not with their pairs,
+and any two mentions are two steps apart. Evidence counts once, however often it is repeated: a kind
+that base spans give to some of the node's tokens reaches each other one with the potential's full
+strength a single time, over all the keys that it shares; free tokens of a node send it what they
+find likely, at a strength divided by their number, and each takes from it how the others differ from
+itself. So fifty repeats of a number that stands once in full are all found, while repeats of a
+token that nothing speaks for change nothing.
 
 Weights are fitted in numpy by pseudo-likelihood on a bounded sample of documents, with the base
 labels as truth and without telling the field which tokens a pattern matched. Every text is read
@@ -89,13 +96,17 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Graph:
-    """Tokens of one document: places, features, base labels (0: free), and links."""
+    """Tokens of one document: places, features, base labels (0: free), links, and shared nodes.
+
+    ``chain`` has pairs of tokens side by side, ``member`` pairs (token, node) of nodes that hold two
+    tokens or more.
+    """
 
     places: list[tuple[int, int]]
     features: list[list[int]]
     label: np.ndarray
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    member: list[tuple[int, int]]
 
 
 def _hash(*parts: object) -> int:
@@ -124,9 +135,9 @@ def _keys(token: str) -> list[tuple[str, str]]:
 
 
 def graph(text: str, spans: list[Span]) -> Graph:
-    places, features, chain, skip = [], [], [], []
+    places, features, chain = [], [], []
     words = list(_TOKEN.finditer(text)) if _HINT.search(text) else []
-    last: dict[tuple[str, str], int] = {}
+    held: dict[tuple[str, str], list[int]] = {}
     before = -2
     for i, word in enumerate(words):
         if not _HINT.search(word[0]):
@@ -158,10 +169,8 @@ def graph(text: str, spans: list[Span]) -> Graph:
         if before == i - 1:
             chain.append((here - 1, here))
         before = i
-        linked = {last[key] for key in _keys(token) if key in last}
-        skip += [(j, here) for j in sorted(linked)]
         for key in _keys(token):
-            last[key] = here
+            held.setdefault(key, []).append(here)
     label = np.zeros(len(places), dtype=np.int64)
     starts = np.array([a for a, _ in places], dtype=np.int64)
     ends = np.array([b for _, b in places], dtype=np.int64)
@@ -170,31 +179,52 @@ def graph(text: str, spans: list[Span]) -> Graph:
         label[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = (
             KINDS.index(kind) + 1
         )
-    return Graph(places, features, label, chain, skip)
+    nodes = [tokens for tokens in held.values() if len(tokens) > 1]
+    member = [(token, node) for node, tokens in enumerate(nodes) for token in tokens]
+    return Graph(places, features, label, chain, member)
 
 
 @dataclass
 class Field:
     own: np.ndarray  # FEATURES x LABELS
     transition: np.ndarray  # LABELS x LABELS
-    alike: float  # added for equal labels along a skip link
+    alike: float  # added for a label that another token of a shared node has
 
 
-def _pairs(links: list[list[tuple[int, int]]], offsets: np.ndarray) -> np.ndarray:
-    found = [np.array(x, dtype=np.int64).reshape(-1, 2) + o for x, o in zip(links, offsets)]
+def _pairs(links: list[list[tuple[int, int]]], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    found = [
+        np.array(x, dtype=np.int64).reshape(-1, 2) + (i, j) for x, i, j in zip(links, first, second)
+    ]
     return np.concatenate([np.empty((0, 2), np.int64), *found])
 
 
+def _starts(sizes: list[int]) -> np.ndarray:
+    sizes = np.array(sizes, dtype=np.int64)
+    return np.cumsum(sizes) - sizes
+
+
 def _join(graphs: list[Graph]):
-    sizes = np.array([len(g.places) for g in graphs], dtype=np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    features = np.array([f for g in graphs for f in g.features], dtype=np.int64).reshape(
-        sizes.sum(), -1
-    )
+    offsets = _starts([len(g.places) for g in graphs])
+    features = [f for g in graphs for f in g.features]
+    features = np.array(features, dtype=np.int64).reshape(len(features), -1)
     label = np.concatenate([np.empty(0, np.int64), *[g.label for g in graphs]])
-    chain = _pairs([g.chain for g in graphs], offsets)
-    skip = _pairs([g.skip for g in graphs], offsets)
-    return features, label, chain, skip, offsets
+    chain = _pairs([g.chain for g in graphs], offsets, offsets)
+    nodes = _starts([max((n for _, n in g.member), default=-1) + 1 for g in graphs])
+    member = _pairs([g.member for g in graphs], offsets, nodes)
+    return features, label, chain, member, offsets
+
+
+def _told(label: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Per token and kind, 1 if another token of one of its nodes has the kind."""
+    token, node = member.T
+    count = np.zeros((node.max() + 1 if len(node) else 0, LABELS))
+    np.add.at(count, (node, label[token]), 1)
+    others = count[node]
+    others[np.arange(len(token)), label[token]] -= 1
+    told = np.zeros((len(label), LABELS))
+    np.maximum.at(told, token, np.minimum(others, 1))
+    told[:, 0] = 0
+    return told
 
 
 def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Field:
@@ -204,12 +234,10 @@ def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.05, decay: float
     if not graphs:
         field.own[_hash("bias"), 0] = 5.0
         return field
-    features, label, chain, skip, _ = _join(graphs)
+    features, label, chain, member, _ = _join(graphs)
     n, truth = len(label), np.eye(LABELS)[label]
     a, b = chain.T
-    near = np.zeros((n, LABELS))  # labels of the tokens along skip links
-    for i, j in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
-        np.add.at(near, i, truth[j])
+    near = _told(label, member)
     used, slot = np.unique(features, return_inverse=True)
     slot = slot.reshape(features.shape)
     own = np.zeros((len(used), LABELS))
@@ -242,38 +270,52 @@ def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.05, decay: float
     return field
 
 
-def marginals(graphs: list[Graph], field: Field, rounds: int = 12) -> list[np.ndarray]:
+def _sent(held: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """Messages along potentials from what their senders hold, as logarithms."""
+    raised = held[:, :, None] + potential
+    top = raised.max(axis=1)
+    return top + np.log(np.exp(raised - top[:, None, :]).sum(axis=1))
+
+
+def marginals(graphs: list[Graph], field: Field, settled: float = 1e-3) -> list[np.ndarray]:
     """Label probabilities of every token by loopy belief propagation, base tokens fixed."""
-    features, label, chain, skip, offsets = _join(graphs)
+    features, label, chain, member, offsets = _join(graphs)
     local = field.own[features].sum(1).reshape(-1, LABELS)
     fixed = label > 0
+    local += field.alike * _told(label, member)
     local[fixed] = -50.0
     local[fixed, label[fixed]] = 0.0
-    links = np.concatenate([chain, skip])
-    same = field.alike * np.eye(LABELS)
-    pot = np.concatenate(
-        [
-            np.broadcast_to(field.transition, (len(chain), LABELS, LABELS)),
-            np.broadcast_to(same, (len(skip), LABELS, LABELS)),
-        ]
-    )
     # Each link carries a message either way; the second half runs against the first.
-    source = np.concatenate([links[:, 0], links[:, 1]])
-    target = np.concatenate([links[:, 1], links[:, 0]])
+    source = np.concatenate([chain[:, 0], chain[:, 1]])
+    target = np.concatenate([chain[:, 1], chain[:, 0]])
+    pot = np.broadcast_to(field.transition, (len(chain), LABELS, LABELS))
     pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-    message = np.zeros((len(source), LABELS))
-    half = len(links)
+    message, half = np.zeros((len(source), LABELS)), len(chain)
+    # Free tokens in nodes, and by how many each node and each token divides.
+    token, node = member[~fixed[member[:, 0]]].T
+    in_node = np.bincount(node, minlength=1)[:, None].clip(1)
+    in_nodes = np.bincount(token, minlength=len(label))[:, None].clip(1)
+    shared = np.zeros_like(local)
+    same = np.broadcast_to(field.alike * np.eye(LABELS), (1, LABELS, LABELS))
     belief = local.copy()
-    for _ in range(rounds if half else 0):
+    for _ in range(len(label) + 50):  # no path is longer
         back = np.concatenate([message[half:], message[:half]])
-        held = belief[source] - back
-        raised = held[:, :, None] + pot
-        top = raised.max(axis=1)
-        new = top + np.log(np.exp(raised - top[:, None, :]).sum(axis=1))
+        new = _sent(belief[source] - back, pot)
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-        belief = local.copy()
+        says = _sent(belief - shared, same)
+        says -= says.mean(axis=1, keepdims=True)
+        mean = np.zeros((len(in_node), LABELS))
+        np.add.at(mean, node, says[token])
+        mean /= in_node
+        pull = np.zeros_like(local)
+        np.add.at(pull, token, mean[node] - says[token])
+        pull /= in_nodes
+        moved = max(np.abs(new - message).max(initial=0.0), np.abs(pull - shared).max(initial=0.0))
+        message, shared = 0.5 * (message + new), 0.5 * (shared + pull)
+        belief = local + shared
         np.add.at(belief, target, message)
+        if moved < settled:
+            break
     belief -= belief.max(axis=1, keepdims=True)
     p = np.exp(belief)
     p /= p.sum(axis=1, keepdims=True)

@@ -63,7 +63,10 @@ def exact(g, field):
             continue
         score = sum(field.own[g.features[i], labels[i]].sum() for i in range(n))
         score += sum(field.transition[labels[a], labels[b]] for a, b in g.chain)
-        score += sum(field.alike for a, b in g.skip if labels[a] == labels[b])
+        for i in range(n):
+            nodes = {node for token, node in g.member if token == i}
+            kinds = {g.label[t] for t, node in g.member if node in nodes and t != i} - {0}
+            score += field.alike * (not g.label[i] and labels[i] in kinds)
         total[range(n), labels] += np.exp(score)
     return total / total.sum(1, keepdims=True)
 
@@ -76,11 +79,15 @@ def test_belief_propagation_is_exact_without_loops():
         1.5,
     )
     graphs = []
-    for chain, skip in (([(0, 1), (1, 2)], [(2, 3)]), ([], [(0, 2), (1, 2)]), ([], [])):
+    for chain, member in (
+        ([(0, 1), (1, 2)], [(2, 0), (3, 0)]),
+        ([], [(0, 0), (3, 0), (0, 1), (3, 1), (1, 2), (3, 2)]),
+        ([], []),
+    ):
         features = random_.integers(0, pii.FEATURES, (4, 10)).tolist()
         label = np.array([0, 0, 0, 2])
-        graphs.append(pii.Graph([(0, 1)] * 4, features, label, chain, skip))
-    for g, p in zip(graphs, pii.marginals(graphs, field, rounds=60)):
+        graphs.append(pii.Graph([(0, 1)] * 4, features, label, chain, member))
+    for g, p in zip(graphs, pii.marginals(graphs, field, settled=1e-9)):
         assert np.allclose(p, exact(g, field), atol=1e-3)
 
 
@@ -139,3 +146,41 @@ def test_awkward_rows(spark, documents):
     assert (9, (("email", 4, 10), ("email", 13, 19))) in got and (1, ()) in got and (None, ()) in got
     empty = docs.limit(0)
     assert pii.find(empty, pii.train(pii.sample(empty))).count() == 0
+
+
+def test_repeats_without_evidence_add_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for field in (pii.train(pii_sample()), pii.train(pii.sample(docs))):
+        for token in ("10.5.1", "1,200,000", "555-5473", "2024", "16"):
+            for times in (1, 2, 5, 50):
+                text = " and then ".join(f"we saw {token} there" for _ in range(times))
+                once = pii.added_spans([f"we saw {token} there"], [[]], field, 0.95)[0]
+                assert len(pii.added_spans([text], [pii.base_spans(text)], field, 0.95)[0]) == times * len(once) == 0
+
+
+def test_one_full_number_reaches_all_its_repeats(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for field in (pii.train(pii_sample()), pii.train(pii.sample(docs))):
+        text = "call +1 (476) 555-5473 today. " + " ".join(f"word{'x' * (i % 7)} 555-5473 more" for i in range(50))
+        added = pii.added_spans([text], [pii.base_spans(text)], field, 0.9)[0]
+        assert sum(text[a:b] == "555-5473" and k == "phone" for k, a, b in added) == 50
+
+
+def test_equal_tokens_share_what_their_places_tell():
+    """Two free tokens of one node move towards each other and never beyond."""
+    r = np.random.default_rng(2)
+    field = pii.Field(r.normal(size=(pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 3.0)
+    features = r.integers(0, pii.FEATURES, (2, 10)).tolist()
+    apart = pii.Graph([(0, 1)] * 2, features, np.zeros(2, int), [], [])
+    linked = pii.Graph([(0, 1)] * 2, features, np.zeros(2, int), [], [(0, 0), (1, 0)])
+    alike = pii.Graph([(0, 1)] * 2, [features[0]] * 2, np.zeros(2, int), [], [(0, 0), (1, 0)])
+    a, b, c = pii.marginals([apart, linked, alike], field, settled=1e-9)
+    assert np.abs(b[0] - b[1]).sum() < np.abs(a[0] - a[1]).sum()
+    assert np.allclose(c, a[[0, 0]], atol=1e-6)
+
+
+def test_very_long_text_with_repeats():
+    field = pii.train(pii_sample())
+    text = "call +1 (476) 555-5473 today. " + "555-5473 and 12 or 3.4 " * 20_000
+    added = pii.added_spans([text], [pii.base_spans(text)], field, 0.9)[0]
+    assert sum(text[a:b] == "555-5473" for _, a, b in added) == 20_000
