@@ -9,14 +9,13 @@ where a repeat is possible and not yet decided:
 2. A stretch whose bytes, from its first window's start to its last one's end, occur twice holds
    repeated windows only. Counting stretches decides most of what is left.
 3. Other stretches of grams with several different stretches go, one copy each, to the tasks
-   that own their grams. There each batch gets its suffix array (its window starts sorted by
-   their first bytes and, inside equal ones, by a fingerprint of the window, so that equal
-   windows are neighbours), is merge-scanned against every level of the index, and becomes a
-   level; levels of equal size merge, so a task keeps at most the logarithm of its batches. A
-   gram with more than ``HOT`` different stretches would fill one task: its windows are dealt out
-   by their own fingerprint instead and counted.
-
-Strings are compared by fingerprints of at least 104 bits. Texts are keyed by content (128 bits), copies are
+   that own their grams. There each batch gets its suffix array, its window starts in the order of
+   their bytes. It is scanned against every level of the index for matches of the whole span, word
+   by word as far as two windows agree, and becomes a level; levels of equal size merge, so a task
+   keeps at most the logarithm of its batches. A gram with more than ``HOT`` different stretches
+   would fill one task: its windows are dealt out by their own fingerprint instead and counted.
+
+The index compares bytes; the counting before it, and of hot grams, fingerprints of 128 bits. Texts are keyed by content (128 bits), copies are
 counted as further places. Matches never cross documents; strings are judged on the input. A
 missing text counts as empty; texts shorter than ``span`` bytes lose nothing. Repeated and
 missing ids are allowed: every row is judged by its text.
@@ -106,67 +105,130 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+class Level:
+    """Window starts in the order of their bytes, each window once, and the text they stand in."""
+
+    def __init__(self, data: np.ndarray, where: np.ndarray, ids: np.ndarray) -> None:
+        self.data, self.where, self.ids = data, where, ids
+        # Every eight bytes as one number that sorts like them; no copy of the text.
+        self.words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+        self.head = self.word(where, 0)
+
+    def word(self, where: np.ndarray, depth: int) -> np.ndarray:
+        return self.words[where + depth].astype(np.uint64)
+
+
 class Levels:
     """Suffix arrays of batches, merged geometrically; marks windows that occur twice.
 
-    A window's place in the order is one number: its first three bytes, then 40 bits of its
-    fingerprint. A second fingerprint tells windows with equal numbers apart.
+    Windows are compared by their bytes, eight at a time, and only as far as they agree. A level
+    holds one window of each content: a further one is marked, marks the one that is there, and
+    goes.
     """
 
     def __init__(self, span: int) -> None:
+        if span < 8:
+            raise ValueError("windows need eight bytes at least")
         self.span = span
-        self.levels: list[dict[str, np.ndarray]] = []
+        # Where the words of a window start: the last one may overlap the one before.
+        self.depths = [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]
+        self.levels: list[Level] = []
         self.repeated: list[np.ndarray] = []
         self.count = 0
 
-    def suffix_array(self, texts: list[bytes], sizes: np.ndarray) -> dict[str, np.ndarray]:
-        """The window starts of all texts, each of ``sizes`` windows, in order."""
-        data = np.frombuffer(b"".join([*texts, b"\0" * 3]), np.uint8)
+    def suffix_array(self, texts: list[bytes], sizes: np.ndarray) -> Level:
+        """The first ``sizes`` windows of each text, sorted; what is equal in the batch is marked.
+
+        Sorted by the first word; then, word by word, inside the stretches that still agree.
+        """
+        data = np.frombuffer(b"".join([*texts, b"\0" * 8]), np.uint8)
         starts = np.cumsum([0, *map(len, texts[:-1])])
         where = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        hashes = Hashes(data)
-        place = hashes.of(where, where + self.span, 0) >> np.uint64(24)
-        for i in range(3):
-            place |= data[where + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-        other = hashes.of(where, where + self.span, 1)
         ids = self.count + np.arange(len(where))
         self.count += len(where)
         self.repeated.append(np.zeros(len(where), bool))
-        return self.ordered({"place": place, "other": other, "id": ids})
-
-    @staticmethod
-    def ordered(level: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """In order of place; sorting two sorted arrays end to end is one linear merge."""
-        order = np.argsort(level["place"], kind="stable")
-        level = {k: v[order] for k, v in level.items()}
-        tied = level["place"][1:] == level["place"][:-1]
-        if (tied & (level["other"][1:] != level["other"][:-1])).any():
-            order = np.lexsort((level["other"], level["place"]))
-            level = {k: v[order] for k, v in level.items()}
-        return level
-
-    @classmethod
-    def merge(cls, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return cls.ordered({k: np.concatenate([a[k], b[k]]) for k in a})
+        level = Level(data, where, ids)
+        order = np.argsort(level.head, kind="stable")
+        where, ids, head = where[order], ids[order], level.head[order]
+        # first[i]: window i differs from the one before it in what has been compared so far.
+        first = np.concatenate([[True], head[1:] != head[:-1]])[: len(where)]
+        for depth in self.depths[1:]:
+            last = np.concatenate([first[1:], [True]])[: len(where)]
+            tied = np.flatnonzero(~(first & last))
+            if not len(tied):
+                break
+            group = np.cumsum(first)[tied]
+            key = level.word(where[tied], depth)
+            order = np.lexsort((key, group))
+            where[tied], ids[tied] = where[tied][order], ids[tied][order]
+            group, key = group[order], key[order]
+            first[tied[1:]] |= (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        last = np.concatenate([first[1:], [True]])[: len(where)]
+        self.mark(ids[~(first & last)])
+        return Level(data, where[first], ids[first])
+
+    def mark(self, ids: np.ndarray) -> None:
+        if len(self.repeated) > 1:
+            self.repeated = [np.concatenate(self.repeated)]
+        self.repeated[0][ids] = True
+
+    def places(self, level: Level, new: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Where each window of ``new`` belongs in ``level``, and whether its like is there.
+
+        Both are sorted, so a window's like-so-far is a stretch of the level. The stretch is cut
+        down word by word until it is empty, which settles the place, or all words agree.
+        """
+        low = np.searchsorted(level.head, new.head, "left")
+        high = np.searchsorted(level.head, new.head, "right")
+        open_ = np.flatnonzero(low < high)
+        for depth in self.depths[1:]:
+            if not len(open_):
+                break
+            key = new.word(new.where[open_], depth)
+            low[open_], high[open_] = (
+                self._bound(level, low[open_], high[open_], key, depth, upper) for upper in (False, True)
+            )
+            open_ = open_[low[open_] < high[open_]]
+        there = np.zeros(len(low), bool)
+        there[open_] = True
+        return low, there
 
     @staticmethod
-    def equal_neighbours(level: dict[str, np.ndarray]) -> np.ndarray:
-        """Ids of the windows that equal the one before or after them."""
-        same = (level["place"][1:] == level["place"][:-1]) & (
-            level["other"][1:] == level["other"][:-1]
-        )
-        return np.concatenate([level["id"][1:][same], level["id"][:-1][same]])
+    def _bound(level: Level, low, high, key, depth: int, upper: bool) -> np.ndarray:
+        """First place from low to high whose word is not below the key (``upper``: is above it)."""
+        low, high = low.copy(), high.copy()
+        while len(live := np.flatnonzero(low < high)):
+            middle = (low[live] + high[live]) // 2
+            word = level.word(level.where[middle], depth)
+            before = word <= key[live] if upper else word < key[live]
+            low[live] = np.where(before, middle + 1, low[live])
+            high[live] = np.where(before, high[live], middle)
+        return low
+
+    def scan(self, level: Level, new: Level) -> np.ndarray:
+        """Mark what both hold; whether each window of ``new`` is new to the level."""
+        place, there = self.places(level, new)
+        self.mark(np.concatenate([new.ids[there], level.ids[place[there]]]))
+        return ~there
+
+    def merge(self, a: Level, b: Level) -> Level:
+        """Two levels without a common window as one, in order."""
+        place, _ = self.places(a, b)
+        place += np.arange(len(place))
+        rest = np.ones(len(a.where) + len(b.where), bool)
+        rest[place] = False
+        where, ids = (np.empty(len(rest), np.int64) for _ in range(2))
+        where[place], where[rest] = b.where + len(a.data), a.where
+        ids[place], ids[rest] = b.ids, a.ids
+        return Level(np.concatenate([a.data, b.data]), where, ids)
 
     def add(self, texts: list[bytes], sizes: np.ndarray) -> None:
         new = self.suffix_array(texts, sizes)
-        found = [self.equal_neighbours(new)]
         for level in self.levels:
-            found.append(self.equal_neighbours(self.merge(level, new)))
-        marks = np.concatenate(self.repeated)
-        marks[np.concatenate(found)] = True
-        self.repeated = [marks]
+            fresh = self.scan(level, new)
+            new = Level(new.data, new.where[fresh], new.ids[fresh])
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1]["id"]) >= len(self.levels[-2]["id"]) / 2:
+        while len(self.levels) > 1 and len(self.levels[-1].where) >= len(self.levels[-2].where) / 2:
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(self.merge(a, b))
 

@@ -80,6 +80,29 @@ def test_levels_mark_what_occurs_twice():
     assert len(index.levels) <= 5
 
 
+@pytest.mark.parametrize("span", [8, 13, 40, 200])
+def test_levels_are_sorted_by_their_bytes(span):
+    import numpy as np
+
+    r = random.Random(span)
+    base = "".join(r.choice("ab\0") for _ in range(900))
+    texts = []
+    for k in range(80):
+        size, a = r.randint(span, span + 60), r.randrange(500)
+        text = base[a : a + size] if k % 2 else "".join(r.choice("ab") for _ in range(size))
+        texts.append(text.encode())
+    index = suffixes.Levels(span)
+    for k in range(0, 80, 8):
+        batch = texts[k : k + 8]
+        index.add(batch, np.array([len(t) - span + 1 for t in batch]))
+    windows = [t[k : k + span] for t in texts for k in range(len(t) - span + 1)]
+    seen = Counter(windows)
+    assert index.marks().tolist() == [seen[w] > 1 for w in windows]
+    held = [[x.data[p : p + span].tobytes() for p in x.where] for x in index.levels]
+    assert all(x == sorted(set(x)) for x in held)
+    assert sorted(w for x in held for w in x) == sorted(seen)
+
+
 def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
