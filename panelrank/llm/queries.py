@@ -61,7 +61,7 @@ OP3_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
 ), item AS (
-  SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, {_WORDS} AS w FROM benchmark
 ), cut AS (
   SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
   FROM item WHERE len(w) > 0
@@ -79,7 +79,7 @@ WITH d AS (
   FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r
 ), items AS (
   SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
-  FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
@@ -165,11 +165,11 @@ WITH RECURSIVE page AS (
   FROM spread LEFT JOIN (
     SELECT g, sum(move.t * s.t) AS mt, sum(move.d * s.d) AS md
     FROM move JOIN spread s ON s.host = h GROUP BY g) ON g = host
-  WHERE k < {urls.ROUNDS}
+  WHERE k < 130  -- 0.85 ** 130 is below 1e-9
 )
 SELECT page_id, judged.host, path, rule,
   coalesce(verdict, CASE WHEN d - t > 0.5 * (1 - 0.85) THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged LEFT JOIN (SELECT host, t, d FROM spread WHERE k = {urls.ROUNDS}) s USING (host)
+FROM judged LEFT JOIN (SELECT host, t, d FROM spread WHERE k = 130) s USING (host)
 """
 
 

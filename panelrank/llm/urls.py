@@ -15,11 +15,13 @@ more than ``threshold`` of what a host without links has whose pages are all blo
 
 Edges are links with a host of their own in ``href`` or ``src``; links inside a host are none. A
 url without a host, and a host without any evidence, are allowed. Repeated pages count again in
-shares and edges; a missing html has no links.
+shares and edges; a missing html has no links. Where pages hold relative links only, there are no
+edges, and a host keeps what its own pages give it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,6 @@ Rule = tuple[str, str, str]  # host, path, allow or block
 
 DAMPING = 0.85
 THRESHOLD = 0.5
-ROUNDS = 40
 TOLERANCE = 1e-9
 # Hosts with two numbers each that may go to all executors.
 BROADCAST_ROWS = 200_000
@@ -90,9 +91,12 @@ def edges(pages: DataFrame, host: Column, html: str) -> DataFrame:
 
 
 def propagate(
-    start: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
+    start: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """(host, trust, distrust) after at most ``rounds`` rounds, fewer if nothing changes any more.
+    """(host, trust, distrust), each within ``tolerance`` of where the rounds lead.
+
+    What a round still moves shrinks by ``damping``, so their number follows from the tolerance;
+    they end earlier if nothing moves by more than it.
 
     ``start`` has one row per host that has pages; hosts that are only linked to start at zero.
     """
@@ -121,7 +125,7 @@ def propagate(
     state = start.select("host", ((1 - damping) * F.col("trust0")).alias("trust"), ((1 - damping) * F.col("distrust0")).alias("distrust"))
     if moves.isEmpty():
         return state
-    for _ in range(rounds):
+    for _ in range(math.ceil(math.log(tolerance) / math.log(damping))):
         came = (
             moves.join(state, "host")
             .groupBy("to")
@@ -143,7 +147,7 @@ def propagate(
             F.max(F.greatest(F.abs(F.col("trust") - F.col("was_t")), F.abs(F.col("distrust") - F.col("was_d"))))
         ).first()[0]
         state = new.select("host", "trust", "distrust")
-        if moved is None or moved <= TOLERANCE:
+        if moved is None or moved <= tolerance * (1 - damping):
             break
     return state
 
