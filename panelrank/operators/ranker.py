@@ -13,8 +13,10 @@ A page without positives makes no pairs. A missing grade counts as 0; columns mu
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +71,32 @@ def pairs(
 
 
 def gradient(found: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per column: the loss's slope and curvature, beside the number of pairs and the loss."""
-    wrong = 1 / (1 + F.exp("gap"))  # how far the pair is from its order
-    # ln(1 + exp(-gap)) without overflow
-    loss = F.col("delta") * (F.greatest(-F.col("gap"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("gap"))))
-    d = [F.col(f"d_{n}") for n in range(len(cols))]
-    sums = found.agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.coalesce(F.sum(loss), F.lit(0.0)).alias("loss"),
-        F.array(*[F.coalesce(F.sum(-F.col("delta") * wrong * x), F.lit(0.0)) for x in d]).alias("slope"),
-        F.array(*[F.coalesce(F.sum(F.col("delta") * wrong * (1 - wrong) * x * x), F.lit(0.0)) for x in d]).alias("bend"),
+    """One row per column: the loss's slope and curvature, beside the number of pairs and the loss.
+
+    Every task adds up its pairs and sends one row per column.
+    """
+    k, names = len(cols), list(cols)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, loss, slope, bend = 0, 0.0, np.zeros(k), np.zeros(k)
+        for batch in batches:
+            values = batch.to_numpy(float)
+            delta, gap, d = values[:, 0], values[:, 1], values[:, 2:]
+            wrong = np.exp(-np.logaddexp(0.0, gap))  # how far the pair is from its order
+            n += len(batch)
+            loss += float(delta @ np.logaddexp(0.0, -gap))
+            slope -= (delta * wrong) @ d
+            bend += (delta * wrong * (1 - wrong)) @ (d * d)
+        yield pd.DataFrame({"place": range(k), "pairs": n, "loss": loss, "slope": slope, "bend": bend})
+
+    schema = "place int, pairs long, loss double, slope double, bend double"
+    ordered = found.select("delta", "gap", *[f"d_{n}" for n in range(k)])
+    sums = ordered.mapInPandas(add, schema).groupBy("place").agg(
+        *[F.sum(c).alias(c) for c in ("pairs", "loss", "slope", "bend")]
     )
-    sums = sums.withColumn("column", F.array(*[F.lit(c) for c in cols]))
-    each = sums.select("pairs", "loss", F.explode(F.arrays_zip("column", "slope", "bend")).alias("r"))
-    return each.select("pairs", "loss", "r.*")
+    every = found.sparkSession.createDataFrame(list(enumerate(names)), "place int, column string")
+    zero = {"pairs": 0, "loss": 0.0, "slope": 0.0, "bend": 0.0}
+    return every.join(sums, "place", "left").fillna(zero).select("pairs", "loss", "column", "slope", "bend")
 
 
 def fit(
