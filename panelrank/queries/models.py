@@ -826,4 +826,4 @@ def _(spark, sf):
 @query("pair_ranker_quality")
 def _(spark, sf):
     rows, pages = _pages(spark, sf)
-    return rounded(fit_pairs_and_rank(rows, RANKING, pages), 3)
+    return rounded(fit_pairs_and_rank(rows, RANKING, pages, steps=2), 3)
