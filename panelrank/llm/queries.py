@@ -165,7 +165,7 @@ WITH RECURSIVE page AS (
   FROM spread LEFT JOIN (
     SELECT g, sum(move.t * s.t) AS mt, sum(move.d * s.d) AS md
     FROM move JOIN spread s ON s.host = h GROUP BY g) ON g = host
-  WHERE k < 130  -- 0.85 ** 130 is below 1e-9
+  WHERE k < 130
 )
 SELECT page_id, judged.host, path, rule,
   coalesce(verdict, CASE WHEN d - t > 0.5 * (1 - 0.85) THEN 'block' ELSE 'allow' END) AS verdict

@@ -33,7 +33,7 @@ Rule = tuple[str, str, str]  # host, path, allow or block
 
 DAMPING = 0.85
 THRESHOLD = 0.5
-TOLERANCE = 1e-9
+TOLERANCE = 1e-6
 # Hosts with two numbers each that may go to all executors.
 BROADCAST_ROWS = 200_000
 
