@@ -39,7 +39,11 @@ def forward_backward_fill(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def interpolate_linear(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Linear by row position; both ends continue flat."""
+    """Linear by row position; both ends continue flat.
+
+    Rises are multiplied before they are divided, as the SQL does: the other order gives other last
+    bits, and a mean that lies exactly on a cut would fall on its other side.
+    """
     rows = panel.withColumn("_row", F.row_number().over(by_id()).cast("double"))
     spots = {}
     for c in cols:
@@ -50,8 +54,8 @@ def interpolate_linear(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
     new = {}
     for c in cols:
         a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        share = F.try_divide(F.col("_row") - a["r"], b["r"] - a["r"])
-        between = a["v"] + (b["v"] - a["v"]) * share
+        risen = (b["v"] - a["v"]) * (F.col("_row") - a["r"])
+        between = a["v"] + F.try_divide(risen, b["r"] - a["r"])
         new[c] = F.coalesce(F.col(c), between, a["v"], b["v"])
     return replace_columns(rows, new).drop("_row", *spots)
 

@@ -33,6 +33,16 @@ def column(df, name):
 HOLES = [3.0, None, 4.0, 1.0, 5.0, 9.0, None, 2.0, 6.0, 5.0]
 
 
+def test_interpolation_multiplies_before_it_divides(spark):
+    """Engines agree to the last bit, so a mean of exactly 40 is on the same side of a cut of 40."""
+    values = [62.55, None, None, None, None, 36.41, 16.76, 28.91]
+    got = column(impute.interpolate_linear(panel(spark, values), ["x"]), "x")
+    between = [62.55 + (36.41 - 62.55) * k / 5 for k in range(1, 5)]
+    assert list(got) == [62.55, *between, *values[5:]]
+    mean = windows.rolling_features(impute.interpolate_linear(panel(spark, [*values, 0.0]), ["x"]), ["x"], aggs=("mean",))
+    assert mean.filter("date = '2024-01-09'").first()["x_mean"] == 40.0
+
+
 def test_interpolation_matches_pandas(spark):
     got = column(impute.interpolate_linear(panel(spark, [None, *HOLES, None]), ["x"]), "x")
     want = pd.Series([None, *HOLES, None], dtype=float).interpolate("linear", limit_direction="both")
