@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
@@ -490,46 +491,52 @@ def per_id_models(
 ) -> DataFrame:
     """A ridge regression per id, tested on the id's last rows.
 
-    An id holds at most one row per calendar day, so each fit is small and ids run in parallel.
-    An id with fewer than ``least`` training rows, or none to test on, has a row without errors
-    and a ``reason``. Rows without a target take no part.
+    An id holds at most one row per calendar day, so its rows travel as one short array and many ids
+    share a batch. An id with fewer than ``least`` training rows, or none to test on, has a row
+    without errors and a ``reason``. Rows without a target take no part. Columns are taken relative to
+    the id's first row, so one that is constant has a spread of exactly zero.
     """
-    cols = list(cols)
+    width = len(cols) + 1
     id_type = instances.schema["id"].dataType.simpleString()
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
+    def errors(rows: np.ndarray) -> tuple[int, int, float | None, float | None, float | None, str | None]:
         cut = int(len(rows) * (1 - test_fraction))
         if cut < least or cut == len(rows):
-            few = {"id": [rows["id"].iloc[0]], "n_train": [cut], "n_test": [len(rows) - cut]}
-            errors = {c: [None] for c in ("mse", "mae", "baseline_mse")}
-            return pd.DataFrame({**few, **errors, "reason": ["too few rows"]})
-        x = rows[cols].fillna(0.0).to_numpy(float)
-        y = rows[target].to_numpy(float)
-        mid, width = x[:cut].mean(0), x[:cut].std(0)
-        z = (x - mid) / np.where(width > 0, width, 1.0)
+            return cut, len(rows) - cut, None, None, None, "too few rows"
+        y, x = rows[:, 0], np.where(np.isnan(rows[:, 1:]), 0.0, rows[:, 1:])
+        x = x - x[0]
+        mid, spread = x[:cut].mean(0), x[:cut].std(0)
+        z = (x - mid) / np.where(spread > 0, spread, 1.0)
         top = y[:cut].mean()
         beta = np.linalg.solve(
-            z[:cut].T @ z[:cut] + penalty * np.eye(len(cols)), z[:cut].T @ (y[:cut] - top)
+            z[:cut].T @ z[:cut] + penalty * np.eye(width - 1), z[:cut].T @ (y[:cut] - top)
         )
         error = y[cut:] - (top + z[cut:] @ beta)
-        return pd.DataFrame(
-            {
-                "id": [rows["id"].iloc[0]],
-                "n_train": [cut],
-                "n_test": [len(rows) - cut],
-                "mse": [float(np.mean(error**2))],
-                "mae": [float(np.mean(np.abs(error)))],
-                "baseline_mse": [float(np.mean((y[cut:] - top) ** 2))],
-                "reason": [None],
-            }
-        )
+        mse, mae = float(np.mean(error**2)), float(np.mean(np.abs(error)))
+        return cut, len(rows) - cut, mse, mae, float(np.mean((y[cut:] - top) ** 2)), None
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            ends = np.cumsum(held.value_lengths().to_numpy()) // width
+            rows = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            found = [errors(own) for own in np.split(rows, ends[:-1])] if len(batch) else []
+            columns = zip(*found) if found else [[]] * len(types)
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *names])
+
+    names = ["n_train", "n_test", "mse", "mae", "baseline_mse", "reason"]
+    types = [pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.string()]
+    values = [F.col(target), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]]
+    row = F.struct(
+        F.col("date").isNull().alias("undated"), "date", F.array(*[v.cast("double") for v in values]).alias("v")
+    )
     return (
         instances.filter(F.col(target).isNotNull())
-        .select("id", "date", target, *cols)
         .groupBy("id")
-        .applyInPandas(
+        .agg(F.sort_array(F.collect_list(row)).alias("rows"))
+        .select("id", F.flatten(F.col("rows.v")).alias("rows"))
+        .mapInArrow(
             fit,
             f"id {id_type}, n_train int, n_test int, mse double, mae double,"
             " baseline_mse double, reason string",

@@ -16,7 +16,7 @@ from panelrank.functions.stats import (
     sample_kurtosis,
     sample_skew,
 )
-from panelrank.operators import clean, impute, metrics, profile, rollup, significance, windows
+from panelrank.operators import clean, impute, metrics, ml, profile, rollup, significance, windows
 
 START = dt.date(2024, 1, 1)
 
@@ -255,3 +255,17 @@ def test_exact_binomial_tail_against_plain_sums():
             assert abs(tail(k, n) - want) <= 1e-12 + 1e-9 * want, (k, n)
     assert 0.9 < tail(500_000_000, 1_000_000_001) <= 1.0
     assert 0.0 <= tail(499_900_000, 1_000_000_000) < 1e-8
+
+
+def test_model_of_a_column_that_is_constant_in_training(spark):
+    """Its spread is zero, not a last bit, so it says nothing about the rows after."""
+    y = [31.7, 55.13, 42.9, 18.37, 77.1, 60.03, 25.61, 39.99, 48.2, 71.3, 12.9, 33.33, 40.1, 52.0, 61.7]
+    x = [0.1] * 12 + [0.1, 0.5, 0.9]
+    rows = [("a", START + dt.timedelta(days=i), *v) for i, v in enumerate(zip(x, y))]
+    rows += [(None, START, 1.0, 2.0), ("b", START, 1.0, None)]
+    table = spark.createDataFrame(rows, "id string, date date, x double, y double")
+    got = {r["id"]: r for r in ml.per_id_models(table, ["x"], "y").collect()}
+    assert set(got) == {"a", None} and got[None]["reason"] == "too few rows"
+    assert got["a"]["n_train"] == 12 and got["a"]["n_test"] == 3 and got["a"]["reason"] is None
+    np.testing.assert_allclose(got["a"]["mse"], got["a"]["baseline_mse"], rtol=1e-12)
+    np.testing.assert_allclose(got["a"]["baseline_mse"], np.mean((np.array(y[12:]) - np.mean(y[:12])) ** 2))
