@@ -44,7 +44,10 @@ def pairs(
     grade = F.coalesce(F.col(rel), F.lit(0)).alias("rel")
     named = [F.col(t).alias(f"t{n}") for n, t in enumerate(tie)]
     ties = [f"t{n}" for n in range(len(tie))]
-    rows = df.select(*group, grade, *named, linear_score(weights).alias("s"), *values)
+    # The score comes from the renamed columns, after them: the optimizer writes what it knows of a
+    # score once for every choice between a column's two names, so 2 ** columns times the other way.
+    rows = df.select(*group, grade, *named, *values)
+    rows = rows.withColumn("s", linear_score({f"x{n}": weights[c] for n, c in enumerate(cols) if c in weights}))
     top = scale.top_k_in_group(rows, group, [F.desc("s"), *ties], k, "place")
     xs = [f"x{n}" for n in range(len(cols))]
     listed = F.collect_list(F.struct("place", "rel", "s", *ties, *xs)).alias("top")

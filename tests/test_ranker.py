@@ -69,3 +69,17 @@ def test_no_pairs(table):
     none = table.filter("rel = 0")
     assert ranker.fit(none, none, ["g"], COLS, "rel", ["line"], steps=2)[0] == {"a": 0.0, "b": 0.0}
     assert ranker.gradient(ranker.pairs(none.limit(0), ["g"], COLS, "rel", ["line"], {"a": 1.0}), COLS).count() == 2
+
+
+def test_what_the_optimizer_knows_stays_small(spark):
+    """The known facts of a plan grow with the columns, not with the choices between their names."""
+    cols = [f"c{n}" for n in range(8)]
+    rows = spark.range(20).selectExpr("id % 4 AS g", "CAST(id % 3 AS int) AS rel", "id AS line", *[f"id * {n + 1.5} AS {c}" for n, c in enumerate(cols)])
+    found = ranker.pairs(rows, ["g"], cols, "rel", ["line"], {c: 0.1 for c in cols})
+
+    def facts(plan):
+        yield plan.validConstraints().size()
+        for n in range(plan.children().size()):
+            yield from facts(plan.children().apply(n))
+
+    assert max(facts(found._jdf.queryExecution().optimizedPlan())) < 100
