@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -305,10 +306,10 @@ def _ideal(k: int, grades: Sequence[int]) -> Column:
     return total
 
 
-def _gain(rel: str, k: int) -> Column:
+def _gain(rel: str, k: int, pos: str = "pos") -> Column:
     gain = F.lit(0.0)
     for position in range(1, k + 1):
-        gain = F.when(F.col("pos") == position, F.col(rel) * _discount(position)).otherwise(gain)
+        gain = F.when(F.col(pos) == position, F.col(rel) * _discount(position)).otherwise(gain)
     return gain
 
 
@@ -316,8 +317,8 @@ def _grade_counts(rel: str, grades: Sequence[int]) -> list[Column]:
     return [F.count_if(F.col(rel) == g).alias(f"_g{g}") for g in grades]
 
 
-def _normalised(k: int, grades: Sequence[int]) -> Column:
-    return F.coalesce(F.try_divide(F.col("_dcg"), _ideal(k, grades)), F.lit(0.0))
+def _normalised(k: int, grades: Sequence[int], dcg: str = "_dcg") -> Column:
+    return F.coalesce(F.try_divide(F.col(dcg), _ideal(k, grades)), F.lit(0.0))
 
 
 def ndcg_per_group(
@@ -526,10 +527,45 @@ def blend_sweep(
     tie: Sequence[str],
     weights: Sequence[float],
     k: int = 5,
+    largest: int = scale.LARGEST_GROUP,
 ) -> DataFrame:
-    """Mean NDCG per blend weight; the ideal order is counted once for all weights."""
+    """Mean NDCG per blend weight; the ideal order is counted once for all weights.
+
+    Rows move once, by group, and are put in order once per weight where they are. Groups with more
+    than ``largest`` rows keep the top rows of every weight in each task before they move instead.
+    """
     group = list(group)
     rows = df.select(*group, rel, *a, b, *tie)
+    large = scale.oversized_groups(df.select(*group), group, largest)
+    if large is None:
+        parts = [_blends_in_place(rows, group, rel, a, b, tie, weights, k)]
+    else:
+        large = F.broadcast(large)
+        rest = scale.join_groups(rows, large, group, "left_anti")
+        rows = scale.join_groups(rows, large, group, "left_semi")
+        parts = [
+            _blends_in_place(rest, group, rel, a, b, tie, weights, k),
+            _blends_by_top_rows(rows, group, rel, a, b, tie, weights, k),
+        ]
+    return reduce(DataFrame.unionByName, parts).groupBy("weight").agg(F.avg("ndcg").alias("ndcg"))
+
+
+def _blends_in_place(rows, group, rel, a, b, tie, weights, k) -> DataFrame:
+    """(weight, ndcg) per weight and group, one window per weight over one exchange."""
+    for n, w in enumerate(weights):
+        order = Window.partitionBy(*group).orderBy(F.desc("_s"), *tie)
+        rows = rows.withColumn("_s", blend(a, b, F.lit(float(w)))).withColumn(f"_pos{n}", F.row_number().over(order))
+    sums = [F.sum(_gain(rel, k, f"_pos{n}")).alias(f"_dcg{n}") for n in range(len(weights))]
+    scored = rows.groupBy(*group).agg(*sums, *_grade_counts(rel, GRADES))
+    cells = [
+        F.struct(F.lit(float(w)).alias("weight"), _normalised(k, GRADES, f"_dcg{n}").alias("ndcg"))
+        for n, w in enumerate(weights)
+    ]
+    return scored.select(F.inline(F.array(*cells)))
+
+
+def _blends_by_top_rows(rows, group, rel, a, b, tie, weights, k) -> DataFrame:
+    """The same, for groups of any size."""
     spread = rows.withColumn(
         "weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))
     )
@@ -537,11 +573,11 @@ def blend_sweep(
         "weight", *group, rel, *tie, blend(a, b, F.col("weight")).alias("_s")
     )
     keys, order = ["weight", *group], [F.desc("_s"), *tie]
-    gain = F.sum(F.when(F.col("pos") <= k, _gain(rel, k)).otherwise(0.0)).alias("_dcg")
-    counts = df.groupBy(*group).agg(*_grade_counts(rel, GRADES))
+    gain = F.sum(_gain(rel, k)).alias("_dcg")
+    counts = rows.groupBy(*group).agg(*_grade_counts(rel, GRADES))
     top = scale.top_k_in_group(spread, keys, order, k)
     scored = scale.join_groups(top.groupBy(*keys).agg(gain), counts, group)
-    return scored.groupBy("weight").agg(F.avg(_normalised(k, GRADES)).alias("ndcg"))
+    return scored.select("weight", _normalised(k, GRADES).alias("ndcg"))
 
 
 def worst_groups(

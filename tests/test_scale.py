@@ -289,3 +289,14 @@ def test_queries_on_the_large_path(spark, duck, name, monkeypatch):
     monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
     got = spark_queries()[name](spark, SMALL).toPandas()
     assert differences(got, want) is None
+
+
+def test_blends_move_their_rows_once(spark, monkeypatch):
+    """One exchange by page whatever the number of weights; large pages give the same means."""
+    rows = interactions(spark, SMALL)
+    args = (["srch"], "rel", ["score_a", "score_c"], "score_b", TIE, (0.0, 0.25, 0.5, 1.0))
+    found = metrics.blend_sweep(rows, *args)
+    assert "explode" not in plan(found) and len(re.findall(r"Exchange hashpartitioning\(srch", plan(found))) <= 1
+    monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
+    for largest in (1, 4, 6, 1000):
+        same(found, metrics.blend_sweep(rows, *args, largest=largest))
