@@ -45,17 +45,23 @@ def within_group_features(
     deltas: Sequence[str],
     oversized: DataFrame | None = None,
 ) -> DataFrame:
-    """Price rank, log-price z-score and deltas to the group mean, with one aggregate join."""
+    """Price rank, log-price z-score and deltas to the group mean.
+
+    Ranks sort a group in one task, so the group's statistics are taken where it lies: one exchange,
+    and none if the rows arrive by group. If some groups are ``oversized``, statistics are an
+    aggregate joined back.
+    """
     logged = F.log1p(F.col(price))
-    rows = scale.with_group_stats(
-        df,
-        group,
-        {
-            "_mean": F.avg(logged),
-            "_sd": F.stddev_samp(logged),
-            **{f"_mean_{c}": F.avg(c) for c in deltas},
-        },
-    )
+    stats = {
+        "_mean": F.avg(logged),
+        "_sd": F.stddev_samp(logged),
+        **{f"_mean_{c}": F.avg(c) for c in deltas},
+    }
+    if oversized is None:
+        whole = Window.partitionBy(*group)
+        rows = df.withColumns({name: stat.over(whole) for name, stat in stats.items()})
+    else:
+        rows = scale.with_group_stats(df, group, stats)
     spread = F.coalesce(F.when(F.col("_sd") > 0, F.col("_sd")), F.lit(1.0))
     rows = rows.withColumns(
         {
@@ -124,11 +130,28 @@ def oof_priors(
     minus the fold's own sum. A key seen nowhere else gets the overall rate. ``source`` may
     name a narrower table of the training rows to take the sums from.
     """
+    rate = rates or _rates(df.filter(F.col(fold).isNotNull()) if source is None else source, targets)
+    joined = oof_sums(df, keys, fold, targets, source)
+    made = joined.withColumns(oof_features(targets, rate, alpha))
+    return made.drop("_n", *[f"_sum_{t}" for t in targets])
+
+
+def oof_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    fold: str,
+    targets: Mapping[str, float],
+    source: DataFrame | None = None,
+    prefix: str = "",
+) -> DataFrame:
+    """Attach what ``oof_priors`` is made of: row count and sums of the other folds.
+
+    Whole numbers, so rows that still have to move stay small.
+    """
     keys = list(keys)
     measures = ["_n", *[f"_sum_{t}" for t in targets]]
     train = df.filter(F.col(fold).isNotNull()) if source is None else source
     per_fold = train.groupBy(*keys, fold).agg(*_sums(targets))
-    rate = rates or _rates(train, targets)
     # At most one row per fold and key.
     whole = Window.partitionBy(*keys)
     totals = per_fold.withColumns({f"_all{m}": F.sum(m).over(whole) for m in measures})
@@ -141,19 +164,30 @@ def oof_priors(
         *keys,
         "_fold",
         *[
-            (F.col(f"_all{m}") - F.when(F.col("_fold") == F.col(fold), F.col(m)).otherwise(0)).alias(m)
+            (F.col(f"_all{m}") - F.when(F.col("_fold") == F.col(fold), F.col(m)).otherwise(0)).alias(f"{prefix}{m}")
             for m in measures
         ],
     )
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    features = {"impressions_log1p": F.log1p(n)}
-    for t in targets:
-        others = F.coalesce(F.col(f"_sum_{t}"), F.lit(0))
-        features[f"{t}_rate"] = (others + F.lit(alpha) * rate[t]) / (n + alpha)
-    # A training row whose key has no sums outside its fold still finds that fold's row.
+    # A key with no rows outside a fold needs no row: a missing sum is zero. Pairs of keys mostly occur once.
+    seen = seen.filter(F.col(f"{prefix}_n") > 0)
     rows = df.withColumn("_fold", F.coalesce(F.col(fold), none))
-    joined = scale.join_lookup(rows, seen, [*keys, "_fold"])
-    return joined.withColumns(features).drop("_fold", *measures)
+    return scale.join_lookup(rows, seen, [*keys, "_fold"]).drop("_fold")
+
+
+def oof_features(
+    targets: Mapping[str, float],
+    rate: Mapping[str, float] | Mapping[str, Column],
+    alpha: float = ALPHA,
+    prefix: str = "",
+    out: str = "",
+) -> dict[str, Column]:
+    """The priors from the sums that ``oof_sums`` attached."""
+    n = F.coalesce(F.col(f"{prefix}_n"), F.lit(0))
+    features = {f"{out}impressions_log1p": F.log1p(n)}
+    for t in targets:
+        others = F.coalesce(F.col(f"{prefix}_sum_{t}"), F.lit(0))
+        features[f"{out}{t}_rate"] = (others + F.lit(alpha) * rate[t]) / (n + alpha)
+    return features
 
 
 def apply_priors(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.operators import groups, metrics, ml, ranker, scale, splits
@@ -30,26 +30,31 @@ def ranking_features(
 ) -> DataFrame:
     """Split, within-group features and out-of-fold priors per key set.
 
-    Prior columns carry the key set's names as a prefix. The split input is written once:
-    the features, each key set's sums and the rates all read it, a few columns at a time. ``pages`` may name a cheaper table with the same
-    group sizes to look for oversized groups in.
+    Prior columns carry the key set's names as a prefix. Within-group features are made where the
+    rows arrive, which is by group if they were last joined on it. The table is then written once: each key
+    set's sums and the rates read a few of its columns, and the rows, with the key sets of most columns
+    (the largest lookups) first; they carry sums, and priors are made from them at the end. ``pages``
+    may name a cheaper table with the same group sizes to look for oversized groups in.
     """
     fold = F.when(
         F.col("part") == "train", splits.hash_bucket(c.folds, c.group, seed=c.seed + 1)
     )
     base = splits.split_groups(df, c.group, seed=c.seed).withColumn("fold", fold)
-    base = scale.cut_lineage(base)
-    train = base.filter(F.col("part") == "train")
     large = scale.oversized_groups(df if pages is None else pages, [c.group])
-    rows = groups.within_group_features(base, [c.group], c.price, c.deltas, oversized=large)
+    if large is not None:
+        base = scale.cut_lineage(base)
+    base = groups.within_group_features(base, [c.group], c.price, c.deltas, oversized=large)
+    rows = base = scale.cut_lineage(base)
+    train = base.filter(F.col("part") == "train")
     rates = groups.overall_rates(train, c.targets)
-    for keys in c.prior_keys:
-        prefix = "_".join(keys)
+    names = {"_".join(keys): keys for keys in c.prior_keys}
+    for prefix, keys in sorted(names.items(), key=lambda e: -len(e[1])):
         source = train.select(*keys, "fold", *c.targets)
-        rows = groups.oof_priors(rows, keys, "fold", c.targets, rates=rates, source=source)
-        renamed = ["impressions_log1p", *[f"{t}_rate" for t in c.targets]]
-        rows = rows.withColumnsRenamed({n: f"{prefix}_{n}" for n in renamed})
-    return rows
+        rows = groups.oof_sums(rows, keys, "fold", c.targets, source, prefix=f"_{prefix}")
+    priors: dict[str, Column] = {}
+    for prefix in names:
+        priors |= groups.oof_features(c.targets, rates, prefix=f"_{prefix}", out=f"{prefix}_")
+    return rows.select(*base.columns, *[prior.alias(name) for name, prior in priors.items()])
 
 
 def feature_columns(rows: DataFrame, c: RankingColumns) -> list[str]:

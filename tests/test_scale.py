@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelrank.operators import metrics, neighbours, profile, scale, significance, splits, windows
+from panelrank.operators import groups, metrics, neighbours, profile, scale, significance, splits, windows
 from panelrank.queries.panel import cleaned, COLS
 from panelrank.queries.ranking import TIE, interactions
 from panelrank.queries.registry import rounded
@@ -300,3 +300,26 @@ def test_blends_move_their_rows_once(spark, monkeypatch):
     monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
     for largest in (1, 4, 6, 1000):
         same(found, metrics.blend_sweep(rows, *args, largest=largest))
+
+
+def exchanges(df):
+    return len(re.findall(r"Exchange (hash|range)partitioning", plan(df)))
+
+
+def all_oversized(df, keys, *_):
+    return df.select(*keys).distinct()
+
+
+def test_group_features_stay_where_the_rows_lie(spark, skewed):
+    rows = skewed.repartition(4, "g")
+    found = groups.within_group_features(rows, ["g"], "row", ["x"])
+    assert exchanges(found) == exchanges(rows)
+    same(found, groups.within_group_features(rows, ["g"], "row", ["x"], oversized=all_oversized(rows, ["g"])))
+
+
+def test_priors_of_pairs_that_occur_once_need_no_row(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") % 2).alias("hit"))
+    attached = groups.oof_sums(rows, ["id"], "fold", {"hit": 1.0})
+    assert attached.filter("_n IS NOT NULL").count() == 0
+    got = groups.oof_priors(rows, ["id"], "fold", {"hit": 1.0}, rates={"hit": 0.3})
+    assert {(r["impressions_log1p"], round(r["hit_rate"], 9)) for r in got.collect()} == {(0.0, 0.3)}
