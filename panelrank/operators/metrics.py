@@ -610,10 +610,17 @@ def rank_submission(
 ) -> DataFrame:
     """Items of every group by falling score, with their position in the group.
 
-    A group of any size is ranked in range slices; the rows come out in order.
+    Groups lie in ranges and are ranked there, so the order of the result costs no second move; if
+    one is too large for one task, all are ranked in range slices. The rows come out in order.
     """
     order = [F.desc(score), *tie]
     rows = df.select(group, item, score, *[c for c in tie if c != item])
+    if scale.oversized_groups(df.select(group), [group]) is None:
+        # Written first: borders of ranges are drawn from a pass of its own.
+        whole = rows if scale.fits_one_task(rows) else scale.cut_lineage(rows)
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        ranged = whole.repartitionByRange(F.asc(group)).withColumn("position", place.cast("long"))
+        return ranged.orderBy(group, "position").select(group, item, "position")
     placed = scale.running_total(rows, [group], order, F.lit(1), "_ahead")
     return placed.orderBy(group, "_ahead").select(
         group, item, (F.col("_ahead") + 1).cast("long").alias("position")

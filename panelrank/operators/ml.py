@@ -555,17 +555,32 @@ def contrast_rows(
     One row per positive (and its mirror image), not one per pair of rows, so a group's size
     does not multiply. Weighted by the relevance grade.
     """
+    return _mirrored(_contrasts(df, group, cols, rel), cols)
+
+
+def _contrasts(df: DataFrame, group: Sequence[str], cols: Sequence[str], rel: str) -> DataFrame:
+    """One row per positive. Rows move once, by group, unless a group is too large for one task."""
     negatives = {
         f"_mean_{c}": F.avg(F.when(F.col(rel) == 0, F.col(c).cast("double"))) for c in cols
     }
-    rows = scale.with_group_stats(df.select(*group, rel, *cols), group, negatives)
+    rows = df.select(*group, rel, *cols)
+    if scale.oversized_groups(df.select(*group), group) is None:
+        whole = Window.partitionBy(*group)
+        rows = rows.withColumns({name: mean.over(whole) for name, mean in negatives.items()})
+    else:
+        rows = scale.with_group_stats(rows, group, negatives)
     rows = rows.filter((F.col(rel) > 0) & F.col(f"_mean_{cols[0]}").isNotNull())
-    side = F.explode(F.array(F.lit(1.0), F.lit(-1.0)))
-    rows = rows.withColumn("_side", side)
     return rows.select(
-        *[(F.col("_side") * (F.col(c) - F.col(f"_mean_{c}"))).alias(c) for c in cols],
+        *[(F.col(c) - F.col(f"_mean_{c}")).alias(c) for c in cols], F.col(rel).cast("double").alias(WEIGHT)
+    )
+
+
+def _mirrored(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    rows = rows.withColumn("_side", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    return rows.select(
+        *[(F.col("_side") * F.col(c)).alias(c) for c in cols],
         F.when(F.col("_side") > 0, 1.0).otherwise(0.0).alias(LABEL),
-        F.col(rel).cast("double").alias(WEIGHT),
+        WEIGHT,
     )
 
 
@@ -574,9 +589,9 @@ def fit_ranker(
 ) -> dict[str, float]:
     """Coefficients of a linear score learnt by logistic regression on contrasts.
 
-    The contrasts are written once: fitting passes over them repeatedly.
+    The contrasts are written once, without their mirror images: fitting passes over them repeatedly.
     """
-    rows = scale.cut_lineage(contrast_rows(df, group, cols, rel))
+    rows = _mirrored(scale.cut_lineage(_contrasts(df, group, cols, rel)), cols)
     vector = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(rows)
     model = mc.LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, fitIntercept=False, regParam=1e-4

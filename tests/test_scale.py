@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, metrics, neighbours, profile, scale, significance, splits, windows
+from panelrank.operators import groups, metrics, ml, neighbours, profile, scale, significance, splits, windows
 from panelrank.queries.panel import cleaned, COLS
 from panelrank.queries.ranking import TIE, interactions
 from panelrank.queries.registry import rounded
@@ -317,6 +317,24 @@ def test_group_features_stay_where_the_rows_lie(spark, skewed):
     same(found, groups.within_group_features(rows, ["g"], "row", ["x"], oversized=all_oversized(rows, ["g"])))
 
 
+def test_submission_moves_its_rows_once(spark, skewed, monkeypatch):
+    small = metrics.rank_submission(skewed, "g", "row", "x", ["row"])
+    monkeypatch.setattr(scale, "fits_one_task", lambda *_: False)
+    found = metrics.rank_submission(skewed, "g", "row", "x", ["row"])
+    assert exchanges(found) == 1
+    monkeypatch.setattr(scale, "oversized_groups", all_oversized)
+    sliced = metrics.rank_submission(skewed, "g", "row", "x", ["row"])
+    assert small.collect() == found.collect() == sliced.collect()
+
+
+def test_contrasts_move_their_rows_once(spark, skewed, monkeypatch):
+    rows = skewed.withColumn("rel", (F.col("row") % 5 == 0).cast("int")).fillna(0.0).cache()
+    found = ml.contrast_rows(rows, ["g"], ["x", "row"], "rel")
+    assert exchanges(found) == 1
+    monkeypatch.setattr(scale, "oversized_groups", all_oversized)
+    same(found, ml.contrast_rows(rows, ["g"], ["x", "row"], "rel"))
+
+
 def test_priors_of_pairs_that_occur_once_need_no_row(spark):
     rows = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") % 2).alias("hit"))
     attached = groups.oof_sums(rows, ["id"], "fold", {"hit": 1.0})
