@@ -452,7 +452,10 @@ def pca(df: DataFrame, cols: Sequence[str], keep: Sequence[str], k: int = 10) ->
 
 
 def cluster_ids(panel: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42) -> DataFrame:
-    """k-means over each id's column means and spreads (id, cluster)."""
+    """k-means over each id's column means and spreads (id, cluster).
+
+    Clusters are written once, so that nothing that reads them goes back to the panel.
+    """
     profile = panel.groupBy("id").agg(
         *[F.avg(c).alias(f"{c}_mean") for c in cols],
         *[F.stddev_samp(c).alias(f"{c}_std") for c in cols],
@@ -462,21 +465,24 @@ def cluster_ids(panel: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 4
     ready = standardise(ready, scaling(ready, names))
     vector = VectorAssembler(inputCols=names, outputCol=FEATURES).transform(ready)
     model = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol="cluster").fit(vector)
-    return model.transform(vector).select("id", "cluster")
+    return scale.cut_lineage(model.transform(vector).select("id", "cluster"))
 
 
 def cluster_models(
     train: DataFrame, test: DataFrame, clusters: DataFrame, build: Callable[[], Estimator], k: int = 4
 ) -> DataFrame:
-    """One model per cluster of ids; assembled rows must keep ``id``."""
+    """One model per cluster of ids; assembled rows must keep ``id``.
+
+    Rows are written with their cluster once, so no fit joins them again.
+    """
+    train, test = (scale.cut_lineage(scale.join_lookup(rows, clusters, ["id"], "inner")) for rows in (train, test))
     parts = None
     for c in range(k):
-        members = clusters.filter(F.col("cluster") == c).select("id")
-        own = train.join(members, "id", "left_semi")
-        rest = test.join(members, "id", "left_semi")
+        own = train.filter(F.col("cluster") == c)
+        rest = test.filter(F.col("cluster") == c)
         if own.isEmpty():
             continue
-        part = build().fit(own).transform(rest).withColumn("cluster", F.lit(c))
+        part = build().fit(own).transform(rest)
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

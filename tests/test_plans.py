@@ -79,3 +79,15 @@ def test_ranker_learns_the_sign(spark):
     df = df.withColumn("rel", F.when(F.col("a") - F.col("b") > 0.5, 5).otherwise(0))
     weights = ml.fit_ranker(df, ["g"], ["a", "b"], "rel")
     assert weights["a"] > 0 > weights["b"]
+
+
+def test_clusters_are_read_not_made_again(spark):
+    clusters = ml.cluster_ids(interpolated(spark, SMALL), COLS)
+    assert "Aggregate" not in clusters._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(90).select((F.col("id") % 9).alias("id"), (F.col("id") * 7 % 13).cast("double").alias("x"))
+    rows = ml.assemble(rows.withColumn("y", F.col("x") * F.when(F.col("id") < 4, 2).otherwise(-1)), ["x"], "y", keep=["id"])
+    sides = spark.range(8).select("id", (F.col("id") >= 4).cast("int").alias("cluster"))
+    got = ml.cluster_models(rows, rows, sides, lambda: ml.estimator("ridge", "regression", regParam=0.0))
+    assert got.filter("abs(prediction - label) > 1e-6").count() == 0
+    assert got.groupBy("cluster").count().orderBy("cluster").collect() == [(0, 40), (1, 40)]
+
