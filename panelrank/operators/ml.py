@@ -191,8 +191,12 @@ def stacking(
     folds: int,
     key: Sequence[str],
 ) -> DataFrame:
-    """Base models' out-of-fold predictions feed a final model; returns test predictions."""
+    """Base models' out-of-fold predictions feed a final model; returns test predictions.
+
+    Rows and predictions are written once; every model passes over them repeatedly.
+    """
     key = list(key)
+    train, test = scale.cut_lineage(train), scale.cut_lineage(test)
     meta_train = train.select(*key, LABEL)
     meta_test = test.select(*key, LABEL)
     for name, base in bases.items():
@@ -200,7 +204,7 @@ def stacking(
         predicted = base.fit(train).transform(test).select(*key, F.col(PRED).alias(name))
         meta_test = meta_test.join(predicted, key)
     vector = VectorAssembler(inputCols=list(bases), outputCol=FEATURES)
-    return final.fit(vector.transform(meta_train)).transform(vector.transform(meta_test))
+    return final.fit(vector.transform(scale.cut_lineage(meta_train))).transform(vector.transform(meta_test))
 
 
 def _class_columns(predicted: DataFrame, name: str, classes: int, key: Sequence[str]) -> DataFrame:
@@ -232,9 +236,10 @@ def stacking_classes(
 ) -> DataFrame:
     """Base classifiers' out-of-fold probabilities feed a final classifier; returns test predictions.
 
-    Probabilities are written once; the final model passes over them repeatedly.
+    Rows and probabilities are written once; every model passes over them repeatedly.
     """
     key = list(key)
+    train, test = scale.cut_lineage(train), scale.cut_lineage(test)
     meta_train, meta_test = train.select(*key, LABEL), test.select(*key, LABEL)
     for name, base in bases.items():
         own = out_of_fold_classes(train, base, fold, folds, name, classes, key)

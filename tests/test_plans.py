@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelrank.operators import ml, windows
+from panelrank.operators import ml, scale, windows
 from panelrank.plans.cleaning import CleanOptions, clean_daily
 from panelrank.plans.instances import build_instances
 from panelrank.queries.models import FEATURES, ROLES
@@ -91,3 +91,14 @@ def test_clusters_are_read_not_made_again(spark):
     assert got.filter("abs(prediction - label) > 1e-6").count() == 0
     assert got.groupBy("cluster").count().orderBy("cluster").collect() == [(0, 40), (1, 40)]
 
+
+def test_stacked_models_read_written_rows(spark, monkeypatch):
+    rows = spark.range(120).select((F.col("id") * 7 % 13).cast("double").alias("x"), "id", (F.col("id") % 3).cast("int").alias("fold"))
+    rows = ml.assemble(rows.withColumn("y", 2 * F.col("x") + 1), ["x"], "y", keep=["id", "fold"])
+    written, cut = [], scale.cut_lineage
+    monkeypatch.setattr(scale, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    ridge = ml.estimator("ridge", "regression", regParam=0.0)
+    got = ml.stacking(rows, rows, {"a": ridge}, ridge, "fold", 3, ["id"])
+    assert [c for c in written if "features" in c] == [rows.columns] * 2 and ["id", "label", "a"] in written
+    assert got.count() == 120 and got.filter("abs(prediction - label) > 1e-3").count() == 0
+
