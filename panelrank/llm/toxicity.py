@@ -102,8 +102,14 @@ def fit(
     if not 0 < y.sum() < len(y):
         return Model(vectors, weights, bias)
     items: list[tuple[np.ndarray, np.ndarray]] = []
+    # Two large arrays instead of many small ones: freed, they go back to the system at once.
+    room = sum(min(BUCKETS, len(GRAMS) * (len((t or "").lower().encode()) + 2)) for t in texts)
+    held, worth, end = np.empty(room, np.int32), np.empty(room, np.float32), 0
     for start in range(0, len(texts), 100):
-        items += bags(texts[start : start + 100])
+        for found, shares in bags(texts[start : start + 100]):
+            own = slice(end, end := end + len(found))
+            held[own], worth[own] = found, shares
+            items.append((held[own], worth[own]))
     vectors += random.uniform(-0.05, 0.05, vectors.shape).astype(np.float32)
     seen = np.full(BUCKETS, 1e-4, dtype=np.float32)
     seen_w, seen_b = np.full_like(weights, 1e-4), np.full_like(bias, 1e-4)
