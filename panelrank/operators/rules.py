@@ -17,12 +17,14 @@ def encode_taxonomy(baskets: DataFrame, taxonomy: DataFrame, basket: str, item:
     ``taxonomy`` has (item, ancestor) with one row per ancestor, roots without a row. The
     array holds distinct labels, so its length is bounded by the vocabulary.
     """
-    bought = baskets.select(basket, F.col(item).alias("item")).distinct()
-    parents = bought.join(taxonomy, "item").select(basket, F.col("ancestor").alias("item"))
+    above = taxonomy.groupBy("item").agg(F.collect_set("ancestor").alias("_above"))
+    labels = F.concat(F.array("item"), F.coalesce("_above", F.array().cast(above.schema["_above"].dataType)))
     return (
-        bought.unionByName(parents)
+        scale.join_lookup(baskets.select(basket, F.col(item).alias("item")), above, ["item"])
+        .select(basket, labels.alias("_labels"))
         .groupBy(basket)
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .agg(F.collect_set("_labels").alias("_held"))
+        .select(basket, F.array_sort(F.array_compact(F.array_distinct(F.flatten("_held")))).alias("items"))
     )
 
 
@@ -31,24 +33,46 @@ def frequent_itemsets(
 ) -> tuple[DataFrame, DataFrame]:
     """Itemsets with support, and single-consequent rules with confidence, lift and support.
 
-    Mining reads the baskets several times, so they are written once to the shared folder.
+    Mining reads the baskets several times, so they are written once to the shared folder, equal
+    ones side by side: a task's tree then holds few baskets of other tasks. The itemsets are written
+    too: the model would mine again for every use of its sets or rules.
     """
-    encoded = scale.cut_lineage(encoded)
+    encoded = scale.cut_lineage(encoded.select("items").hint("rebalance", "items"))
+    total = encoded.count()
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(encoded)
-    total = F.lit(encoded.count())
-    itemsets = model.freqItemsets.select(
-        F.array_sort("items").alias("items"), "freq", (F.col("freq") / total).alias("support")
+    itemsets = scale.cut_lineage(
+        model.freqItemsets.select(
+            F.array_sort("items").alias("items"), "freq", (F.col("freq") / F.lit(total)).alias("support")
+        )
+    )
+    return itemsets, scale.cut_lineage(rules_of(itemsets, min_confidence))
+
+
+def rules_of(itemsets: DataFrame, min_confidence: float) -> DataFrame:
+    """Rules with one consequent from all sets of two or more: confidence, lift and support.
+
+    Parts of a frequent set are frequent, so both sides are found among the sets themselves.
+    """
+    sides = itemsets.filter(F.size("items") > 1).select(
+        "items", "freq", "support", F.explode("items").alias("consequent")
+    )
+    sides = sides.withColumn("antecedent", F.array_remove("items", F.col("consequent")))
+    before = itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("n_before"))
+    after = itemsets.filter(F.size("items") == 1).select(
+        F.col("items")[0].alias("consequent"), F.col("support").alias("share")
     )
-    rules = model.associationRules.select(
-        F.array_sort("antecedent").alias("antecedent"),
-        F.col("consequent")[0].alias("consequent"),
-        "confidence",
-        "lift",
-        "support",
+    confidence = F.col("freq") / F.col("n_before")
+    return (
+        sides.join(before, "antecedent")
+        .filter(confidence >= min_confidence)
+        .join(after, "consequent")
+        .select(
+            "antecedent", "consequent", confidence.alias("confidence"),
+            (confidence / F.col("share")).alias("lift"), "support",
+        )
     )
-    return itemsets, rules
 
 
 def drop_own_ancestor(rules: DataFrame, taxonomy: DataFrame) -> DataFrame:
