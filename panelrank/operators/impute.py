@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, GroupedData, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,11 +134,64 @@ def median_fill(panel: DataFrame, cols: Sequence[str], zero: Sequence[str] = ())
     return replace_columns(panel, new)
 
 
-def _per_id(panel: DataFrame) -> GroupedData:
-    """Groups by id with a fixed number of partitions: the work per byte is high here, so
-    partitions must not be merged by size."""
+# Rows of whole ids that a task fills side by side.
+ROWS_AT_ONCE = 100_000
+
+# Values of an id's rows and where every id starts, to the values with holes filled.
+Fill = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _filled_per_id(panel: DataFrame, cols: Sequence[str], fill: Fill) -> DataFrame:
+    """Replace ``cols`` by what ``fill`` makes of each id's rows, in the order of their dates.
+
+    Rows travel sorted by id and many ids are filled at once, so work does not go by the call. They are
+    dealt by a hash of the id: dealt by the id itself, the shuffle would be dropped for the one of the
+    windows before, whose partitions are merged by size although the work per byte is high here.
+    """
+    cols = list(cols)
+    schema = T.StructType(
+        [
+            T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType)
+            for f in panel.schema.fields
+        ]
+    )
+
+    def changed(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = [rows[c].cast(pa.float64()).to_numpy() for c in cols]
+        full = fill(np.column_stack(values).astype(float), starts)
+        for i, c in enumerate(cols):
+            place = rows.column_names.index(c)
+            rows = rows.set_column(place, c, pa.array(full[:, i], pa.float64(), from_pandas=True))
+        yield from rows.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < ROWS_AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            starts = _starts(rows["id"])
+            # The last id may go on in the next batch.
+            if starts[-1]:
+                yield from changed(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+            n = 0 if starts[-1] else n
+        if n or held:
+            rows = pa.Table.from_batches(held)
+            if len(rows):
+                yield from changed(rows, _starts(rows["id"]))
+
     n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return panel.repartition(n, "id").groupBy("id")
+    dealt = panel.repartition(n, F.xxhash64("id")).sortWithinPartitions("id", "date")
+    return dealt.mapInArrow(run, schema)
+
+
+def _starts(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where each id starts among rows that are sorted by it; a missing id is one like any other."""
+    codes = ids.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.diff(codes, prepend=-1))
 
 
 def _nearest_fill(values: np.ndarray, k: int, block: int = 512) -> np.ndarray:
@@ -187,24 +240,100 @@ def impute_knn(panel: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
     Ties go to the earlier date; a column an id never has becomes 0. An id holds at most one
     row per calendar day, and its distances are computed a block of rows at a time.
     """
-    cols = list(cols)
-    schema = T.StructType(
-        [
-            T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType)
-            for f in panel.schema.fields
-        ]
-    )
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date").reset_index(drop=True)
-        values = rows[cols].to_numpy(dtype=float)
-        values[:, np.isnan(values).all(0)] = 0.0
-        if np.isnan(values).any():
-            values = _nearest_fill(values, k)
-        rows[cols] = values
-        return rows
+    def fill(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = values.copy()
+        for own in np.split(out, starts[1:]):
+            own[:, np.isnan(own).all(0)] = 0.0
+            if np.isnan(own).any():
+                own[:] = _nearest_fill(own, k)
+        return out
 
-    return _per_id(panel).applyInPandas(fill, schema)
+    return _filled_per_id(panel, cols, fill)
+
+
+# Sums of one column's regressions, an id each, to the coefficients: products of the others, products
+# with the column, rows and squares of the column.
+Fit = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _one_round(full: np.ndarray, hole: np.ndarray, starts: np.ndarray, turns: np.ndarray, fit: Fit) -> None:
+    """Regress each column on the others and fill its holes, for all ids side by side.
+
+    ``full`` and ``hole`` have a row per column, in every id's own order of turns; ``turns`` says in
+    which ids a column is filled.
+    """
+    k = len(full)
+    ids = np.repeat(np.arange(len(starts)), np.diff(starts, append=full.shape[1]))
+    for j in range(k):
+        live = np.flatnonzero(turns[j])
+        if not len(live):
+            continue
+        seen = ~hole[j]
+        n = np.maximum(np.add.reduceat(seen, starts, dtype=float), 1.0)
+        others = [i for i in range(k) if i != j]
+
+        def centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            mid = np.add.reduceat(x * seen, starts) / n
+            return x - mid[ids], mid
+
+        gaps = [centred(full[i])[0] for i in others]
+        marked = [g * seen for g in gaps]
+        y, top = centred(full[j])
+        y = y * seen
+        with_y = np.zeros((len(starts), k - 1))
+        among = np.zeros((len(starts), k - 1, k - 1))
+        for a in range(k - 1):
+            with_y[:, a] = np.add.reduceat(marked[a] * y, starts)
+            for b in range(a, k - 1):
+                among[:, a, b] = among[:, b, a] = np.add.reduceat(marked[a] * marked[b], starts)
+        beta = np.zeros((len(starts), k - 1))
+        beta[live] = fit(among[live], with_y[live], n[live], np.add.reduceat(y * y, starts)[live])
+        guess = top[ids]
+        for a in range(k - 1):
+            guess = guess + gaps[a] * beta[ids, a]
+        filled = hole[j] & turns[j][ids]
+        full[j] = np.where(filled, guess, full[j])
+
+
+def _chained(
+    values: np.ndarray, starts: np.ndarray, fit: Fit, rounds: int, least: int, tolerance: float | None = None
+) -> np.ndarray:
+    """Holes of many ids' rows filled by regressing each column on the others, in rounds.
+
+    Holes start at the id's mean of the column, or 0 without values; columns with fewer holes go first,
+    and those with fewer than ``least`` values keep their start. With ``tolerance`` an id ends when
+    none of its filled values moves by more than that times its largest value.
+    """
+    ids = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(values)))
+    missing = np.isnan(values)
+    counts = np.add.reduceat(~missing, starts, axis=0, dtype=int)
+    holes = np.add.reduceat(missing, starts, axis=0, dtype=int)
+    known = np.where(missing, 0.0, values)
+    start = np.add.reduceat(known, starts, axis=0) / np.maximum(counts, 1)
+    order = np.argsort(holes, axis=1, kind="stable")
+    full = np.take_along_axis(np.where(missing, start[ids], values), order[ids], 1).T.copy()
+    hole = np.take_along_axis(missing, order[ids], 1).T.copy()
+    turns = np.take_along_axis((holes > 0) & (counts >= least), order, 1).T.copy()
+    limit = None
+    if tolerance is not None:
+        limit = tolerance * np.maximum.reduceat(np.abs(known).max(1), starts)
+    live = turns.any(0)
+    for _ in range(rounds):
+        if not live.any():
+            break
+        rows = live[ids]
+        part, sizes = full[:, rows], np.diff(starts, append=len(values))[live]
+        own = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        before = part.copy()
+        _one_round(part, hole[:, rows], own, turns[:, live], fit)
+        full[:, rows] = part
+        if limit is not None:
+            moved = np.maximum.reduceat(np.abs(part - before).max(0), own)
+            live[np.flatnonzero(live)[moved < limit[live]]] = False
+    out = np.empty_like(values)
+    np.put_along_axis(out, order[ids], full.T, 1)
+    return out
 
 
 def impute_regression(
@@ -214,103 +343,95 @@ def impute_regression(
 
     Holes start at the column mean. A column with fewer than two values keeps that start.
     """
-    cols = list(cols)
-    schema = T.StructType(
-        [
-            T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType)
-            for f in panel.schema.fields
-        ]
-    )
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows[cols].to_numpy(dtype=float)
-        missing = np.isnan(values)
-        if missing.any() and not missing.all():
-            counts = (~missing).sum(0)
-            start = np.divide(
-                np.nansum(values, 0), counts, out=np.zeros(len(cols)), where=counts > 0
-            )
-            full = np.where(missing, start, values)
-            for _ in range(rounds):
-                for j in np.argsort(missing.sum(0), kind="stable"):
-                    hole = missing[:, j]
-                    if not hole.any() or counts[j] < 2:
-                        continue
-                    x = np.delete(full, j, axis=1)
-                    seen_x, seen_y = x[~hole], full[~hole, j]
-                    mid, top = seen_x.mean(0), seen_y.mean()
-                    c = seen_x - mid
-                    beta = np.linalg.solve(
-                        c.T @ c + penalty * np.eye(c.shape[1]), c.T @ (seen_y - top)
-                    )
-                    full[hole, j] = top + (x[hole] - mid) @ beta
-            rows = rows.assign(**{c: full[:, i] for i, c in enumerate(cols)})
-        return rows
-
-    return _per_id(panel).applyInPandas(fill, schema)
+    def fit(among: np.ndarray, with_y: np.ndarray, n: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        ridge = among + penalty * np.eye(among.shape[1])
+        return np.linalg.solve(ridge, with_y[:, :, None])[:, :, 0]
+
+    def fill(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        full = _chained(values, starts, fit, rounds, least=2)
+        ids = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(values)))
+        some = np.logical_or.reduceat(~np.isnan(values).all(1), starts)
+        return np.where(some[ids, None], full, values)
+
+    return _filled_per_id(panel, cols, fill)
+
+
+def _evidence(
+    among: np.ndarray,
+    with_y: np.ndarray,
+    n: np.ndarray,
+    squares: np.ndarray,
+    steps: int = 300,
+    tolerance: float = 1e-3,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge regressions whose penalties are estimated: (coefficients, weight and noise precisions).
+
+    One regression per row of the sums: products of the columns, products with the target, rows and
+    squares of the target, all centred. Weights have a normal prior and errors are normal; both
+    precisions are raised to the maximum of the evidence in turn with the weights, under flat gamma
+    priors. All steps work on the eigenvalues of the columns' products; a regression that no longer
+    moves takes part no more.
+    """
+    tiny = 1e-6
+    all_lengths, all_axes = np.linalg.eigh(among)
+    all_lengths = np.maximum(all_lengths, 0.0)
+    all_along = np.matmul(all_axes.transpose(0, 2, 1), with_y[:, :, None])[:, :, 0]
+    all_noise, all_weight = 1.0 / (squares / n + np.finfo(float).eps), np.ones(len(n))
+    open_ = np.arange(len(n))
+    lengths, axes, along, noise, weight = all_lengths, all_axes, all_along, all_noise, all_weight
+    rows, total, before = n, squares, None
+    for _ in range(steps):
+        if not len(open_):
+            break
+        w = along / (lengths + (weight / noise)[:, None])
+        error = np.maximum(total - 2 * (w * along).sum(1) + (lengths * w * w).sum(1), 0.0)
+        # Number of weights that the data determine, rather than the prior.
+        pulled = noise[:, None] * lengths
+        known = (pulled / (weight[:, None] + pulled)).sum(1)
+        weight = (known + 2 * tiny) / ((w * w).sum(1) + 2 * tiny)
+        noise = (rows - known + 2 * tiny) / (error + 2 * tiny)
+        all_noise[open_], all_weight[open_] = noise, weight
+        if before is not None:
+            moved = np.abs(np.matmul(axes, (w - before)[:, :, None])[:, :, 0]).sum(1)
+            on = moved >= tolerance
+            if not on.all():
+                open_, lengths, axes, along = open_[on], lengths[on], axes[on], along[on]
+                noise, weight, rows, total, w = noise[on], weight[on], rows[on], total[on], w[on]
+        before = w
+    w = all_along / (all_lengths + (all_weight / all_noise)[:, None])
+    return np.matmul(all_axes, w[:, :, None])[:, :, 0], all_weight, all_noise
 
 
 def evidence_ridge(
     x: np.ndarray, y: np.ndarray, steps: int = 300, tolerance: float = 1e-3
 ) -> tuple[np.ndarray, float, float]:
-    """Ridge regression whose penalty is estimated: (coefficients, weight and noise precision).
+    """One regression with estimated penalty: (coefficients, weight and noise precision).
 
-    ``x`` and ``y`` are centred. Weights have a normal prior and errors are normal; both precisions
-    are raised to the maximum of the evidence in turn with the weights, under flat gamma priors. All
-    steps work on the eigenvalues of the columns' products, so the rows are read once.
+    ``x`` and ``y`` are centred.
     """
-    tiny = 1e-6
-    lengths, axes = np.linalg.eigh(x.T @ x)
-    lengths = np.maximum(lengths, 0.0)
-    along = axes.T @ (x.T @ y)
-    n, squares = len(y), float(y @ y)
-    noise, weight = 1.0 / (float(np.var(y)) + np.finfo(float).eps), 1.0
-    before = None
+    n, squares = np.array([float(len(y))]), np.array([float(y @ y)])
+    beta, weight, noise = _evidence((x.T @ x)[None], (x.T @ y)[None], n, squares, steps, tolerance)
+    return beta[0], float(weight[0]), float(noise[0])
 
-    def solve() -> np.ndarray:
-        return along / (lengths + weight / noise)
 
-    for _ in range(steps):
-        w = solve()
-        error = max(squares - 2 * float(w @ along) + float(w @ (lengths * w)), 0.0)
-        # Number of weights that the data determine, rather than the prior.
-        known = float(np.sum(noise * lengths / (weight + noise * lengths)))
-        weight = (known + 2 * tiny) / (float(w @ w) + 2 * tiny)
-        noise = (n - known + 2 * tiny) / (error + 2 * tiny)
-        if before is not None and np.abs(axes @ (w - before)).sum() < tolerance:
-            break
-        before = w
-    return axes @ solve(), weight, noise
+def chained_evidence(
+    values: np.ndarray, starts: np.ndarray, rounds: int = 10, tolerance: float = 1e-3
+) -> np.ndarray:
+    """Holes of ids' rows filled by chained regressions with estimated penalties, in rounds.
 
+    ``starts`` are the ids' first rows. Holes start at the column's mean; columns with fewer holes go
+    first. An id ends when none of its filled values moves by more than ``tolerance`` times its largest
+    value. A column that an id never has stays missing.
+    """
 
-def chained_evidence(values: np.ndarray, rounds: int = 10, tolerance: float = 1e-3) -> np.ndarray:
-    """Holes of a table filled by regressing each column on the others, in rounds.
+    def fit(*sums: np.ndarray) -> np.ndarray:
+        return _evidence(*sums)[0]
 
-    Holes start at the column's mean; columns with fewer holes go first. Ends when no filled value
-    moves by more than ``tolerance`` times the largest value. A column without values stays missing.
-    """
-    missing = np.isnan(values)
-    usable = np.flatnonzero(~missing.all(0))
-    if not missing[:, usable].any():
-        return values
-    held, hole = values[:, usable], missing[:, usable]
-    full = np.where(hole, np.nanmean(held, axis=0), held)
-    limit = tolerance * float(np.max(np.abs(held[~hole])))
-    for _ in range(rounds if len(usable) > 1 else 0):
-        before = full.copy()
-        for j in np.argsort(hole.sum(0), kind="stable"):
-            gaps = hole[:, j]
-            if not gaps.any():
-                continue
-            x = np.delete(full, j, axis=1)
-            middle, mean = x[~gaps].mean(0), full[~gaps, j].mean()
-            beta, _, _ = evidence_ridge(x[~gaps] - middle, full[~gaps, j] - mean)
-            full[gaps, j] = mean + (x[gaps] - middle) @ beta
-        if np.max(np.abs(full - before)) < limit:
-            break
-    out = values.copy()
-    out[:, usable] = full
-    return out
+    full = _chained(values, starts, fit, rounds, least=1, tolerance=tolerance)
+    ids = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(values)))
+    never = np.logical_and.reduceat(np.isnan(values), starts, axis=0)
+    return np.where(never[ids], np.nan, full)
 
 
 def impute_evidence(
@@ -326,16 +447,11 @@ def impute_evidence(
     if longest is not None:
         for c, m in zip(cols, masks):
             panel = long_gap_mask(panel, c, longest, m)
-    schema = T.StructType(
-        [T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType) for f in panel.schema.fields]
-    )
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        full = chained_evidence(rows[cols].to_numpy(dtype=float), rounds)
-        return rows.assign(**{c: full[:, i] for i, c in enumerate(cols)})
+    def fill(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return chained_evidence(values, starts, rounds)
 
-    filled = _per_id(panel).applyInPandas(fill, schema)
+    filled = _filled_per_id(panel, cols, fill)
     if longest is None:
         return filled
     return restore_long_gaps(filled, cols, masks).drop(*masks)

@@ -63,6 +63,96 @@ def test_imputed_values_follow_the_others(spark):
     assert kept.count() == 0
 
 
+def one_by_one(values, rounds=10):
+    """A single id's chain of regressions, column by column."""
+    missing = np.isnan(values)
+    usable = np.flatnonzero(~missing.all(0))
+    held, hole = values[:, usable], missing[:, usable]
+    if not hole.any():
+        return values
+    full = np.where(hole, np.nanmean(held, axis=0), held)
+    limit = 1e-3 * np.max(np.abs(held[~hole]))
+    for _ in range(rounds if len(usable) > 1 else 0):
+        before = full.copy()
+        for j in np.argsort(hole.sum(0), kind="stable"):
+            gaps, x = hole[:, j], np.delete(full, j, axis=1)
+            if gaps.any():
+                middle, mean = x[~gaps].mean(0), full[~gaps, j].mean()
+                beta, _, _ = dense(x[~gaps] - middle, full[~gaps, j] - mean)
+                full[gaps, j] = mean + (x[gaps] - middle) @ beta
+        if np.max(np.abs(full - before)) < limit:
+            break
+    out = values.copy()
+    out[:, usable] = full
+    return out
+
+
+def table_of_ids(rng, n_ids, rows=40):
+    """Ids of 30 to ``rows`` days with holes; every fifth never has one of the columns."""
+    ids = []
+    for i in range(n_ids):
+        v = rng.normal(50, 5, (int(rng.integers(30, rows)), 4))
+        v[:, 1] += v[:, 0]
+        v[rng.random(v.shape) < 0.15] = np.nan
+        if i % 5 == 0:
+            v[:, i % 4] = np.nan
+        ids.append(v)
+    return ids
+
+
+def test_ids_filled_side_by_side_equal_one_by_one():
+    ids = table_of_ids(np.random.default_rng(7), 60)
+    ids[3][:], ids[4] = np.nan, ids[4][:1]
+    starts = np.cumsum([0, *[len(v) for v in ids[:-1]]])
+    got = np.split(impute.chained_evidence(np.concatenate(ids), starts), starts[1:])
+    for a, b in zip(got, ids):
+        np.testing.assert_allclose(a, one_by_one(b) if not np.isnan(b).all() else b, rtol=1e-6)
+
+
+@pytest.mark.parametrize("at_once", [1, 64, 100_000])
+@pytest.mark.parametrize("method", ["regression", "evidence", "knn"])
+def test_ids_across_batches(spark, monkeypatch, at_once, method):
+    monkeypatch.setattr(impute, "ROWS_AT_ONCE", at_once)
+    ids = table_of_ids(np.random.default_rng(8), 9)
+    start = dt.date(2024, 1, 1)
+    rows = [
+        (i or None, start + dt.timedelta(days=d), f"{i}-{d}", *[None if np.isnan(x) else float(x) for x in r])
+        for i, v in enumerate(ids)
+        for d, r in enumerate(v)
+    ]
+    cols = list("abcd")
+    whole = spark.createDataFrame(rows[::-1], "id int, date date, note string, a double, b double, c double, d double")
+    made = {
+        "regression": lambda df: impute.impute_regression(df, cols),
+        "evidence": lambda df: impute.impute_evidence(df, cols, longest=None),
+        "knn": lambda df: impute.impute_knn(df, cols),
+    }[method]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.note: r for r in made(whole).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for i in range(len(ids)):
+        own = made(whole.filter("id IS NULL" if not i else f"id = {i}")).collect()
+        assert len(own) == len(ids[i])
+        for r in own:
+            assert got[r.note][:3] == r[:3]
+            np.testing.assert_allclose(
+                np.array(got[r.note][3:], float), np.array(r[3:], float), rtol=1e-9
+            )
+
+
+def test_ids_are_spread_after_windows(spark):
+    rows = [(i, dt.date(2024, 1, d), float(d), None if d == 2 else 1.0) for i in range(40) for d in (1, 2, 3)]
+    panel = spark.createDataFrame(rows, "id int, date date, a double, b double")
+    marked = impute.long_gap_mask(panel, "b", 3)
+    made = impute.impute_regression(marked, ["a", "b"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # Without a shuffle of its own the fill keeps the windows' partitions, which are merged by size.
+    assert plan.index("MapInArrow") < plan.index("REPARTITION_BY_NUM")
+
+
 def greedy(sizes, k):
     load = [0] * k
     for n in sorted(sizes, reverse=True):
