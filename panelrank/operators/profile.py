@@ -215,8 +215,10 @@ class Products:
         return np.where(flat | flat.T | (self.n < 1), np.nan, np.clip(r, -1.0, 1.0))
 
 
-def products(df: DataFrame, cols: Sequence[str], centred: bool = True) -> Products:
-    """Products of all column pairs with holes, in one pass (two with the means).
+def products(
+    df: DataFrame, cols: Sequence[str], centred: bool = True, middle: np.ndarray | None = None
+) -> Products:
+    """Products of all column pairs with holes, in one pass (two with the means, unless ``middle`` has them).
 
     Every task multiplies values, squares and presence marks of its batches as matrices and sends
     one row per pair; equal pairs combine before and after the shuffle, so the driver gets
@@ -225,8 +227,9 @@ def products(df: DataFrame, cols: Sequence[str], centred: bool = True) -> Produc
     k = len(cols)
     names = [f"c{i}" for i in range(k)]
     rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)])
-    middle = np.zeros(k)
-    if centred:
+    if middle is None and not centred:
+        middle = np.zeros(k)
+    if middle is None:
         middle = np.array([x or 0.0 for x in rows.agg(*[F.avg(n).alias(n) for n in names]).first()])
     upper = np.triu_indices(k)
 
@@ -279,31 +282,37 @@ def top_correlated_pairs(df: DataFrame, cols: Sequence[str], k: int = 5) -> Data
     return correlation_pairs(df, cols).orderBy(F.desc(F.abs("r")), "a", "b").limit(k)
 
 
+def _ranked(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
+    """Ranks of each column (see ``average_ranks``) and the mean rank of each column."""
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = scale.cut_lineage(df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]))
+    present = unpivot(rows, names).filter(F.col("value").isNotNull())
+    counted = present.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
+    below = scale.running_total(counted, ["column"], ["value"], F.col("copies"), "below", limit=0)
+    rank = (F.col("below") + (F.col("copies") + 1) / 2).alias("rank")
+    ranks = scale.cut_lineage(below.select("column", "value", rank, "copies"))
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.sum("copies").alias("n")).collect()}
+    for n in names:
+        lookup = ranks.filter(F.col("column") == n).select(F.col("value").alias(n), F.col("rank").alias(f"r_{n}"))
+        rows = scale.join_lookup(rows, lookup, [n]).drop(n)
+    middle = np.array([(sizes[n] + 1) / 2 if n in sizes else 0.0 for n in names])
+    return rows.select(*[F.col(f"r_{n}").alias(c) for c, n in zip(cols, names)]), middle
+
+
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Each column replaced by its ranks among its present values; ties share their mean rank.
 
     All columns are ranked together from one long table of distinct values with their counts, in
-    range slices, so no column is sorted in one task; a missing value stays missing.
+    range slices, so no column is sorted in one task; a missing value stays missing. Rows stay whole
+    and take the ranks of one column after the other, so none has to be put together again.
     """
-    names = [f"c{i}" for i in range(len(cols))]
-    rows = df.select(
-        F.monotonically_increasing_id().alias("_row"),
-        *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)],
-    )
-    long = scale.cut_lineage(unpivot(rows, names, ["_row"]).filter(F.col("value").isNotNull()))
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
-    below = scale.running_total(counted, ["column"], ["value"], F.col("copies"), "below", limit=0)
-    ranks = below.select("column", "value", (F.col("below") + (F.col("copies") + 1) / 2).alias("rank"))
-    ranked = scale.join_lookup(long, ranks, ["column", "value"], "inner")
-    return ranked.groupBy("_row").agg(
-        *[F.max(F.when(F.col("column") == n, F.col("rank"))).alias(c) for c, n in zip(cols, names)]
-    )
+    return _ranked(df, cols)[0]
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rank correlation of column pairs, over the rows where both are present."""
-    found = products(average_ranks(df, cols).select(*cols), cols)
-    return _pair_rows(df, cols, found.correlations(), "rho")
+    ranked, middle = _ranked(df, cols)
+    return _pair_rows(df, cols, products(ranked, cols, middle=middle).correlations(), "rho")
 
 
 def ols_line(df: DataFrame, x: str, y: str) -> DataFrame:

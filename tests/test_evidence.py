@@ -225,3 +225,16 @@ def test_exponential_mean_keeps_a_huge_early_value(spark):
         want = series.ewm(span=span, ignore_na=False).mean().shift(1)
         for r, w in list(zip(found, want))[1:]:
             assert abs(r[f"x_ema{span}"] - w) <= 1e-9 * abs(w)
+
+
+def test_rows_stay_whole_while_they_take_ranks(spark):
+    rows = [(float(i % 13), None if i % 7 == 0 else float(i * i % 101), float(i)) for i in range(500)]
+    ranked = profile.average_ranks(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    # Putting rows together again from long ones held a table of all rows in every task.
+    assert "Aggregate" not in plan
+    got = sorted(tuple(r) for r in ranked.select("c", "a", "b").collect())
+    import pandas as pd
+
+    want = pd.DataFrame(rows, columns=["a", "b", "c"]).rank().sort_values("c")
+    np.testing.assert_allclose(np.array(got, float), want[["c", "a", "b"]].to_numpy())
