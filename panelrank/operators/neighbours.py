@@ -28,6 +28,8 @@ MOST_PIVOTS = 4096
 HOLES = -1
 BLOCK_POINTS = 20_000
 BLOCK_QUERIES = 20_000
+# Distances that a task holds at a time.
+HELD = 1_000_000
 ROUNDING = 9
 
 
@@ -47,13 +49,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _slices(rows: pd.DataFrame, others: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose distances to so many others may be held."""
+    step = max(1, HELD // max(others, 1))
+    for start in range(0, len(rows), step):
+        yield rows.iloc[start : start + step]
+
+
 def _with_cell(points: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, len(pivots))):
             values = batch[list(cols)].to_numpy(float)
             holes = np.isnan(values).any(1)
             gaps = _distances(np.where(holes[:, None], 0.0, values), pivots)
-            cell = gaps.argmin(1) if len(batch) else np.zeros(0, int)
+            cell = gaps.argmin(1)
             gap = np.where(holes, np.inf, gaps[np.arange(len(batch)), cell])
             cell = np.where(holes, HOLES, cell)
             yield batch.assign(_cell=cell.astype("int32"), _gap=gap)
@@ -81,7 +90,7 @@ def nearest_rows(
     Distances are rounded to nine digits and ties go to the smaller point key. With
     ``exclude_same`` a point with the query's own key does not count. A query gets fewer than
     ``k`` points only if fewer share a column with it. Rows travel with all ``cols``, and a task
-    holds ``block_queries`` by 256 distances at a time, so dimensions cost memory in proportion.
+    holds ``HELD`` distances at a time, to pivots as to points, however many of them there are.
     """
     cols = list(cols)
     points = points.select(F.col(point_key).alias("_point"), *[F.col(c).cast("double") for c in cols])
@@ -105,9 +114,7 @@ def nearest_rows(
     need = k + (1 if exclude_same else 0)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in _slices(whole, len(held))):
             values = batch[cols].to_numpy(float)
             holes = np.isnan(values).any(1)
             gaps = _distances(np.where(holes[:, None], 0.0, values), held)
@@ -151,8 +158,7 @@ def nearest_rows(
         given = given.sort_values("_point")
         b = given[cols].to_numpy(float)
         names = given["_point"].to_numpy()
-        for start in range(0, len(asking), 256):
-            part = asking.iloc[start : start + 256]
+        for part in _slices(asking, len(b)):
             if not len(b):
                 break
             gaps = np.round(_distances(part[cols].to_numpy(float), b), ROUNDING)

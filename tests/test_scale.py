@@ -341,3 +341,13 @@ def test_priors_of_pairs_that_occur_once_need_no_row(spark):
     assert attached.filter("_n IS NOT NULL").count() == 0
     got = groups.oof_priors(rows, ["id"], "fold", {"hit": 1.0}, rates={"hit": 0.3})
     assert {(r["impressions_log1p"], round(r["hit_rate"], 9)) for r in got.collect()} == {(0.0, 0.3)}
+
+
+def test_distances_held_do_not_grow_with_pivots():
+    import pandas as pd
+
+    frame = pd.DataFrame({"x": range(10_000)})
+    for others in (0, 1, 64, 980, 4096, 3_000_000):
+        parts = list(neighbours._slices(frame, others))
+        assert pd.concat(parts).equals(frame)
+        assert all(len(p) * others <= max(neighbours.HELD, others) for p in parts)
