@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from panelrank.operators import scale, splits
 from panelrank.operators.ml import _error, _solve, centre
 
-# Groups that a task sums up before it sends them on.
-GROUPS_HELD = 4096
+# Numbers that a task holds: products of its rows at a time, and sums of groups before it sends them on.
+HELD = 1_000_000
 
 
 # --- sums ---------------------------------------------------------------------------------
@@ -45,6 +45,13 @@ def unpacked(sums: Sequence[float]) -> np.ndarray:
     return out
 
 
+def _parts(batch: pd.DataFrame, cells: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch whose products, so many ``cells`` a row, may be held at a time."""
+    step = max(16, HELD // cells)
+    for start in range(0, len(batch), step):
+        yield batch.iloc[start : start + step]
+
+
 def _product_rows(batch: pd.DataFrame, names: Sequence[str], off: np.ndarray) -> np.ndarray:
     """One row of products per row of the batch; a row without a target is all zeros."""
     values = batch[list(names)].to_numpy(float)
@@ -79,6 +86,7 @@ def sums_by(
         F.col(target).cast("double").alias(names[-1]),
     )
     schema = terms.select(*by).schema.simpleString()[len("struct<") : -1]
+    cells = len(_upper(len(cols) + 2)[0])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -89,7 +97,7 @@ def sums_by(
             held.clear()
             return frame
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, cells)):
             products = _product_rows(batch, names, middle)
             groups = batch.groupby(by, dropna=False, sort=False)
             codes = groups.ngroup().to_numpy()
@@ -100,7 +108,7 @@ def sums_by(
             for key, total in zip(keys, totals):
                 key = tuple(None if pd.isna(k) else k for k in key)
                 held[key] = held[key] + total if key in held else total
-            if len(held) > GROUPS_HELD:
+            if len(held) * cells > HELD:
                 yield out()
         if held:
             yield out()
@@ -422,7 +430,7 @@ def out_of_bag(
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         drawn, rest = np.zeros((replicates, cells)), np.zeros((replicates, cells))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, cells)):
             products = _product_rows(batch, names, middle)
             w = splits.drawn_weights(batch["number"].to_numpy(), keys)
             drawn += w.T.astype(float) @ products

@@ -144,3 +144,26 @@ def test_tables_without_rows(table):
     none = table.filter("n < 0")
     assert linear.leave_groups_out(none, "id", COLS, "y").count() == 0
     assert linear.penalty_path(splits.group_kfold(table.filter("y IS NULL"), "id"), COLS, "y", "fold", (1.0,), (0.1,)).count() == 0
+
+
+def test_products_held_do_not_grow_with_rows_or_columns():
+    import pandas as pd
+
+    batch = pd.DataFrame({"x": range(10_000)})
+    for cells in (3, 528, 20_000):
+        parts = list(linear._parts(batch, cells))
+        assert pd.concat(parts).equals(batch)
+        assert all(len(p) * cells <= linear.HELD for p in parts)
+
+
+def test_sums_of_groups_that_go_on_in_the_next_part(spark):
+    rng = np.random.default_rng(4)
+    n, cols = 6_000, [f"c{i}" for i in range(40)]
+    data = rng.normal(size=(n, len(cols) + 1))
+    rows = [(int(i % 7) or None, *map(float, r)) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in [*cols, "y"])).coalesce(1)
+    got = {r.g: linear.unpacked(r.sums) for r in linear.sums_by(df, cols, "y", ["g"], np.zeros(len(cols) + 1)).collect()}
+    x = np.column_stack([np.ones(n), data])
+    for g in range(7):
+        own = x[np.arange(n) % 7 == g]
+        np.testing.assert_allclose(got[g or None], own.T @ own, rtol=1e-9, atol=1e-8)
