@@ -20,14 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelrank.llm.common import map_texts, sha256
+from panelrank.llm.common import map_texts, releasing, sha256
 
 # Words beyond this many bytes are merged with a queue: the recursive query keeps a row per
 # token and step, which for one word grows with the square of its length.
 LONGEST_ROWS = 256
-# Words per recursive query, and words a worker remembers between batches.
+# Words per recursive query, and words a task remembers between batches.
 WORDS_PER_QUERY = 25_000
 REMEMBERED = 300_000
+# Freed memory beyond this goes back to the system instead of waiting for the next query.
+KEPT_FREE = "16MB"
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
@@ -69,7 +71,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """The merge table, the vocabulary and the words seen so far, one per Python worker."""
+    """The merge table, the vocabulary and the words seen so far, one per task."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -77,8 +79,7 @@ class Coder:
 
         self.ranks = read_ranks(path)
         self.words_of = regex.compile(pattern).findall
-        self.bytes_of = {i: token for token, i in self.ranks.items()}
-        self.decimal = [str(i) for i in range(max(self.bytes_of) + 1)]
+        self.decimal = [str(i) for i in range(max(self.ranks.values()) + 1)]
         self.byte_ids = np.array(
             [self.ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32
         )
@@ -91,13 +92,15 @@ class Coder:
                     right.append(b)
                     merged.append(i)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        for name in ("allocator_flush_threshold", "allocator_bulk_deallocation_flush_threshold"):
+            self.db.execute(f"SET {name} = '{KEPT_FREE}'")
         merges = pa.table(
             {n: pa.array(v, pa.int32()) for n, v in zip(("l", "r", "id"), (left, right, merged))}
         )
         vocab = pa.table(
             {
-                "id": pa.array(list(self.bytes_of), pa.int32()),
-                "hex": pa.array([token.hex() for token in self.bytes_of.values()], pa.string()),
+                "id": pa.array(list(self.ranks.values()), pa.int32()),
+                "hex": pa.array([token.hex() for token in self.ranks], pa.string()),
             }
         )
         for name, rows in (("merges", merges), ("vocab", vocab)):
@@ -108,10 +111,12 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [self.words_of(text) if text else [] for text in texts]
+        here = set().union(*words)
         if len(self.seen) > REMEMBERED:
-            self.seen = {}
+            # The rare words go; those that are used again just now are mostly frequent ones.
+            self.seen = {word: self.seen[word] for word in here & self.seen.keys()}
         seen = self.seen
-        new = [word for word in set().union(*words) if word not in seen]
+        new = [word for word in here if word not in seen]
         rows = []
         for word in new:
             raw = word.encode()
@@ -199,12 +204,18 @@ _CODERS: dict[tuple[str, str], Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """This worker's coder; Spark keeps Python workers between tasks."""
+    """The running task's coder."""
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = Coder(path, pattern)
     return _CODERS[path, pattern]
 
 
+def forget() -> None:
+    """Drop a task's coders: Spark keeps Python workers for the stages that follow."""
+    while _CODERS:
+        _CODERS.popitem()[1].db.close()
+
+
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -214,7 +225,7 @@ def encode(
     def work(texts, kept):
         return {id_col: kept[id_col], "ids": coder(path, pattern).encode(texts)}
 
-    return map_texts(docs, [id_col], text_col, f"`{id_col}` {id_type}, ids array<int>", work)
+    return map_texts(docs, [id_col], text_col, f"`{id_col}` {id_type}, ids array<int>", work, forget)
 
 
 def decode(
@@ -225,15 +236,20 @@ def decode(
     names = [id_col, "data"]
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                data = coder(path, pattern).decode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(data, pa.binary())], names=names
-                )
-
-    return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type}, data binary")
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    data = coder(path, pattern).decode(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(data, pa.binary())], names=names
+                    )
+        finally:
+            forget()
+
+    return coded.select(id_col, ids_col).mapInArrow(
+        releasing(run), f"`{id_col}` {id_type}, data binary"
+    )
 
 
 def round_trip(
@@ -268,4 +284,5 @@ def round_trip(
         f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string,"
         " lossless boolean",
         work,
+        forget,
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrank.llm.arrays import joined, mix, sums
-from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts, ranges
+from panelrank.llm.common import bounded_sample, chunks, fold_column, map_texts, ranges, releasing
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -219,4 +219,4 @@ def keep_clean(
                 part = batch.slice(start, end - start)
                 yield part.filter(pa.array(of(part.column(place).to_pylist()) < least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

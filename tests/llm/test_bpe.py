@@ -55,3 +55,35 @@ def test_queue_and_rows_agree():
 
 def test_empty_table(spark, documents):
     assert bpe.round_trip(documents([]), PATH, P.PATTERN).count() == 0
+
+
+def test_workers_keep_nothing_for_later_stages(spark, documents):
+    rows = [(i, f"thorreoundernt ndblewhst {i}") for i in range(64)]
+    docs = documents(rows).repartition(8)
+    assert bpe.round_trip(docs, PATH, P.PATTERN).count() == 64
+    coded = bpe.encode(docs, PATH, P.PATTERN)
+    assert bpe.decode(coded, PATH, P.PATTERN).count() == 64
+
+    def held(batches):
+        import pyarrow as pa
+
+        from panelrank.llm import bpe
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"coders": pa.array([len(bpe._CODERS)], pa.int64())})
+
+    found = spark.range(64, numPartitions=32).mapInArrow(held, "coders long").collect()
+    assert len(found) == 32 and not any(r.coders for r in found)
+
+
+def test_words_in_use_stay_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    coder, asked = bpe.Coder(PATH, P.PATTERN), []
+    contract = coder._contract
+    coder._contract = lambda words: (asked.extend(words), contract(words))
+    first = coder.encode(["thorreoundernt ndblewhst", "zzzzabcabcabc qqxqqx"])
+    again = coder.encode(["thorreoundernt ndblewhst vvkvvk"])
+    assert list(again[0][: len(first[0])]) == list(first[0])
+    assert asked.count("thorreoundernt") == 1 and set(coder.seen) == {
+        "thorreoundernt", " ndblewhst", " vvkvvk"
+    }
