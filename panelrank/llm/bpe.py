@@ -28,8 +28,6 @@ LONGEST_ROWS = 256
 # Words per recursive query, and words a task remembers between batches.
 WORDS_PER_QUERY = 25_000
 REMEMBERED = 300_000
-# Freed memory beyond this goes back to the system instead of waiting for the next query.
-KEPT_FREE = "16MB"
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
@@ -92,8 +90,6 @@ class Coder:
                     right.append(b)
                     merged.append(i)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        for name in ("allocator_flush_threshold", "allocator_bulk_deallocation_flush_threshold"):
-            self.db.execute(f"SET {name} = '{KEPT_FREE}'")
         merges = pa.table(
             {n: pa.array(v, pa.int32()) for n, v in zip(("l", "r", "id"), (left, right, merged))}
         )
