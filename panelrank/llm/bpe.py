@@ -27,7 +27,7 @@ from panelrank.llm.common import map_texts, releasing, sha256
 LONGEST_ROWS = 256
 # Words per recursive query, and words a task remembers between batches.
 WORDS_PER_QUERY = 25_000
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
