@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrank.operators import metrics, scale
+from panelrank.operators import metrics, paged, scale
 from panelrank.operators.clean import clean_for_model
 from panelrank.operators.groups import cut_class
 
@@ -596,13 +596,20 @@ def _mirrored(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_ranker(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], rel: str
+    df: DataFrame | paged.Paged, group: Sequence[str], cols: Sequence[str], rel: str
 ) -> dict[str, float]:
     """Coefficients of a linear score learnt by logistic regression on contrasts.
 
     The contrasts are written once, without their mirror images: fitting passes over them repeatedly.
+    Of pages that lie together they are made without moving a row.
     """
-    rows = _mirrored(scale.cut_lineage(_contrasts(df, group, cols, rel)), cols)
+    if isinstance(df, paged.Paged):
+        found = paged.contrasts(df, WEIGHT).select(*cols, WEIGHT)
+        if df.large is not None:
+            found = found.unionByName(_contrasts(df.large, group, cols, rel))
+    else:
+        found = _contrasts(df, group, cols, rel)
+    rows = _mirrored(scale.cut_lineage(found), cols)
     vector = VectorAssembler(inputCols=list(cols), outputCol=FEATURES).transform(rows)
     model = mc.LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, fitIntercept=False, regParam=1e-4

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrank.operators import groups, metrics, ml, ranker, scale, splits
+from panelrank.operators import groups, metrics, ml, paged, ranker, scale, splits
 
 
 @dataclass(frozen=True)
@@ -103,14 +103,18 @@ def fit_and_rank(
 def fit_pairs_and_rank(
     df: DataFrame, c: RankingColumns, pages: DataFrame | None = None, steps: int = 8
 ) -> DataFrame:
-    """NDCG per part of the ranker learnt from contrasts, and of the one refined on pairs from there."""
-    scaled, cols = _scaled_features(df, c, pages)
-    scaled = scale.cut_lineage(scaled)
-    train, val = (scaled.filter(F.col("part") == p) for p in ("train", "val"))
-    start = ml.fit_ranker(train, [c.group], cols, c.rel)
-    refined, _ = ranker.fit(train, val, [c.group], cols, c.rel, c.tie, start=start, steps=steps)
+    """NDCG per part of the ranker learnt from contrasts, and of the one refined on pairs from there.
+
+    Scaled rows move once more, by page; learning and scoring read the pages where they lie.
+    """
+    with scale.shuffles_dropped(df.sparkSession):
+        scaled, cols = _scaled_features(df, c, pages)
+        arranged = paged.arrange(scaled, [c.group], cols, c.rel, c.tie, keep=["part"], sizes=pages)
+        train, val = (arranged.filter(F.col("part") == p) for p in ("train", "val"))
+        start = ml.fit_ranker(train, [c.group], cols, c.rel)
+        refined, _ = ranker.fit(train, val, [c.group], cols, c.rel, c.tie, start=start, steps=steps)
     out = [
-        _quality(scaled.withColumn("score", ml.linear_score(w)), c).select("part", "groups", F.col("ndcg").alias(name))
+        ranker.page_ndcg(arranged, w).groupBy("part").agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias(name))
         for name, w in (("contrasts", start), ("pairs", refined))
     ]
     return out[0].join(out[1].drop("groups"), "part")
